@@ -31,21 +31,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels
-from tessera.llm.common import blocks, staged
+from tessera.llm.common import blocks, sized_semi_join, staged
 from tessera.llm.components import connected_components
 
 #: Documents that the order of shingles is fitted on (expected number), and most shingles it ranks.
 ORDER_ROWS, ORDER_SHINGLES = 8192, 400_000
-#: A broadcast of ids is made up to this many rows (8 bytes each); beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
 #: A pivot's group is split into this many parts when it has more members.
 PART_MEMBERS, PARTS = 64, 64
-#: Of the least common 50 to the most: the link asks 100 * intersection >= PERCENT * union.
+#: Two sets link if 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: Digests of sets that a task remembers, so as not to send equal ones again.
 _SEEN = 1_000_000
 
 
@@ -122,11 +121,7 @@ def _tokens(docs: DataFrame, size: int, order: tuple[np.ndarray, np.ndarray]) ->
 
 def _with_texts(members: DataFrame, docs: DataFrame) -> DataFrame:
     """Members (doc_id, ...) with their texts; only the texts that are asked for are shuffled, if their ids are few."""
-    ids = members.select("doc_id").distinct()
-    wanted = docs.select("doc_id", "text")
-    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        wanted = wanted.join(F.broadcast(ids), "doc_id", "left_semi")
-    return members.join(wanted, "doc_id")
+    return members.join(sized_semi_join(docs.select("doc_id", "text"), members.select("doc_id").distinct()), "doc_id")
 
 
 class _Sets:

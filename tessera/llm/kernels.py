@@ -110,3 +110,25 @@ def shingles(texts: Sequence[bytes], size: int = 5) -> tuple[np.ndarray, np.ndar
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
     h, owner = h[new], owner[new]
     return h, np.searchsorted(owner, np.arange(len(texts) + 1))
+
+
+def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """For each window of ``width`` (at most 32) values, the place of its least value (the leftmost of equals; low 6 bits don't count).
+
+    A window lies in two neighbouring rows of that width: a suffix scan of the left one and a prefix scan of the
+    right one meet. The place within the two rows stands in the low bits, so equals go to the left.
+    """
+    n = len(values)
+    rows = -(-n // width) + 1
+    grid = np.full(rows * width, U64(0xFFFFFFFFFFFFFFC0))
+    grid[:n] = values & U64(0xFFFFFFFFFFFFFFC0)
+    grid = grid.reshape(rows, width)
+    column = np.arange(width, dtype=np.uint64)
+    left = np.minimum.accumulate((grid | column)[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    right = np.minimum.accumulate(grid | (column + U64(width)), axis=1).reshape(-1)
+    first = np.arange(n - width + 1)
+    least = left[: n - width + 1].copy()
+    if width > 1:
+        inner = first % width > 0  # a window that fills a row has no right part
+        least[inner] = np.minimum(least[inner], right[first[inner] + width - 1])
+    return first // width * width + (least & U64(63)).astype(np.int64)

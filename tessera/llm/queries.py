@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, jaccard_join, quality_rules, secret_scan, token_counts
+from tessera.llm import byte_bpe, jaccard_join, quality_rules, secret_scan, suffix_dedup, token_counts
 from tessera.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(documents(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(documents(spark, sf_dir))
 
@@ -32,6 +36,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op8_token_counts": op8_token_counts,
     "op9_byte_bpe": op9_byte_bpe,
