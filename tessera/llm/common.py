@@ -6,11 +6,12 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most UTF-8 bytes of text that a task's Python code holds as arrays at once (a longer text is a block alone).
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,16 +35,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with at most ``most`` bytes of text (or one row), and their texts as UTF-8; null is empty."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
-        texts = [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
+        column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         start = size = 0
-        for i, t in enumerate(texts):
-            if i > start and size + len(t) > most:
-                yield batch.slice(start, i - start), texts[start:i]
+        for i, n in enumerate([*sizes, most + 1]):
+            if i > start and size + n > most:
+                yield batch.slice(start, i - start), [b"" if x is None else x for x in column.slice(start, i - start).to_pylist()]
                 start, size = i, 0
-            size += len(t)
-        if texts[start:]:
-            yield batch.slice(start), texts[start:]
+            size += n
 
 
 def map_texts(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, *keep: str) -> DataFrame:

@@ -10,9 +10,10 @@ every document into every window. Pivots are therefore elected where documents c
    on a bounded sample (``ORDER_ROWS``); any one order gives the same result, a good one small regions.
 3. Each region elects a pivot, its least member. Members are verified against their pivots exactly; those
    within the radius form the pivot's ball and are one component, whatever their number.
-4. Boundary: where a region holds more than one component, its members are joined recursively: a new pivot
-   takes in its ball, and only those members stay that have one of another component within a
-   triangle-inequality window, until nothing is left or one component remains.
+4. Boundary: where a region holds members of more than one component, it is joined recursively: a new pivot is
+   held against those of other components that a triangle-inequality window leaves - sizes, and the sets' counts in
+   256 hash classes, which are distances to fixed pivot sets - and leaves the region, until one component remains.
+   A round sends on pairs in proportion to the region's members and verifies them; links merge components.
 5. Components of all verified links give the classes.
 
 Pairs inside a group are never all made: balls link to their pivot, hot groups of equal copies collapse
@@ -44,6 +45,10 @@ ORDER_ROWS, ORDER_SHINGLES = 8192, 400_000
 PART_MEMBERS, PARTS = 64, 64
 #: Two sets link if 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: Hash classes whose counts bound the overlap of two sets.
+CLASSES = 256
+#: Pairs that a region sends on in a round: so many for each member.
+ROUND_PAIRS = 4
 #: Digests of sets that a task remembers, so as not to send equal ones again.
 _SEEN = 1_000_000
 
@@ -78,15 +83,46 @@ def _linked(common: int, a: int, b: int) -> bool:
 
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, sig: the size of each document's set, and 64 bits of its digest."""
+    """doc_id, n, sig, counts: the size of each document's set, 64 bits of its digest, and its shingles' numbers in ``CLASSES`` hash classes."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches):
             h, at = kernels.shingles(texts, size)
             sig = [xxhash.xxh3_64_intdigest(h[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), _long(np.array(sig, np.uint64))], names=["doc_id", "n", "sig"])
+            n = np.diff(at)
+            owner = np.repeat(np.arange(len(n)), n)
+            counts = np.bincount(owner * CLASSES + (h & np.uint64(CLASSES - 1)).astype(np.int64), minlength=len(n) * CLASSES)
+            counts = np.minimum(counts, 255).astype(np.uint8).reshape(len(n), CLASSES)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), _long(np.array(sig, np.uint64)), pa.array([c.tobytes() for c in counts], pa.binary())], names=["doc_id", "n", "sig", "counts"])
+
+    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n long, sig long, counts binary")
+
+
+def _may_link(na, ca, nb, cb):
+    """Whether sets of these sizes and class counts may link: their least symmetric difference, summed over the classes, allows it.
+
+    Each class is a pivot set, and |x & class| is the coordinate that its distance gives; a class filled to 255 tells nothing.
+    """
+    common = np.minimum(ca, cb).sum(axis=-1, dtype=np.int64)
+    unknown = (np.maximum(ca, cb) == 255).any(axis=-1)
+    return (100 * common >= PERCENT * (na + nb - common)) | unknown
+
+
+def _counts(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CLASSES)
+
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n long, sig long")
+def _possible(pairs: DataFrame) -> DataFrame:
+    """Pairs (pivot, doc_id) of which the class counts (pn, pcounts, n, counts) allow a link."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                na, nb = (batch.column(k).to_numpy() for k in ("pn", "n"))
+                keep = _may_link(na, _counts(batch.column("pcounts")), nb, _counts(batch.column("counts")))
+                yield batch.select(["pivot", "doc_id"]).filter(pa.array(keep))
+
+    return pairs.mapInArrow(each, "pivot long, doc_id long")
 
 
 def _tokens(docs: DataFrame, size: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -161,80 +197,89 @@ def _verified(groups: DataFrame, size: int) -> DataFrame:
     return groups.groupBy("pivot", "part").applyInArrow(each, "pivot long, doc_id long, common long, whole long")
 
 
-def region_links(sets: _Sets, joined: list[int]) -> list[tuple[int, int]]:
-    """Links that join the members' components (``joined``: a known component of each) as far as close pairs do.
+def region_pairs(component: np.ndarray, n: np.ndarray, counts: np.ndarray, most: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Pairs of a region's members that must be verified, at most about ``most``, and the pivots that are done with.
 
-    Recursion by pivots: a pivot is compared with all others and leaves. Of the others, those stay that have,
-    within the radius by the triangle inequality, a member of another component. Pivots come from the smallest component.
+    A pivot, from the smallest component, is held against all members of other components; the triangle
+    inequality over the class counts leaves few. It then leaves the region, and so on until one component remains.
     """
-    label = np.unique(np.array(joined, np.int64), return_inverse=True)[1].astype(np.int64)
-    radius = 1 - PERCENT / 100 + 1e-9
-    links: list[tuple[int, int]] = []
-    active = np.arange(len(label))
-    while len(active) > 1:
-        own = label[active]
+    pairs: list[tuple[int, int]] = []
+    done: list[int] = []
+    active = np.arange(len(component))
+    while len(active) and len(pairs) < most:
+        own = np.unique(component[active], return_inverse=True)[1]
         sizes = np.bincount(own)
-        if sizes.max() == len(active):
+        if len(sizes) == 1:
+            done += active.tolist()
             break
         at = int(np.argmin(sizes[own]))
-        pivot, others = active[at], np.delete(active, at)
-        p, n = sets.one(pivot), sets.n[others]
-        common = sets.common(p, others)
-        whole = len(p) + n - common
-        for i in others[100 * common >= PERCENT * whole]:
-            if label[i] != label[pivot]:
-                label[label == label[i]] = label[pivot]
-                links.append((int(pivot), int(i)))
-        distance, own = 1 - common / whole, label[others]
-        by_distance, by_own = np.sort(distance), np.sort(own * 4.0 + distance)
-        within = np.searchsorted(by_distance, distance + radius, "right") - np.searchsorted(by_distance, distance - radius)
-        alike = np.searchsorted(by_own, own * 4.0 + distance + radius, "right") - np.searchsorted(by_own, own * 4.0 + distance - radius)
-        active = others[within > alike]
-    return links
-
-
-def _regions(groups: DataFrame, size: int) -> DataFrame:
-    """Links (a, b) within each region (region, doc_id, component, text)."""
+        pivot, active = int(active[at]), np.delete(active, at)
+        others = active[component[active] != component[pivot]]
+        others = others[100 * np.minimum(n[others], n[pivot]) >= PERCENT * np.maximum(n[others], n[pivot])]
+        if len(others):
+            pairs += [(pivot, int(i)) for i in others[_may_link(n[pivot], counts[pivot][None, :], n[others], counts[others])]]
+        done.append(pivot)
+    return pairs, done
 
-    def each(table: pa.Table) -> pa.Table:
-        ids, known = table.column("doc_id").to_pylist(), table.column("component").to_pylist()
-        links = region_links(_Sets([b"" if t is None else t for t in table.column("text").cast(pa.large_binary()).to_pylist()], size), known)
-        return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
 
-    return groups.groupBy("region").applyInArrow(each, "a long, b long")
+def _regions(groups: DataFrame) -> DataFrame:
+    """region, a, b: a pair to verify, or (b null) a member that is done with, of each region (bucket, region, doc_id, component, n, counts)."""
+
+    def each(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("region", "ascending"), ("doc_id", "ascending")])
+        region, ids, component, n = (table.column(k).to_numpy() for k in ("region", "doc_id", "component", "n"))
+        counts = _counts(table.column("counts"))
+        cuts = np.append(np.flatnonzero(np.append(True, region[1:] != region[:-1])), len(region))
+        out: list[tuple[int, int, int | None]] = []
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            pairs, done = region_pairs(component[x:y], n[x:y], counts[x:y], ROUND_PAIRS * int(y - x))
+            out += [(region[x], ids[x + i], ids[x + j]) for i, j in pairs]
+            out += [(region[x], ids[x + i], None) for i in done]
+        return pa.table({k: pa.array([r[i] for r in out], pa.int64()) for i, k in enumerate(("region", "a", "b"))})
+
+    return groups.groupBy("bucket").applyInArrow(each, "region long, a long, b long")
+
+
+def _distances(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Of pairs (pivot, doc_id) their verified links (a, b); groups of many are split, with the pivot in each part."""
+    large = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("k"))
+    parted = pairs.join(large, "pivot").select("pivot", "doc_id", F.when(F.col("k") > PART_MEMBERS, F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).otherwise(F.lit(0)).cast("int").alias("part"))
+    parted = staged(parted.union(parted.select("pivot", F.col("pivot").alias("doc_id"), "part").distinct()), "jaccard-parts")
+    found = _verified(_with_texts(parted, docs), size).filter(f"100 * common >= {PERCENT} * whole")
+    return staged(found.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), "jaccard-links")
 
 
 def jaccard_classes(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id that links reach)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = staged(_signed(docs, size), "jaccard-sets")
-    classes = staged(signed.filter("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    met = _tokens(docs, size, _fit_order(docs, size))
+    classes = signed.filter("n > 0").groupBy("sig", "n").agg(F.min(F.struct("doc_id", "counts")).alias("c")).select("sig", "n", F.col("c.doc_id").alias("rep"), "c.counts")
+    classes = staged(classes, "jaccard-classes")
     region = Window.partitionBy("token")
-    met = met.distinct().withColumn("members", F.count(F.lit(1)).over(region)).withColumn("pivot", F.min(F.struct("sig", "n")).over(region)).filter("members > 1")
-    met = staged(met, "jaccard-regions")
+    least, most = F.min(F.struct("sig", "n")).over(region), F.max(F.struct("sig", "n")).over(region)
+    met = _tokens(docs, size, _fit_order(docs, size)).withColumn("members", F.count(F.lit(1)).over(region)).withColumn("pivot", least).withColumn("last", most)
+    met = staged(met.filter("pivot < last").drop("last"), "jaccard-regions")
     near = "(100 * least(n, pivot.n) >= {0} * greatest(n, pivot.n))".format(PERCENT)
     pairs = met.filter(f"not (sig = pivot.sig and n = pivot.n) and {near}").select("sig", "n", F.col("pivot.sig").alias("psig"), F.col("pivot.n").alias("pn")).distinct()
-    pairs = (
-        pairs.join(classes.withColumnRenamed("rep", "doc_id"), ["sig", "n"])
-        .join(classes.select(F.col("sig").alias("psig"), F.col("n").alias("pn"), F.col("rep").alias("pivot")), ["psig", "pn"])
-        .select("pivot", "doc_id")
-    )
-    pairs = staged(pairs, "jaccard-pairs")
-    large = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("k"))
-    parted = pairs.join(large, "pivot").select("pivot", "doc_id", F.when(F.col("k") > PART_MEMBERS, F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).otherwise(F.lit(0)).cast("int").alias("part"))
-    parted = parted.union(parted.select("pivot", F.col("pivot").alias("doc_id"), "part").distinct())
-    distances = staged(_verified(_with_texts(staged(parted, "jaccard-parts"), docs), size), "jaccard-distances")
-    links = distances.filter(f"100 * common >= {PERCENT} * whole").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+    pairs = pairs.join(classes.withColumnRenamed("rep", "doc_id"), ["sig", "n"]).join(classes.select(F.col("sig").alias("psig"), F.col("n").alias("pn"), F.col("rep").alias("pivot"), F.col("counts").alias("pcounts")), ["psig", "pn"])
+    links = _distances(staged(_possible(pairs.select("pivot", "pn", "pcounts", "doc_id", "n", "counts")), "jaccard-pairs"), docs, size)
     found = connected_components(links)
-    # regions of three or more in which components differ
-    members = met.filter("members > 2").select("token", "sig", "n").join(classes.withColumnRenamed("rep", "doc_id"), ["sig", "n"]).join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    members = members.select("token", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    # regions with members, beside their pivot, of several components; equal regions are joined once
+    members = met.filter("members > 2 and not (sig = pivot.sig and n = pivot.n)").select("token", "sig", "n").distinct()
+    members = members.join(classes.select("sig", "n", F.col("rep").alias("doc_id")), ["sig", "n"]).join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     open_ = members.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h")).filter("x < y")
     open_ = open_.groupBy("k", "h").agg(F.min("token").alias("token")).select("token")
-    regions = staged(members.join(open_, "token").withColumnRenamed("token", "region"), "jaccard-boundaries")
-    more = staged(_regions(_with_texts(regions, docs), size), "jaccard-links")
-    if not more.isEmpty():
-        found = connected_components(links.union(more))
+    left = staged(members.join(open_, "token").select(F.col("token").alias("region"), "doc_id"), "jaccard-boundaries")
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while not left.isEmpty():
+        now = left.join(classes.select(F.col("rep").alias("doc_id"), "n", "counts"), "doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        sent = staged(_regions(now.withColumn("bucket", F.pmod(F.xxhash64("region"), F.lit(buckets)).cast("int"))), "jaccard-round")
+        pairs = sent.filter("b is not null").select(F.least("a", "b").alias("pivot"), F.greatest("a", "b").alias("doc_id")).distinct()
+        if not pairs.isEmpty():
+            more = _distances(pairs, docs, size)
+            if not more.isEmpty():
+                links = links.union(more)
+                found = connected_components(links)
+        left = staged(left.join(sent.filter("b is null").select("region", F.col("a").alias("doc_id")), ["region", "doc_id"], "left_anti"), "jaccard-boundaries")
     whole = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("sig", "n", F.coalesce("component", "rep").alias("component_id"))
-    return signed.join(whole, ["sig", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return signed.drop("counts").join(whole, ["sig", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
