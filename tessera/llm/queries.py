@@ -6,14 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, jaccard_join, quality_rules, secret_scan, suffix_dedup, token_counts
+from tessera.llm import byte_bpe, decontamination, jaccard_join, line_dedup, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_counts
 from tessera.llm.common import documents
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed and the text that is left."""
+    return line_dedup.dedup_documents(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(documents(spark, sf_dir))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and item_id of each leak, with how much of the item the document covers and how many slots were exchanged."""
+    return decontamination.contaminated(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(documents(spark, sf_dir))
 
@@ -22,6 +36,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(documents(spark, sf_dir))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, bad_probability, kept."""
+    docs = documents(spark, sf_dir)
+    return quality_classifier.scored(docs.select("doc_id", "text"), quality_classifier.fit(docs)).select("doc_id", "bad_probability", "kept")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
@@ -35,9 +55,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op6_secret_scan": op6_secret_scan,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_token_counts": op8_token_counts,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
