@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, decontamination, jaccard_join, line_dedup, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_counts
+from tessera.llm import byte_bpe, decontamination, jaccard_join, license_scan, line_dedup, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_counts
 from tessera.llm.common import documents
 
 
@@ -32,6 +32,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(documents(spark, sf_dir))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, line, family, confidence, similarity, confirmed of each paragraph that names a licence."""
+    return license_scan.license_scan(documents(spark, sf_dir))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(documents(spark, sf_dir))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_license_scan": op5_license_scan,
     "op6_secret_scan": op6_secret_scan,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_token_counts": op8_token_counts,
