@@ -81,7 +81,7 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
     """bucket, grams, contexts, owners, ids: a block's anchors of a bucket as arrays."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in blocks(batches, most=8 << 20):
+        for part, texts in blocks(batches, most=4 << 20):
             ids = np.array(part.column(0).to_pylist(), np.int64)
             small = [Anchors(texts[i:j]) for i, j in _slices(texts)]
             offset = np.cumsum([0, *(j - i for i, j in _slices(texts))])
@@ -108,7 +108,7 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
     def _slices(texts: list[bytes]) -> list[tuple[int, int]]:
         out, start, size = [], 0, 0
         for i, t in enumerate(texts):
-            if i > start and size + len(t) > 1 << 20:
+            if i > start and size + len(t) > 1 << 19:
                 out.append((start, i))
                 start, size = i, 0
             size += len(t)
