@@ -1,10 +1,463 @@
-"""Queries of the catalog over the driver's tables, and their SQL counterparts."""
+"""Queries of the catalog over the driver's tables, and their SQL counterparts for DuckDB."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import hashes, names, samples
+from tessera.functions.text import html_text
+from tessera.operators import index, inventory, matching, orient, review, tags
+from tessera.plans import fixtures as fx
+from tessera.plans.fixtures import sql
+from tessera.sources.tables import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+STRICT, LOOSE = 99, 0
+BASE, SITE, HOSTS = "https://media.example.com/", "https://www.example.com/r/", ["example.com", "www.example.com"]
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# Exact groups -----------------------------------------------------------------------------------------------------
+
+@query(sql("docs", then="SELECT sha256, count(*) AS members, CAST(sum(size) AS BIGINT) AS total_size FROM docs GROUP BY 1 HAVING count(*) > 1"))
+def exact_groups(spark, d):
+    return matching.exact_groups(fx.documents(spark, d))
+
+
+@query(sql("docs", "ranked", then="SELECT s.key AS survivor_key, r.key AS deletion_key FROM (SELECT sha256, arg_min(key, place) AS key, count(*) AS n FROM ranked GROUP BY 1) s JOIN ranked r ON r.sha256 = s.sha256 WHERE s.n > 1 AND r.key <> s.key"))
+def exact_survivors(spark, d):
+    return matching.exact_survivors(fx.documents(spark, d))
+
+
+@query(sql("docs", then="SELECT key, sha256, size FROM docs WHERE sha256 NOT IN (SELECT sha256 FROM docs GROUP BY 1 HAVING count(*) > 1)"))
+def visual_assets(spark, d):
+    return matching.visual_assets(fx.documents(spark, d)).select("key", "sha256", "size")
+
+
+# Similarity joins -------------------------------------------------------------------------------------------------
+
+def _bits(count: int, a: str = "a", b: str = "b") -> str:
+    return " + ".join(f"CAST(bit_count(xor({a}.l{k}::BIGINT, {b}.l{k}::BIGINT)) AS INT)" for k in range(count))
+
+
+def _pct(x: str) -> str:
+    return f"CAST(CAST(round_even({x}, 0) AS INT) AS VARCHAR) || '%'"
+
+
+_CROP = f"""cropped AS (SELECT l AS "left", r AS "right", 100.0::DOUBLE * least(ml::DOUBLE / nl, mr::DOUBLE / nr) AS crop FROM (SELECT x.key AS l, y.key AS r, x.n AS nl, y.n AS nr, count(DISTINCT x.pos) AS ml, count(DISTINCT y.pos) AS mr
+    FROM segments x JOIN (SELECT a, b FROM segdist WHERE d <= 8) s ON s.a = x.seg JOIN segments y ON y.seg = s.b WHERE x.key < y.key GROUP BY ALL))"""
+fx.SQL["cropped"] = _CROP
+fx.SQL["phashed"] = f"""phashed AS (SELECT p.*, 100 * (1 - p.distance / 64.0::DOUBLE) AS ps, 100 * (1 - p.wide / 256.0::DOUBLE) AS qs, coalesce(c.crop, 0.0::DOUBLE) AS cs FROM
+    (SELECT a.key AS "left", b.key AS "right", {_bits(2)} AS distance, {_bits(8)} AS wide FROM stills a JOIN stills b ON a.key < b.key WHERE {_bits(2)} <= 6) p LEFT JOIN cropped c ON c."left" = p."left" AND c."right" = p."right")"""
+fx.SQL["o_phash"] = f"""o_phash AS (SELECT "left", "right", distance, greatest(ps, qs, cs) AS score, 'visual match: pHash ' || {_pct('ps')} || ', PDQ ' || {_pct('qs')} || ', crop ' || {_pct('cs')} AS reason FROM phashed)"""
+fx.SQL["o_pdq"] = f"""o_pdq AS (SELECT "left", "right", distance, 100 * (1 - distance / 256.0::DOUBLE) AS score, 'Meta PDQ match: ' || {_pct('100 * (1 - distance / 256.0::DOUBLE)')} AS reason FROM
+    (SELECT a.key AS "left", b.key AS "right", {_bits(8)} AS distance FROM stills a JOIN stills b ON a.key < b.key WHERE {_bits(8)} <= 23))"""
+fx.SQL["o_crop"] = f"""o_crop AS (SELECT "left", "right", crop AS score, 'crop-resistant match: ' || {_pct('crop')} || ' segment overlap (required 60%)' AS reason FROM cropped WHERE crop / 100 >= 0.6::DOUBLE)"""
+fx.SQL["vcand"] = """tokens AS (SELECT DISTINCT key, sha256, n_frames, band, substr(h, CAST(band AS INT) * 4 + 1, 4) AS token FROM framed, range(16) t(band) WHERE q >= 35),
+    vcand AS (SELECT * FROM (SELECT a.key AS "left", b.key AS "right", CAST(count(*) AS INT) AS shared, CAST(greatest(1, least(8, ceil(least(a.n_frames, b.n_frames) * 0.2::DOUBLE))) AS INT) AS required
+        FROM tokens a JOIN tokens b ON a.band = b.band AND a.token = b.token AND a.key < b.key WHERE a.sha256 <> b.sha256 GROUP BY a.key, b.key, a.n_frames, b.n_frames) WHERE shared >= required)"""
+_FRAME_BITS = " + ".join(f"CAST(bit_count(xor(('0x' || substr(a.h, {8 * k + 1}, 8))::BIGINT, ('0x' || substr(b.h, {8 * k + 1}, 8))::BIGINT)) AS INT)" for k in range(8))
+fx.SQL["o_vpdq"] = f"""good AS (SELECT DISTINCT key, h FROM framed WHERE q >= 35), goodn AS (SELECT key, count(*) AS n FROM good GROUP BY 1),
+    vshare AS (SELECT m."left", m."right", ml::DOUBLE / l.n AS pl, mr::DOUBLE / r.n AS pr FROM (SELECT c."left", c."right", count(DISTINCT a.h) AS ml, count(DISTINCT b.h) AS mr FROM vcand c JOIN good a ON a.key = c."left" JOIN good b ON b.key = c."right" WHERE {_FRAME_BITS} <= 25 GROUP BY 1, 2) m
+        JOIN goodn l ON l.key = m."left" JOIN goodn r ON r.key = m."right"),
+    o_vpdq AS (SELECT "left", "right", 100 * least(pl, pr) AS score, 'vPDQ frames: ' || {_pct('100 * pl')} || ' / ' || {_pct('100 * pr')} AS reason FROM vshare WHERE least(pl, pr) >= 0.45::DOUBLE + 0.4::DOUBLE)"""
+_STILL = ("docs", "visual", "words", "hashed", "laned", "stills", "segments", "segdist", "cropped", "phashed", "o_phash")
+_ALL = (*_STILL, "o_pdq", "o_crop", "frames", "vcand", "o_vpdq")
+# the fold over stages: a later offer wins only above the rounded score kept so far
+fx.SQL["offered"] = """offered AS (SELECT 1 AS stage, "left", "right", score, reason FROM o_phash UNION ALL SELECT 2, "left", "right", score, reason FROM o_pdq UNION ALL SELECT 3, * FROM o_crop UNION ALL SELECT 4, * FROM o_vpdq)"""
+fx.SQL["best"] = """folded AS (SELECT "left", "right", list_reduce(list_prepend({'stage': 0, 'score': -1.0::DOUBLE, 'reason': ''}, list({'stage': stage, 'score': score, 'reason': reason} ORDER BY stage)),
+        lambda kept, o: CASE WHEN o.score > kept.score THEN {'stage': o.stage, 'score': round_even(least(100.0::DOUBLE, o.score), 2), 'reason': o.reason} ELSE kept END) AS k, bool_or(stage = 3) AS qualified FROM offered GROUP BY 1, 2),
+    best AS (SELECT "left", "right", k.score AS score, k.reason AS reason, qualified FROM folded)"""
+
+
+@query(sql(*_STILL, then='SELECT "left" AS left_key, "right" AS right_key, distance, score, reason FROM o_phash'))
+def phash_pairs_strict(spark, d):
+    return _keys(matching.phash_stage(fx.visual(spark, d), STRICT))
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform([0, 1], lambda k: CAST(list_sum(list_transform(range(32), lambda i: CASE WHEN embedding[k * 32 + i + 1] > 0 THEN 1::BIGINT << (31 - i) ELSE 0 END)) AS BIGINT)) AS l FROM embeddings)
+    SELECT * FROM (SELECT a.vec_id AS left_key, b.vec_id AS right_key, CAST(bit_count(xor(a.l[1], b.l[1])) AS INT) + CAST(bit_count(xor(a.l[2], b.l[2])) AS INT) AS distance FROM e a JOIN e b ON a.vec_id < b.vec_id) WHERE distance <= 18""")
+def phash_pairs_loose(spark, d):
+    lane = lambda k: F.expr(f"aggregate(sequence(0, 31), 0L, (s, i) -> s + if(embedding[{32 * k} + i] > 0, shiftleft(1L, 31 - i), 0L))")
+    rows = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.array(lane(0), lane(1)).alias("lanes"))
+    met = matching.hamming_pairs(rows, "lanes", 2, hashes.limits(LOOSE)["phash"], [])
+    return met.select(F.col("l_key").alias("left_key"), F.col("r_key").alias("right_key"), "distance")
+
+
+def _keys(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("left", "left_key").withColumnRenamed("right", "right_key")
+
+
+@query(sql("docs", "visual", "words", "hashed", "laned", "stills", "o_pdq", then='SELECT "left" AS left_key, "right" AS right_key, distance, score, reason FROM o_pdq'))
+def pdq_pairs(spark, d):
+    return _keys(matching.pdq_stage(fx.visual(spark, d), STRICT))
+
+
+@query(sql("docs", "visual", "segments", "segdist", "cropped", "o_crop", then='SELECT "left" AS left_key, "right" AS right_key, score, reason FROM o_crop'))
+def crop_pairs(spark, d):
+    return _keys(matching.crop_stage(fx.visual(spark, d), STRICT))
+
+
+@query(sql("docs", "visual", "frames", "vcand", then='SELECT "left" AS left_key, "right" AS right_key, shared, required FROM vcand'))
+def vpdq_candidates(spark, d):
+    return _keys(matching.vpdq_candidates(fx.visual(spark, d)))
+
+
+@query(sql("docs", "visual", "frames", "vcand", "o_vpdq", then='SELECT "left" AS left_key, "right" AS right_key, score, reason FROM o_vpdq').replace("<= 25 GROUP", "<= 45 GROUP").replace("0.45::DOUBLE + 0.4::DOUBLE", "0.45::DOUBLE"))
+def vpdq_pairs(spark, d):
+    return _keys(matching.vpdq_stage(fx.visual(spark, d), LOOSE))
+
+
+def _best(spark, d) -> tuple[DataFrame, DataFrame]:
+    assets = fx.visual(spark, d)
+    return assets, staged(matching.offers(assets, STRICT), "offers")
+
+
+@query(sql(*_ALL, "offered", "best", then='SELECT "left" AS left_key, "right" AS right_key, score, reason, qualified FROM best'))
+def candidate_best(spark, d):
+    return _keys(matching.best_offers(_best(spark, d)[1]))
+
+
+@query(sql(*_ALL, "offered", "best", then='SELECT "left" AS left_key, "right" AS right_key, score, reason FROM best WHERE score >= 87 OR qualified'))
+def selected_pairs(spark, d):
+    return _keys(matching.selected(matching.best_offers(_best(spark, d)[1]), STRICT))
+
+
+# the reviewer's greedy rule, one vertex in rank order at a time
+_ORIENT = """, chosen AS (SELECT * FROM best WHERE score >= 87 OR qualified),
+    both_ AS (SELECT "left" AS a, "right" AS b, score, reason FROM chosen UNION ALL SELECT "right", "left", score, reason FROM chosen),
+    nodes AS (SELECT r.key, row_number() OVER (ORDER BY r.place) AS n, list({'b': e.b, 'score': e.score, 'reason': e.reason}) AS nb FROM ranked r JOIN both_ e ON e.a = r.key GROUP BY r.key, r.place),
+    walk(n, gone, made) AS (SELECT 0::BIGINT, []::VARCHAR[], []::STRUCT(s VARCHAR, c VARCHAR, score DOUBLE, reason VARCHAR)[] UNION ALL
+        SELECT w.n + 1, CASE WHEN list_contains(w.gone, x.key) THEN w.gone ELSE list_concat(w.gone, list_transform(list_filter(x.nb, lambda y: NOT list_contains(w.gone, y.b)), lambda y: y.b), [x.key]) END,
+            CASE WHEN list_contains(w.gone, x.key) THEN w.made ELSE list_concat(w.made, list_transform(list_filter(x.nb, lambda y: NOT list_contains(w.gone, y.b)), lambda y: {'s': x.key, 'c': y.b, 'score': y.score, 'reason': y.reason})) END
+        FROM walk w JOIN nodes x ON x.n = w.n + 1)
+    SELECT m.s AS survivor, m.c AS candidate, m.score AS score, 'automatic survivor; ' || m.reason AS reason FROM (SELECT unnest(made) AS m FROM (SELECT made FROM walk ORDER BY n DESC LIMIT 1))"""
+
+
+@query(sql(*_ALL, "offered", "best", "ranked", then="").replace("WITH docs", "WITH RECURSIVE docs", 1).rstrip() + _ORIENT)
+def oriented_pairs(spark, d):
+    assets, offered = _best(spark, d)
+    return orient.oriented_pairs(matching.selected(matching.best_offers(offered), STRICT), assets)
+
+
+@query(sql(*_ALL, "offered", then="").rstrip() + ", " + ", ".join(
+    f"f{k} AS (SELECT {k} AS k, count(*) AS pairs FROM (SELECT max(round_even(least(100.0::DOUBLE, score), 2)) AS s, bool_or(stage = 3) AS q FROM offered WHERE stage <= {k} GROUP BY \"left\", \"right\") WHERE s >= 87 OR q)" for k in range(1, 5)
+) + " SELECT ['phash', 'pdq', 'images', 'complete'][k] AS stage, pairs FROM (" + " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(1, 5)) + ")")
+def stage_counts(spark, d):
+    """Pairs selected after each stage, those of earlier stages among them."""
+    _, offered = _best(spark, d)
+    upto = offered.withColumn("n", F.explode(F.sequence(F.col("stage"), F.lit(4))))
+    best = upto.groupBy("n", "left", "right").agg(F.max(F.bround(F.least(F.lit(100.0), "score"), 2)).alias("score"), F.max(F.col("stage") == 3).alias("qualified"))
+    counted = matching.selected(best, STRICT).groupBy("n").agg(F.count(F.lit(1)).alias("pairs"))
+    return counted.select(F.get(F.array(*map(F.lit, matching.STAGES)), F.col("n")).alias("stage"), "pairs")
+
+
+# Inventory --------------------------------------------------------------------------------------------------------
+
+@query(sql("stored", "listing", then="SELECT coalesce(s.key, n.key) AS key, CASE WHEN s.key IS NULL THEN 'new' WHEN n.key IS NULL THEN 'missing' WHEN s.etag <> n.etag OR s.size <> n.size THEN 'changed' ELSE 'same' END AS status FROM stored s FULL JOIN listing n ON n.key = s.key"))
+def inventory_diff(spark, d):
+    return inventory.diff(fx.orders_stored(spark, d), fx.orders_listing(spark, d))
+
+
+_AFTER = "after_ AS (SELECT coalesce(s.key, n.key) AS key, coalesce(n.size, s.size) AS size, CASE WHEN n.key IS NULL OR (s.key IS NOT NULL AND s.etag = n.etag AND s.size = n.size) THEN s.sha256 END AS sha256, CASE WHEN n.key IS NULL OR (s.key IS NOT NULL AND s.etag = n.etag AND s.size = n.size) THEN s.scan_error END AS scan_error, CASE WHEN n.key IS NULL THEN s.deleted ELSE false END AS deleted FROM stored s FULL JOIN listing n ON n.key = s.key)"
+fx.SQL["after"] = _AFTER
+
+
+@query(sql("stored", "listing", "after", then="SELECT key, size, sha256, scan_error, deleted FROM after_"))
+def inventory_upsert(spark, d):
+    return inventory.upsert(fx.orders_stored(spark, d), fx.orders_listing(spark, d)).select("key", "size", "sha256", "scan_error", "deleted")
+
+
+@query(sql("stored", then="SELECT count(*) AS total, count(*) FILTER (NOT deleted) AS live, count(*) FILTER (NOT deleted AND sha256 IS NOT NULL) AS hashed, count(*) FILTER (scan_error IS NOT NULL) AS errors FROM stored"))
+def inventory_counts(spark, d):
+    stored = fx.orders_stored(spark, d)
+    none = spark.createDataFrame([], "id long, left_key string, right_key string, status string, key string, pair_id long")
+    return inventory.counts(stored, none, none.select("key", "pair_id"), none.select("key")).select("total", "live", "hashed", "errors")
+
+
+@query(sql("stored", "listing", then="SELECT key FROM stored WHERE NOT deleted AND key NOT IN (SELECT key FROM listing)"))
+def missing_marked(spark, d):
+    stored = fx.orders_stored(spark, d)
+    marked = inventory.mark_missing(stored, fx.orders_listing(spark, d)).filter("deleted").select("key")
+    return marked.join(stored.filter("deleted").select("key"), "key", "left_anti")
+
+
+@query(sql("stored", then="SELECT key FROM stored WHERE NOT deleted AND sha256 IS NULL"))
+def pending_hash(spark, d):
+    return inventory.pending(fx.orders_stored(spark, d))
+
+
+def _tag_state(spark, d) -> DataFrame:
+    return fx.orders_stored(spark, d).select(
+        "key", "size", "etag", F.lit("jpg").alias("extension"), F.when(F.col("scan_error").isNotNull(), "error").when(F.col("sha256").isNotNull(), "tagged").otherwise("pending").alias("state"),
+        F.when(F.col("sha256").isNotNull(), F.array(F.lit("a"), F.substring("sha256", 1, 1))).alias("tags"), F.col("scan_error").alias("error"),
+    )
+
+
+fx.SQL["synced"] = """synced AS (SELECT n.key, n.size, n.etag, CASE WHEN s.etag = n.etag AND s.size = n.size THEN CASE WHEN scan_error IS NOT NULL THEN 'error' WHEN sha256 IS NOT NULL THEN 'tagged' ELSE 'pending' END ELSE 'pending' END AS state,
+    CASE WHEN s.etag = n.etag AND s.size = n.size AND sha256 IS NOT NULL THEN 'a,' || substr(sha256, 1, 1) END AS tags FROM listing n LEFT JOIN stored s ON s.key = n.key)"""
+
+
+@query(sql("stored", "listing", "synced", then="SELECT key, size, etag, state, tags FROM synced"))
+def tag_sync(spark, d):
+    listing = fx.orders_listing(spark, d).withColumn("extension", F.lit("jpg"))
+    return inventory.tag_sync(_tag_state(spark, d), listing).select("key", "size", "etag", "state", F.array_join("tags", ",").alias("tags"))
+
+
+@query(sql("stored", "listing", "synced", then="SELECT count(*) AS total, count(*) FILTER (state = 'tagged') AS tagged, count(*) FILTER (state = 'error') AS errors FROM synced"))
+def tag_counts(spark, d):
+    listing = fx.orders_listing(spark, d).withColumn("extension", F.lit("jpg"))
+    return inventory.tag_counts(inventory.tag_sync(_tag_state(spark, d), listing))
+
+
+# Review queues: pairs of part and supplier orders stand for found pairs -------------------------------------------
+
+def _found(spark, d) -> DataFrame:
+    """Pairs as found: lines of an order point from its key to a part's key, several times with other similarities."""
+    li = fx.table(spark, d, "lineitem")
+    return li.select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("ordinal"), F.concat(F.lit("o/"), F.col("l_orderkey").cast("string"), F.lit(".jpg")).alias("left_key"),
+        F.concat(F.lit("o/"), (F.col("l_partkey") % 997 * 4 + 1).cast("string"), F.lit(".jpg")).alias("right_key"), F.bround(50 + F.col("l_quantity").cast("double"), 2).alias("similarity"), F.col("l_returnflag").alias("reason"),
+    ).filter("left_key <> right_key")
+
+
+def _previous(spark, d) -> DataFrame:
+    return _found(spark, d).filter("ordinal % 9 = 0").select("left_key", "right_key", F.lit("excluded").alias("status"))
+
+
+def _live(spark, d) -> DataFrame:
+    return fx.orders_stored(spark, d).select("key", "size", "deleted")
+
+
+fx.SQL["found"] = """found AS (SELECT * FROM (SELECT l_orderkey * 8 + l_linenumber AS ordinal, 'o/' || l_orderkey || '.jpg' AS left_key, 'o/' || (l_partkey % 997 * 4 + 1) || '.jpg' AS right_key, round_even(50 + CAST(l_quantity AS DOUBLE), 2) AS similarity, l_returnflag AS reason FROM lineitem) WHERE left_key <> right_key)"""
+fx.SQL["pairs"] = """pairs AS (SELECT min(f.ordinal)::BIGINT AS id, f.left_key, f.right_key, max(f.similarity) AS similarity, arg_max(f.reason, {'s': f.similarity, 'o': -f.ordinal}) AS reason, CASE WHEN bool_or(f.ordinal % 9 = 0) THEN 'excluded' ELSE 'included' END AS status FROM found f GROUP BY 2, 3)"""
+fx.SQL["queue"] = """queue AS (SELECT p.right_key AS key, min(p.id) AS pair_id FROM pairs p JOIN stored l ON l.key = p.left_key AND NOT l.deleted JOIN stored r ON r.key = p.right_key AND NOT r.deleted WHERE p.status = 'included' GROUP BY 1)"""
+fx.SQL["digests"] = """digests AS (SELECT * FROM (SELECT 'o/' || (l_partkey % 997 * 4 + 1) || '.jpg' AS key, arg_max('o/' || l_orderkey || '.jpg', l_orderkey * 8 + l_linenumber) AS survivor_key FROM lineitem WHERE l_suppkey % 3 = 0 AND l_partkey % 5 = 0 GROUP BY 1) WHERE key <> survivor_key)"""
+fx.SQL["united"] = """united AS (SELECT q.key, q.pair_id, s.size FROM queue q JOIN stored s ON s.key = q.key AND NOT s.deleted WHERE q.key NOT IN (SELECT key FROM digests) UNION ALL SELECT g.key, NULL, s.size FROM digests g JOIN stored s ON s.key = g.key AND NOT s.deleted)"""
+fx.SQL["results"] = """results AS (SELECT key, pair_id, size, CASE size % 10 WHEN 0 THEN 'access denied' WHEN 1 THEN 'store did not confirm deletion' ELSE 'deleted' END AS result FROM united)"""
+_QUEUES = ("stored", "found", "pairs", "queue", "digests", "united", "results")
+
+
+def _pairs(spark, d) -> DataFrame:
+    return review.replace_pairs(_found(spark, d), _previous(spark, d))
+
+
+def _digests(spark, d) -> DataFrame:
+    li = fx.table(spark, d, "lineitem").filter("l_suppkey % 3 = 0 and l_partkey % 5 = 0")
+    return review.sha_queue(li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ordinal"), F.concat(F.lit("o/"), F.col("l_orderkey").cast("string"), F.lit(".jpg")).alias("survivor_key"), F.concat(F.lit("o/"), (F.col("l_partkey") % 997 * 4 + 1).cast("string"), F.lit(".jpg")).alias("deletion_key")))
+
+
+def _united(spark, d) -> DataFrame:
+    return review.queue_union(review.deletion_queue(_pairs(spark, d), _live(spark, d)), _digests(spark, d), _live(spark, d))
+
+
+def _results(spark, d) -> DataFrame:
+    queued = _united(spark, d)
+    response = queued.filter("size % 10 <> 1").select("key", F.when(F.col("size") % 10 == 0, "access denied").otherwise("deleted").alias("result")).distinct()
+    return review.results(queued, response)
+
+
+@query(sql("found", "pairs", then="SELECT id, left_key, right_key, similarity, reason, status FROM pairs"))
+def pairs_replace(spark, d):
+    return _pairs(spark, d)
+
+
+@query(sql("stored", "found", "pairs", then="SELECT p.id, p.left_key, p.right_key, p.similarity FROM pairs p JOIN stored l ON l.key = p.left_key AND NOT l.deleted JOIN stored r ON r.key = p.right_key AND NOT r.deleted"))
+def review_pairs(spark, d):
+    return review.review_order(review.live_pairs(_pairs(spark, d), _live(spark, d))).select("id", "left_key", "right_key", "similarity")
+
+
+@query(sql("stored", "found", "pairs", "queue", then="SELECT key, pair_id FROM queue"))
+def deletion_queue(spark, d):
+    return review.deletion_queue(_pairs(spark, d), _live(spark, d))
+
+
+@query(sql("digests", then="SELECT key, survivor_key FROM digests"))
+def sha_queue(spark, d):
+    return _digests(spark, d)
+
+
+@query(sql(*_QUEUES[:-1], then="SELECT key, pair_id, size FROM united"))
+def queue_union(spark, d):
+    return _united(spark, d)
+
+
+@query(sql(*_QUEUES, then="SELECT r.key AS deleted_key, CASE WHEN r.pair_id IS NOT NULL THEN p.left_key ELSE g.survivor_key END AS survivor_key, r.pair_id, r.size, r.result FROM results r LEFT JOIN pairs p ON p.id = r.pair_id LEFT JOIN digests g ON g.key = r.key"))
+def deletion_ledger(spark, d):
+    return review.ledger(_results(spark, d), _pairs(spark, d), _digests(spark, d))
+
+
+@query(sql(*_QUEUES, then="SELECT CAST(coalesce(sum(size) FILTER (result = 'deleted'), 0) AS BIGINT) AS bytes, count(*) FILTER (result = 'deleted') AS deleted, count(*) FILTER (result <> 'deleted') AS failed FROM results"))
+def reclaimed_bytes(spark, d):
+    return review.reclaimed(_results(spark, d))
+
+
+@query(sql("stored", "found", "pairs", then="SELECT p.right_key AS key, min(p.id) AS pair_id FROM pairs p JOIN stored l ON l.key = p.left_key AND NOT l.deleted JOIN stored r ON r.key = p.right_key AND NOT r.deleted WHERE p.status = 'included' AND p.left_key <> 'o/1.jpg' AND p.right_key <> 'o/1.jpg' GROUP BY 1"))
+def reverse_delete(spark, d):
+    return review.reverse_delete(_pairs(spark, d), _digests(spark, d), _live(spark, d), "o/1.jpg")[2]
+
+
+# Index ------------------------------------------------------------------------------------------------------------
+
+@query(sql("items", "objects", then="""SELECT key, arg_max(ext, o) AS ext, arg_max(size, o) AS size FROM (SELECT key, ext, size, ordinal AS o FROM items UNION ALL SELECT key, ext, size, 100000000000 FROM objects WHERE size % 3 = 0) GROUP BY 1"""))
+def index_merge(spark, d):
+    extra = fx.index_objects(spark, d).filter("size % 3 = 0").select(F.lit(0).cast("long").alias("ordinal"), "key", names.extension(F.col("key")).alias("ext"), "size")
+    return index.merge(fx.index_items(spark, d), extra).select("key", "ext", "size")
+
+
+@query(sql("items", "objects", then="SELECT ordinal, key, ext, size FROM items WHERE key NOT IN (SELECT key FROM objects WHERE size % 2 = 0)"))
+def index_remove(spark, d):
+    return index.remove(fx.index_items(spark, d), fx.index_objects(spark, d).filter("size % 2 = 0"))[0].select("ordinal", "key", "ext", "size")
+
+
+@query(sql("items", "objects", then="SELECT key, ext, size FROM objects WHERE size > 0 AND key NOT IN (SELECT key FROM items)"))
+def index_repair(spark, d):
+    return index.missing(fx.index_items(spark, d), fx.index_objects(spark, d))
+
+
+@query(sql("items", "objects", then="""SELECT (SELECT count(*) FROM items) AS actual_index_rows, (SELECT count(DISTINCT key) FROM items) AS unique_random_keys, (SELECT count(*) - count(DISTINCT key) FROM items) AS duplicate_key_rows,
+    (SELECT count(*) FILTER (ext IN ('jpg', 'jpeg', 'png', 'webp')) FROM items) AS random_still_rows, (SELECT count(*) FILTER (ext IN ('gif', 'mp4', 'm4v', 'webm')) FROM items) AS random_clip_rows, (SELECT count(*) FILTER (ext = 'bmp') FROM items) AS extension_mismatch_rows,
+    (SELECT count(*) FILTER (size <= 0) FROM items) AS invalid_size_rows, (SELECT count(*) FROM objects) AS gallery_objects, (SELECT count(*) FILTER (size > 0) FROM objects) AS supported_media_objects,
+    (SELECT count(DISTINCT key) FROM items WHERE key NOT IN (SELECT key FROM objects)) AS indexed_keys_missing, (SELECT count(*) FROM objects WHERE size > 0 AND key NOT IN (SELECT key FROM items)) AS supported_objects_not_indexed, false AS clean"""))
+def index_audit(spark, d):
+    rows = fx.index_items(spark, d).select(F.lit(True).alias("is_object"), "key", "ext", "size")
+    report = index.audit(rows, fx.index_objects(spark, d), "gallery/")
+    return report.select("actual_index_rows", "unique_random_keys", "duplicate_key_rows", "random_still_rows", "random_clip_rows", "extension_mismatch_rows", "invalid_size_rows", "gallery_objects", "supported_media_objects", "indexed_keys_missing", "supported_objects_not_indexed", "clean")
+
+
+@query(sql("items", "objects", then="SELECT ordinal, key, ext, size FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ordinal) AS n FROM items WHERE ext <> 'bmp' AND size > 0 AND key NOT IN (SELECT key FROM objects)) WHERE n = 1"))
+def index_uploads(spark, d):
+    return index.uploads(fx.index_items(spark, d), fx.index_objects(spark, d), 500).select("ordinal", "key", "ext", "size")
+
+
+@query(sql("items", then="SELECT bucket, count(*) AS items FROM (SELECT unnest(CASE WHEN ext = 'bmp' THEN ['all'] ELSE ['all', ext, CASE WHEN ext IN ('gif', 'mp4', 'm4v', 'webm') THEN 'clips' ELSE 'stills' END] END) AS bucket FROM items) GROUP BY 1"))
+def bucket_counts(spark, d):
+    return index.bucket_counts(fx.index_items(spark, d))
+
+
+@query(sql("items", then="SELECT arg_min(key, h) AS key, arg_min(ext, h) AS ext, count(*) AS total FROM (SELECT key, ext, sha256('7:' || ordinal || ':' || key) AS h FROM items WHERE ext IN ('gif', 'mp4', 'm4v', 'webm'))"))
+def random_pick_deterministic(spark, d):
+    return index.random_pick(fx.index_items(spark, d), "clips", 7)
+
+
+# Tags -------------------------------------------------------------------------------------------------------------
+
+fx.SQL["catalog"] = "catalog AS (SELECT row_number() OVER (ORDER BY count DESC, name) - 1 AS id, * FROM (SELECT name, count(*) AS count FROM (SELECT key, unnest(list_distinct(tags)) AS name FROM tagged) GROUP BY 1))"
+
+
+@query(sql("tagged", "catalog", then="SELECT CAST(id AS INT) AS id, name, count FROM catalog"))
+def tag_catalog(spark, d):
+    return tags.catalog(fx.tagged(spark, d))
+
+
+@query(sql("tagged", "catalog", then="SELECT t.key, t.ext, CAST(t.pos - 1 AS INT) AS pos, CAST(c.id AS INT) AS tag_id FROM (SELECT key, ext, generate_subscripts(tags, 1) AS pos, unnest(tags) AS name FROM tagged) t JOIN catalog c ON c.name = t.name"))
+def tag_index_items(spark, d):
+    rows = fx.tagged(spark, d)
+    return tags.index_items(rows, tags.catalog(rows))
+
+
+@query(sql("tagged", "catalog", then="SELECT key, ext FROM tagged WHERE key NOT IN (SELECT t.key FROM (SELECT key, unnest(tags) AS name FROM tagged) t JOIN catalog c ON c.name = t.name WHERE c.id % 20 = 19)"))
+def tag_validate(spark, d):
+    rows = fx.tagged(spark, d)
+    entries = tags.catalog(rows)
+    items = tags.index_items(rows, entries).groupBy("key", "ext").agg(F.collect_list("tag_id").alias("tags"))
+    broken = entries.withColumn("count", F.when(F.col("id") % 20 == 19, 0).otherwise(F.col("count")))
+    return tags.valid_items(items, broken, "gallery/").select("key", "ext")
+
+
+@query(sql("tagged", then="SELECT key, ext FROM tagged WHERE list_contains(tags, 'Brand#11') AND ext IN ('jpg', 'jpeg', 'png', 'webp')"))
+def tag_and_filter(spark, d):
+    return tags.with_all(fx.tagged(spark, d), ["Brand#11"], "stills").select("key", "ext")
+
+
+@query("SELECT user_id AS key, event_type AS tag, round_even(max(value / (value + 10)), 6) AS score FROM events WHERE value / (value + 10) > 0 GROUP BY 1, 2 HAVING max(value / (value + 10)) >= 0.4")
+def frame_max_tags(spark, d):
+    scores = fx.table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("tag"), (F.col("value") / (F.col("value") + 10)).alias("score"))
+    return tags.frame_max(scores).withColumn("score", F.bround("score", 6))
+
+
+# Sources, names, texts --------------------------------------------------------------------------------------------
+
+_SOURCES = """sources AS (SELECT s_suppkey * 4 + v AS ordinal, CASE v WHEN 0 THEN replace(s_name, '#', '_') WHEN 1 THEN '/r/' || lower(substr(replace(s_name, '#', '_'), 1, 12)) || '/' WHEN 2 THEN 'https://www.example.com/r/' || substr(replace(s_name, '#', '_'), 1, 14) || '//' ELSE 'placeholder' || s_suppkey END AS value FROM supplier, range(4) t(v))"""
+fx.SQL["sources"] = _SOURCES
+_NORMAL = "CASE WHEN value LIKE 'placeholder%' THEN '' WHEN value LIKE 'https://%' THEN rtrim(value, '/') || '/' WHEN regexp_full_match(regexp_replace(trim(value, '/'), '^[rR]/', ''), '[A-Za-z0-9_]{3,21}') THEN 'https://www.example.com/r/' || regexp_replace(trim(value, '/'), '^[rR]/', '') || '/new/' ELSE '' END"
+
+
+def _sources(spark, d) -> DataFrame:
+    n = F.replace(F.col("s_name"), F.lit("#"), F.lit("_"))
+    forms = F.array(n, F.concat(F.lit("/r/"), F.lower(F.substring(n, 1, 12)), F.lit("/")), F.concat(F.lit("https://www.example.com/r/"), F.substring(n, 1, 14), F.lit("//")), F.concat(F.lit("placeholder"), F.col("s_suppkey").cast("string")))
+    return fx.table(spark, d, "supplier").select("s_suppkey", F.posexplode(forms).alias("v", "value")).select((F.col("s_suppkey") * 4 + F.col("v")).alias("ordinal"), "value")
+
+
+@query(sql("sources", then=f"SELECT ordinal, {_NORMAL} AS address, coalesce(CASE WHEN value LIKE 'https://%' THEN nullif(substr(rtrim(value, '/'), 27), '') WHEN regexp_full_match(regexp_replace(trim(value, '/'), '^[rR]/', ''), '[A-Za-z0-9_]{{3,21}}') THEN regexp_replace(trim(value, '/'), '^[rR]/', '') END, '') AS name FROM sources"))
+def sources_normalized(spark, d):
+    return _sources(spark, d).select("ordinal", names.normalize_source(F.col("value"), SITE).alias("address"), names.source_name(F.col("value"), HOSTS).alias("name"))
+
+
+@query(sql("sources", then="SELECT ordinal, value FROM (SELECT ordinal, lower(value) AS l, value, row_number() OVER (PARTITION BY lower(value) ORDER BY ordinal) AS n FROM (SELECT ordinal, substr(value, 1, 16) AS value FROM sources)) WHERE n = 1"))
+def sources_deduped(spark, d):
+    return inventory.dedupe_sources(_sources(spark, d).select("ordinal", F.substring("value", 1, 16).alias("value")))
+
+
+@query()
+def object_keys(spark, d):
+    rel = F.concat(F.lit("c/"), F.col("c_custkey").cast("string"))
+    return fx.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), names.object_key("/gallery/", rel, F.concat("c_name", F.lit(" é.jpg")), F.encode("c_mktsegment", "UTF-8")).alias("object_key"))
+
+
+ORACLES["object_keys"] = r"SELECT c_custkey AS id, 'gallery/' || substr(sha1(CAST('c/' || c_custkey AS BLOB) || '\x00'::BLOB || CAST(c_mktsegment AS BLOB)), 1, 20) || '_' || right(regexp_replace(c_name || ' é.jpg', '[^\p{L}\p{N}._-]', '_', 'g'), 160) AS object_key FROM customer"
+_HTML = "html"
+for _p, _b in ((r"<style[\s\S]*?</style>", "''"), (r"<script[\s\S]*?</script>", "''"), (r"<br\s*/?>", "chr(10)"), (r"</p>", "chr(10) || chr(10)"), (r"<[^>]+>", "''"), (r"&nbsp;", "' '"), (r"&amp;", "'&'"), (r"&lt;", "'<'"), (r"&gt;", "'>'")):
+    _HTML = f"regexp_replace({_HTML}, '{_p}', {_b}, 'gi')"
+
+
+@query(f"SELECT page_id, {_HTML} AS body FROM pages")
+def html_body(spark, d):
+    return fx.table(spark, d, "pages").select("page_id", html_text(F.col("html")).alias("body"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'admin' WHEN c_custkey % 3 = 1 AND NOT (c_custkey % 7 = 0) THEN replace(c_name, '#', '.') END AS recipient FROM customer")
+def recipient_clean(spark, d):
+    name = F.replace(F.col("c_name"), F.lit("#"), F.lit("."))
+    k = F.col("c_custkey")
+    local = F.when(k % 3 == 0, "Admin").when(k % 3 == 2, name).otherwise(F.concat(F.when(k % 7 == 0, ".").otherwise(""), name, F.lit("+key")))
+    return fx.table(spark, d, "customer").select(k.alias("id"), names.clean_recipient(local, "+key", ["admin", "hello"]).alias("recipient"))
+
+
+@query("SELECT l_orderkey AS id, g * 3 AS idx, CAST(sum(delay) AS BIGINT) AS delay FROM (SELECT l_orderkey, CAST(ceil((l_linenumber - 1) / 3.0) AS BIGINT) AS g, greatest(20, CAST(l_quantity AS INT)) AS delay, l_linenumber - 1 AS idx FROM lineitem) GROUP BY 1, g HAVING bool_or(idx % 3 = 0) AND max(idx) = g * 3")
+def preview_sample(spark, d):
+    """Frames kept of an order's lines, every third, with the delay since the last kept one; a trailing rest is dropped."""
+    idx = F.col("l_linenumber") - 1
+    rows = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.ceil(idx / 3).alias("g"), F.greatest(F.lit(20), F.col("l_quantity").cast("int")).alias("delay"), idx.alias("idx"))
+    kept = rows.groupBy("id", "g").agg(F.sum("delay").cast("long").alias("delay"), F.max("idx").alias("last")).filter("last = g * 3")
+    return kept.select("id", (F.col("g") * 3).alias("idx"), "delay")
+
+
+@query("SELECT p_partkey AS id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) AS positions FROM (SELECT DISTINCT p_partkey, CAST(round_even(i * ((p_size - 1)::DOUBLE / (c - 1)), 0) AS INT) AS v FROM (SELECT p_partkey, p_size, least(p_size, 12) AS c, unnest(range(least(p_size, 12))) AS i FROM part WHERE p_size > 1) UNION ALL SELECT p_partkey, 0 FROM part WHERE p_size <= 1) GROUP BY 1")
+def sample_positions(spark, d):
+    total = F.col("p_size")
+    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(samples.sample_positions(total, F.lit(12)).cast("array<string>"), ",").alias("positions"))
+
+
+@query("SELECT c_custkey AS id, 'https://media.example.com/' || url_encode('gallery/' || c_name || ' *~é+.jpg') AS url FROM customer")
+def media_url(spark, d):
+    return fx.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), names.media_url(BASE, F.concat(F.lit("gallery/"), F.col("c_name"), F.lit(" *~é+.jpg"))).alias("url"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN CAST(CAST(round_even(b / 1024.0::DOUBLE, 1) AS DECIMAL(20,1)) AS VARCHAR) || ' KB' WHEN b < 1073741824 THEN CAST(CAST(round_even(b / 1048576.0::DOUBLE, 1) AS DECIMAL(20,1)) AS VARCHAR) || ' MB' ELSE CAST(CAST(round_even(b / 1073741824.0::DOUBLE, 1) AS DECIMAL(20,1)) AS VARCHAR) || ' GB' END AS size FROM (SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * (o_orderkey % 4 * o_orderkey + 1) AS b FROM orders)")
+def human_bytes(spark, d):
+    k = F.col("o_orderkey").cast("long")
+    return fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), names.human_bytes(k * (k % 4 * k + 1)).alias("size"))
