@@ -229,7 +229,7 @@ def _found(spark, d) -> DataFrame:
     """Pairs as found: lines of an order point from its key to a part's key, several times with other similarities."""
     li = fx.table(spark, d, "lineitem")
     return li.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("ordinal"), F.concat(F.lit("o/"), F.col("l_orderkey").cast("string"), F.lit(".jpg")).alias("left_key"),
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).cast("long").alias("ordinal"), F.concat(F.lit("o/"), F.col("l_orderkey").cast("string"), F.lit(".jpg")).alias("left_key"),
         F.concat(F.lit("o/"), (F.col("l_partkey") % 997 * 4 + 1).cast("string"), F.lit(".jpg")).alias("right_key"), F.bround(50 + F.col("l_quantity").cast("double"), 2).alias("similarity"), F.col("l_returnflag").alias("reason"),
     ).filter("left_key <> right_key")
 
@@ -242,7 +242,7 @@ def _live(spark, d) -> DataFrame:
     return fx.orders_stored(spark, d).select("key", "size", "deleted")
 
 
-fx.SQL["found"] = """found AS (SELECT * FROM (SELECT l_orderkey * 8 + l_linenumber AS ordinal, 'o/' || l_orderkey || '.jpg' AS left_key, 'o/' || (l_partkey % 997 * 4 + 1) || '.jpg' AS right_key, round_even(50 + CAST(l_quantity AS DOUBLE), 2) AS similarity, l_returnflag AS reason FROM lineitem) WHERE left_key <> right_key)"""
+fx.SQL["found"] = """found AS (SELECT * FROM (SELECT (l_orderkey * 8 + l_linenumber)::BIGINT * 1000000 + l_partkey AS ordinal, 'o/' || l_orderkey || '.jpg' AS left_key, 'o/' || (l_partkey % 997 * 4 + 1) || '.jpg' AS right_key, round_even(50 + CAST(l_quantity AS DOUBLE), 2) AS similarity, l_returnflag AS reason FROM lineitem) WHERE left_key <> right_key)"""
 fx.SQL["pairs"] = """pairs AS (SELECT min(f.ordinal)::BIGINT AS id, f.left_key, f.right_key, max(f.similarity) AS similarity, arg_max(f.reason, {'s': f.similarity, 'o': -f.ordinal}) AS reason, CASE WHEN bool_or(f.ordinal % 9 = 0) THEN 'excluded' ELSE 'included' END AS status FROM found f GROUP BY 2, 3)"""
 fx.SQL["queue"] = """queue AS (SELECT p.right_key AS key, min(p.id) AS pair_id FROM pairs p JOIN stored l ON l.key = p.left_key AND NOT l.deleted JOIN stored r ON r.key = p.right_key AND NOT r.deleted WHERE p.status = 'included' GROUP BY 1)"""
 fx.SQL["digests"] = """digests AS (SELECT * FROM (SELECT 'o/' || (l_partkey % 997 * 4 + 1) || '.jpg' AS key, arg_max('o/' || l_orderkey || '.jpg', l_orderkey * 8 + l_linenumber) AS survivor_key FROM lineitem WHERE l_suppkey % 3 = 0 AND l_partkey % 5 = 0 GROUP BY 1) WHERE key <> survivor_key)"""
