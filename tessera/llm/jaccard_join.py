@@ -223,11 +223,11 @@ class _Sets:
 def _verified(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """Of pairs (pivot, doc_id) the links (a, b): texts are joined to either end, only those that are asked for if they are few.
 
-    Both joins are between plain shuffles, so that a pivot with very many pairs is split at run time.
+    Both joins are merge joins between plain shuffles, at every size, so that a pivot with very many pairs is split at run time.
     """
     ids = pairs.select(F.explode(F.array("pivot", "doc_id")).alias("doc_id")).distinct()
     texts = sized_semi_join(docs.select("doc_id", "text"), ids)
-    both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
+    both = pairs.hint("merge").join(texts, "doc_id").hint("merge").join(texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, pivot = None, np.zeros(0, np.uint64)
