@@ -16,10 +16,10 @@ SALTS = 16
 ROUNDS = 60
 
 
-def _with_least(pairs: DataFrame) -> DataFrame:
-    """(u, v) with ``least``: the smallest of u and its neighbours v. The minima are broadcast only if counted as few."""
+def _with_least(pairs: DataFrame, few: bool) -> DataFrame:
+    """(u, v) with ``least``: the smallest of u and its neighbours v. The minima are broadcast only if the edges were counted as few."""
     least = pairs.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
-    if least.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if few:
         return pairs.join(F.broadcast(least), "u")
     salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"])
@@ -27,21 +27,22 @@ def _with_least(pairs: DataFrame) -> DataFrame:
 
 def _are_stars(edges: DataFrame) -> bool:
     """Whether each vertex has one edge down and none leads on: then the stars are the components."""
-    chained = edges.join(edges.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi")
-    return edges.groupBy("hi").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty() and chained.isEmpty()
+    roles = edges.select(F.col("hi").alias("v"), F.lit(1).alias("high"), F.lit(0).alias("low")).union(edges.select("lo", F.lit(0), F.lit(1)))
+    seen = roles.groupBy("v").agg(F.sum("high").alias("high"), F.max("low").alias("low"))
+    return seen.filter("high > 1 or (high = 1 and low = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every vertex of the edges (a, b: long); a component is its least id."""
     e = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     e = staged(e, "components")
+    few = e.count() <= BROADCAST_ROWS // 2  # vertices are at most twice the edges, and steps never add edges
     for _ in range(ROUNDS):
         if _are_stars(e):
             return e.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(e.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        large = _with_least(both).filter("v > u").select(F.col("v").alias("hi"), F.col("least").alias("lo")).distinct()
-        large = staged(large, "components")
-        down = _with_least(large.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
+        large = _with_least(both, few).filter("v > u").select(F.col("v").alias("hi"), F.col("least").alias("lo")).distinct()
+        down = _with_least(large.select(F.col("hi").alias("u"), F.col("lo").alias("v")), few)
         small = down.select(F.col("v").alias("hi"), F.col("least").alias("lo")).union(down.select(F.col("u").alias("hi"), F.col("least").alias("lo"))).filter("hi > lo").distinct()
         e = staged(small, "components")
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
