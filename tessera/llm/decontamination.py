@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import blocks, sized_semi_join, staged
+from tessera.llm.kernels import PLACE, mix
 
 WINDOW, LITERAL, COVER = 8, 4, 0.5
 BROADCAST_WINDOWS = 500_000
@@ -43,34 +44,51 @@ _STRIP = ".,;:!?\"'()[]{}<>*#$%&|-_`~…«»„“”"
 _ENDS = (".", "!", "?", ":")
 
 
+PLAIN, CAPITAL, NUMERAL, MEASURE, EMPTY = range(5)
+_REMEMBERED = 200_000
+_kinds: dict[str, tuple[int, str, str, bool, bool]] = {}
+_hashes: dict[str, int] = {}
+
+
+def _kind(raw: str) -> tuple[int, str, str, bool, bool]:
+    """What a word is by itself: kind, its text, a measure's unit, whether it may be a unit, whether a sentence ends with it."""
+    word = raw.strip(_STRIP)
+    low, ends = word.lower(), raw.endswith(_ENDS)
+    if not word:
+        out = (EMPTY, "", "", False, False)
+    elif not word[0].isalpha() and _NUMBER.match(word):
+        out = (NUMERAL, word, "", False, ends)
+    elif not word[0].isalpha() and (both := _NUMBER_UNIT.match(word)) and both[2].lower() in UNITS:
+        out = (MEASURE, both[1], both[2].lower(), False, ends)
+    else:
+        out = (CAPITAL if word[0].isupper() and not word.isupper() else PLAIN, low, "", low in UNITS, ends)
+    if len(_kinds) >= _REMEMBERED:
+        _kinds.clear()
+    _kinds[raw] = out
+    return out
+
+
 def template(text: str) -> tuple[list[str], list[str]]:
     """Template words of a text, and for each the text of its slot ('' for ordinary words)."""
     words: list[str] = []
     slots: list[str] = []
-    begins = True  # a sentence, whose first word's capital says nothing
+    known = _kinds
     for line in text.split("\n"):
-        begins = True
+        begins = True  # a sentence, whose first word's capital says nothing
         for raw in line.split():
-            word = raw.strip(_STRIP)
-            if not word:
+            kind, low, unit, may_be_unit, ends = known.get(raw) or _kind(raw)
+            if kind == EMPTY:
                 continue
-            if word[0].isdigit() or not word[0].isalpha():
-                if _NUMBER.match(word):
-                    words.append(NUMBER)
-                    slots.append(word)
-                    begins = raw.endswith(_ENDS)
-                    continue
-                both = _NUMBER_UNIT.match(word)
-                if both and both[2].lower() in UNITS:
-                    words += [NUMBER, UNIT]
-                    slots += [both[1], both[2].lower()]
-                    begins = raw.endswith(_ENDS)
-                    continue
-            low = word.lower()
-            if words and words[-1] == NUMBER and low in UNITS:
+            if kind == NUMERAL:
+                words.append(NUMBER)
+                slots.append(low)
+            elif kind == MEASURE:
+                words += (NUMBER, UNIT)
+                slots += (low, unit)
+            elif may_be_unit and words and words[-1] == NUMBER:
                 words.append(UNIT)
                 slots.append(low)
-            elif not begins and word[0].isupper() and not word.isupper():
+            elif kind == CAPITAL and not begins:
                 if words and words[-1] == NAME:
                     slots[-1] += " " + low
                 else:
@@ -79,23 +97,32 @@ def template(text: str) -> tuple[list[str], list[str]]:
             else:
                 words.append(low)
                 slots.append("")
-            begins = raw.endswith(_ENDS)
+            begins = ends
     return words, slots
 
 
-def windows(words: list[str], size: int = WINDOW, literal: int = LITERAL) -> list[tuple[int, int]]:
-    """(hash, place) of each window with enough ordinary words; a shorter text is one window."""
+def _hash(word: str) -> int:
+    if len(_hashes) >= _REMEMBERED:
+        _hashes.clear()
+    _hashes[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+    return h
+
+
+def windows(words: list[str], size: int = WINDOW, literal: int = LITERAL) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the windows with enough ordinary words; a shorter text is one window."""
     n = len(words)
+    size = min(size, n)
     if not n:
-        return []
-    plain = np.array([w not in (NUMBER, UNIT, NAME) for w in words], np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    known = _hashes
+    h = np.array([known.get(w) or _hash(w) for w in words], np.uint64)
+    plain = np.fromiter((w not in (NUMBER, UNIT, NAME) for w in words), np.int64, n)
     totals = np.concatenate([[0], np.cumsum(plain)])
-    size = min(size, n)
-    out = []
-    for i in range(n - size + 1):
-        if totals[i + size] - totals[i] >= min(literal, size):
-            out.append((xxhash.xxh3_64_intdigest(" ".join(words[i : i + size]).encode("utf-8", "replace")), i))
-    return out
+    places = np.flatnonzero(totals[size:] - totals[: n - size + 1] >= min(literal, size))
+    total = np.full(len(places), np.uint64(size))
+    for j in range(size):
+        total += h[places + j] * PLACE[j]
+    return mix(total), places
 
 
 _WINDOWS = "id long, window long, place int, length int, slots array<string>"
@@ -103,8 +130,6 @@ _WINDOWS = "id long, window long, place int, length int, slots array<string>"
 
 def _window_rows(known: np.ndarray | None, short: list[int]):
     """A mapper from (id, text) to windows; with ``known`` (sorted hashes), only those among them, also of shorter sizes."""
-    mask = None if known is None else set(known.tolist())
-
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches):
             ids, hashes, places, lengths, slots = [], [], [], [], []
@@ -113,13 +138,18 @@ def _window_rows(known: np.ndarray | None, short: list[int]):
                 for size in (WINDOW, *short):
                     if size > len(words) and size != WINDOW:
                         continue
-                    for h, k in windows(words, size):
-                        if mask is None or h in mask:
-                            ids.append(i)
-                            hashes.append(h)
-                            places.append(k)
-                            lengths.append(len(words))
-                            slots.append(held[k : k + min(size, len(words))])
+                    found, at = windows(words, size)
+                    if known is not None:
+                        if not len(known):
+                            continue
+                        keep = known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found
+                        found, at = found[keep], at[keep]
+                    for h, k in zip(found.tolist(), at.tolist()):
+                        ids.append(i)
+                        hashes.append(h)
+                        places.append(k)
+                        lengths.append(len(words))
+                        slots.append(held[k : k + min(size, len(words))])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(places, pa.int32()), pa.array(lengths, pa.int32()), pa.array(slots, pa.list_(pa.string()))], names=["id", "window", "place", "length", "slots"]
             )
@@ -165,7 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     short = [r[0] for r in held.filter(f"length < {WINDOW}").select("length").distinct().collect()]  # fewer than WINDOW values
     known = None
     if n <= BROADCAST_WINDOWS:
-        known = np.array([r[0] for r in held.select("window").distinct().collect()], np.int64).view(np.uint64)
+        known = np.sort(np.array([r[0] for r in held.select("window").distinct().collect()], np.int64).view(np.uint64))
     found = rows.mapInArrow(_window_rows(known, sorted(short)), _WINDOWS).select(F.col("id").alias("doc_id"), "window", "place", "slots")
     side = held.select(F.col("id").alias("item_id"), "window", F.col("place").alias("item_place"), "length", F.col("slots").alias("item_slots"))
     matches = found.join(F.broadcast(side) if n <= BROADCAST_WINDOWS else side, "window").filter("size(slots) = size(item_slots)")
