@@ -22,7 +22,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def list_objects(spark: SparkSession, path: str, keep_all: bool = False) -> DataFrame:
     """key, size, last_modified, extension, media_type of files under a folder; contents are not read.
 
-    ``keep_all`` keeps empty and unsupported objects, which an audit needs.
+    ``keep_all`` keeps unsupported objects, which an audit needs. Spark's file source itself passes over empty files; a
+    store's own listing, read as a table, has them.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"), "modificationTime")
     root = F.lit(path.rstrip("/") + "/")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import inventory, tags
+from tessera.operators import index, inventory, tags
 from tessera.sources.tables import Snapshots
 
 INVENTORY = "key string, size bigint, etag string, last_modified string, sha256 string, phash string, scan_error string, deleted boolean"
@@ -51,3 +51,20 @@ def scan(spark: SparkSession, source: str, store: Snapshots, fingerprint: Callab
 def best_tags(scores: DataFrame, threshold: float = tags.THRESHOLD) -> DataFrame:
     """A running best score of each (key, tag) from a stream of frame scores; use output mode ``update`` or ``complete``."""
     return tags.frame_max(scores, threshold)
+
+
+def merge_uploads(store: Snapshots, most_mb: int) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: uploaded files (ordinal, key, ext, size) of a batch join the index (ordinal, key, ext, size) in one commit.
+
+    Failed uploads are simply not in the batch; a replayed batch finds its keys indexed and changes nothing.
+    """
+
+    def merge(batch: DataFrame, _: int) -> None:
+        def mutate(items: DataFrame | None) -> DataFrame | None:
+            items = items if items is not None else batch.sparkSession.createDataFrame([], "ordinal long, key string, ext string, size long")
+            fresh = index.uploads(batch, items, most_mb)
+            return None if fresh.isEmpty() else index.merge(items, fresh)
+
+        store.update(mutate)
+
+    return merge
