@@ -26,8 +26,8 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each near-duplicate class."""
-    gone = staged(jaccard_join.jaccard_classes(docs).filter("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
-    return sized_semi_join(docs.withColumn("_id", F.col("doc_id").cast("long")), gone, "left_anti", on="_id").select(*docs.columns)
+    gone = staged(jaccard_join.jaccard_classes(docs).filter("component_id < doc_id").select(F.col("doc_id").alias("__id")).distinct(), "near-copies")
+    return sized_semi_join(docs.withColumn("__id", F.col("doc_id").cast("long")), gone, "left_anti", on="__id").select(*docs.columns)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,7 +62,7 @@ def text_or_empty(name: str = "text"):
 BROADCAST_ROWS = 1_000_000
 
 
-def sized_semi_join(rows: DataFrame, ids: DataFrame, how: str = "left_semi", on: str = "doc_id") -> DataFrame:
+def sized_semi_join(rows: DataFrame, ids: DataFrame, how: str = "left_semi", on: str | list[str] = "doc_id") -> DataFrame:
     """Rows whose id is (or, ``left_anti``, is not) among ``ids``; the ids are broadcast only if counted as few."""
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return rows.join(F.broadcast(ids) if few else ids, on, how)

@@ -11,7 +11,7 @@ Windows that hold fewer than ``LITERAL`` ordinary words match nothing. The bench
 only up to a counted bound (``BROADCAST_WINDOWS``): the tasks then look them up and emit matches alone; beyond
 the bound, all windows of the documents are joined by a shuffle. An item shorter than a window is one window.
 
-Defined cases: null or empty texts and items match nothing; repeated documents (equal id) count once, repeated
+Defined cases: null or empty texts and items, and rows without an id, match nothing; repeated documents (equal id) count once, repeated
 items each by their id; ties among consistent maps go to the earliest window; an empty benchmark gives no rows.
 """
 
@@ -206,6 +206,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that no item contaminates, with all their columns."""
-    bad = staged(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    kept = sized_semi_join(docs.withColumn("_id", F.col(id_col).cast("long")), bad, "left_anti", on="_id")
+    bad = staged(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
+    kept = sized_semi_join(docs.withColumn("__id", F.col(id_col).cast("long")), bad, "left_anti", on="__id")
     return kept.select(*docs.columns)

@@ -21,7 +21,7 @@ first, pivots' groups are salted, components run over an edge table. Sets are re
 they are verified, since texts are smaller than sets of hashes.
 
 Defined cases: null or empty texts have an empty set and their own component; fewer than five words
-make one shingle; repeated rows fall into one class; extra columns are ignored; an empty table gives none.
+make one shingle; repeated rows fall into one class; a row without an id takes its class' component and gives none; extra columns are ignored; an empty table gives none.
 Hashes of shingles have 64 bits; a set is known by 64 bits of its digest and its size.
 """
 
@@ -305,7 +305,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text
     """One row per document: doc_id, n_shingles, component_id (the least doc_id that links reach)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = staged(_signed(docs, size), "jaccard-sets")
-    classes = signed.filter("n > 0").groupBy("sig", "n").agg(F.min(F.struct("doc_id", "counts")).alias("c")).select("sig", "n", F.col("c.doc_id").alias("rep"), "c.counts")
+    classes = signed.filter("n > 0 and doc_id is not null").groupBy("sig", "n").agg(F.min(F.struct("doc_id", "counts")).alias("c")).select("sig", "n", F.col("c.doc_id").alias("rep"), "c.counts")
     classes = staged(classes, "jaccard-classes")
     region = Window.partitionBy("token")
     least, most = F.min(F.struct("sig", "n")).over(region), F.max(F.struct("sig", "n")).over(region)

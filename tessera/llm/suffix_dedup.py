@@ -17,7 +17,7 @@ Buckets number as the data does, so a bucket stays small; a passage that a third
 once per block of texts, not once per document.
 
 Defined cases: null or empty texts have no bytes and the digest of the empty string; of rows with equal ids none is
-earlier; texts under 50 bytes stay whole; extra columns are ignored.
+earlier; rows without an id stay whole and are earlier than none; texts under 50 bytes stay whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -180,52 +180,51 @@ def _wanted(anchors: Anchors, keys: list[list[dict] | None]) -> np.ndarray:
 
 
 def _opened(rows: DataFrame) -> DataFrame:
-    """gram, doc_id, start, shift, bytes of the open anchors' contexts, from (doc_id, text, keys)."""
+    """gram, doc_id, h, start, shift, bytes of the open anchors' contexts, from (doc_id, h, text, keys)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches):
             a = Anchors(texts)
             take = np.flatnonzero(_wanted(a, part.column("keys").to_pylist()))
             if len(take):
-                ids = np.array(part.column("doc_id").to_pylist(), np.int64)
+                ids, h = part.column("doc_id").to_numpy(), part.column("h").to_numpy()
                 base = a.at[a.text[take]]
                 data = a.data.tobytes()
                 spans = [data[x:y] for x, y in zip(a.first[take].tolist(), (a.last[take] + DEPTH).tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_low(a.gram[take]).astype(np.int64)), pa.array(ids[a.text[take]]), pa.array(a.first[take] - base), pa.array(a.place[take] - a.first[take]), pa.array(spans, pa.binary())], names=["gram", "doc_id", "start", "shift", "bytes"]
+                    [pa.array(_low(a.gram[take]).astype(np.int64)), pa.array(ids[a.text[take]]), pa.array(h[a.text[take]]), pa.array(a.first[take] - base), pa.array(a.place[take] - a.first[take]), pa.array(spans, pa.binary())], names=["gram", "doc_id", "h", "start", "shift", "bytes"]
                 )
 
-    return rows.mapInArrow(each, "gram long, doc_id long, start long, shift long, bytes binary")
+    return rows.mapInArrow(each, "gram long, doc_id long, h long, start long, shift long, bytes binary")
 
 
 def _told_apart(contexts: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, start, end: windows of the contexts that an earlier document has, runs joined."""
+    """doc_id, h, start, end: windows of the contexts that an earlier document has, runs joined."""
 
     def each(table: pa.Table) -> pa.Table:
-        doc, start, shift, data = (table.column(k).to_pylist() for k in ("doc_id", "start", "shift", "bytes"))
-        gram = table.column("gram").to_pylist()
+        gram, doc, h, start, shift, data = (table.column(k).to_pylist() for k in ("gram", "doc_id", "h", "start", "shift", "bytes"))
         least: dict[tuple, int] = {}
         for g, d, s, b in zip(gram, doc, shift, data):
             for k in range(len(b) - DEPTH + 1):
                 key = (g, s - k, b[k : k + DEPTH])
                 if least.get(key, d) >= d:
                     least[key] = d
-        out: list[tuple[int, int, int]] = []
-        for g, d, at, s, b in zip(gram, doc, start, shift, data):
+        out: list[tuple[int, int, int, int]] = []
+        for g, d, x, at, s, b in zip(gram, doc, h, start, shift, data):
             run = -1
             for k in range(len(b) - DEPTH + 2):
                 if k <= len(b) - DEPTH and least[g, s - k, b[k : k + DEPTH]] < d:
                     run = k if run < 0 else run
                 elif run >= 0:
-                    out.append((d, at + run, at + k - 1 + DEPTH))
+                    out.append((d, x, at + run, at + k - 1 + DEPTH))
                     run = -1
-        return pa.table({"doc_id": pa.array([x[0] for x in out], pa.int64()), "start": pa.array([x[1] for x in out], pa.int64()), "end": pa.array([x[2] for x in out], pa.int64())})
+        return pa.table({n: pa.array([r[i] for r in out], pa.int64()) for i, n in enumerate(("doc_id", "h", "start", "end"))})
 
-    return contexts.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(each, "doc_id long, start long, end long")
+    return contexts.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(each, "doc_id long, h long, start long, end long")
 
 
 def _removed(rows: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 from (doc_id, text, keys, spans)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 from (doc_id, h, text, keys, spans)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches):
@@ -234,8 +233,8 @@ def _removed(rows: DataFrame) -> DataFrame:
             change = np.zeros(len(a.data) + 1, np.int32)
             np.add.at(change, a.first[take], 1)
             np.add.at(change, a.last[take] + DEPTH, -1)
-            for i, spans in enumerate(part.column("spans").to_pylist()):
-                for s in spans or ():
+            for i, (h, spans) in enumerate(zip(part.column("h").to_pylist(), part.column("spans").to_pylist())):
+                for s in (s for s in spans or () if s["h"] == h):
                     change[a.at[i] + s["start"]] += 1
                     change[a.at[i] + s["end"]] -= 1
             gone = np.cumsum(change[:-1]) > 0
@@ -251,25 +250,28 @@ def _removed(rows: DataFrame) -> DataFrame:
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    signed = staged(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "suffix-digests")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    # h tells rows of equal ids apart
+    docs = rows.filter("doc_id is not null").withColumn("h", F.xxhash64("text"))
+    signed = staged(docs.select("doc_id", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "suffix-digests")
     classes = signed.groupBy("sha").agg(F.min("doc_id").alias("least"))
-    copies = staged(signed.join(classes, "sha").filter("doc_id > least").select("doc_id", "n_bytes", "sha"), "suffix-copies")
+    copies = staged(signed.filter(f"n_bytes >= {DEPTH}").join(classes, "sha").filter("doc_id > least").select("doc_id", "h", "n_bytes"), "suffix-copies")
     size = signed.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(BUCKETS, size // BUCKET_BYTES)
-    first = sized_semi_join(docs, copies.select("doc_id").distinct(), "left_anti")
+    first = sized_semi_join(docs, copies.select("doc_id", "h").distinct(), "left_anti", on=["doc_id", "h"])
     keys = staged(_settled(_packed(first, buckets)), "suffix-keys")
 
     def of(rows: DataFrame) -> DataFrame:
         return rows.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "context")).alias("keys"))
 
     opened = of(keys.filter("open"))
-    contexts = _opened(sized_semi_join(first, opened.select("doc_id")).join(opened, "doc_id").select("doc_id", "text", "keys"))
-    spans = staged(_told_apart(contexts, buckets), "suffix-spans").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    contexts = _opened(sized_semi_join(first, opened.select("doc_id")).join(opened, "doc_id").select("doc_id", "h", "text", "keys"))
+    spans = staged(_told_apart(contexts, buckets), "suffix-spans").groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "end")).alias("spans"))
     marks = staged(of(keys.filter("not open")).join(spans, "doc_id", "full"), "suffix-marks")
-    cut = _removed(sized_semi_join(first, marks.select("doc_id")).join(marks, "doc_id").select("doc_id", "text", "keys", "spans"))
+    cut = _removed(sized_semi_join(first, marks.select("doc_id")).join(marks, "doc_id").select("doc_id", "h", "text", "keys", "spans"))
     none, empty = F.lit(0).cast("long"), F.lit(_EMPTY)
-    long_copies = copies.filter(f"n_bytes >= {DEPTH}").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), empty.alias("kept_sha256"))
-    handled = marks.select("doc_id").union(copies.filter(f"n_bytes >= {DEPTH}").select("doc_id"))
-    whole = signed.join(handled, "doc_id", "left_anti").select("doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("sha").alias("kept_sha256"))
-    return cut.union(long_copies).union(whole)
+    covered = copies.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), empty.alias("kept_sha256"))
+    untouched = signed.join(copies.select("doc_id", "h"), ["doc_id", "h"], "left_anti").join(marks.select("doc_id"), "doc_id", "left_anti")
+    whole = untouched.select("doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("sha").alias("kept_sha256"))
+    unnamed = rows.filter("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+    return cut.union(covered).union(whole).union(unnamed)

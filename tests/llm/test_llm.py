@@ -426,6 +426,23 @@ def test_decision_list_learns_a_conjunction():
     assert rules and wrong / len(rows) < 0.03 and quality_rules.learn([]) == []
 
 
+def test_rows_without_an_id_and_clashing_columns(spark):
+    text = "some words that are long enough to be a window of fifty bytes and a line, twice in this table"
+    rows = [(1, text), (None, text), (2, text), (None, None), (2, "other words for the same id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_removed": F.lit("x"), "_id": F.lit(1), "value": F.lit(2), "source": F.lit(None).cast("string"), "line": F.lit(3)})
+    items = spark.createDataFrame([(None, text), (5, text)], "item_id long, text string")
+    labels = spark.createDataFrame([(1, None), (None, 0)], "doc_id long, quality int")
+    assert line_dedup.dedup_documents(df).count() == len(rows)
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard_join.jaccard_classes(df).collect())
+    assert got == [(0, 0), (0, 1), (1, 1), (2, 1), (2, 1)] or got == [(0, 0), (0, 1), (1, 1), (2, 1), (2, 2)]
+    assert {r.doc_id for r in decontamination.contaminated(df, items).collect()} == {1, 2}
+    assert decontamination.clean_documents(df, items).count() == 2
+    assert sorted((r.doc_id or 0, r.n_removed) for r in suffix_dedup.suffix_dedup(df).collect()) == [(0, 0), (0, 0), (1, 0), (2, 0), (2, len(text))]
+    assert license_scan.license_scan(df).count() == 0 and secret_scan.secret_scan(df).count() == len(rows)
+    assert quality_classifier.scored(df, quality_classifier.fit(df)).count() == len(rows)
+    assert token_counts.token_counts(df).count() == byte_bpe.round_trip(df).count() == quality_rules.quality_rules(df, labels).count() == len(rows)
+
+
 # The pipeline -------------------------------------------------------------------------------------------------------------------
 
 @given
