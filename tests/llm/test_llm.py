@@ -120,6 +120,23 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_documents(df.limit(0)).count() == 0
 
 
+def test_near_lines_are_found_by_edit_similarity_alone(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    rows, expected = [], 0
+    for i in range(120):
+        words = [word() for _ in range(rng.choice([8, 12, 20, 40]))]
+        other = list(words)
+        other[rng.randrange(len(words))] = word()
+        if i % 3 == 0:
+            other.insert(rng.randrange(len(words)), word())
+        a, b = " ".join(words), " ".join(other)
+        expected += 1 - levenshtein(a, b) / max(len(a), len(b)) >= line_dedup.EDIT
+        rows += [(2 * i, a), (2 * i + 1, b)]
+    gone = {r.doc_id for r in line_dedup.dropped_lines(frame(spark, rows)).collect()}
+    assert expected > 100 and all(d % 2 for d in gone) and 0.97 * expected <= len(gone) <= expected
+
+
 # 2 Jaccard join ------------------------------------------------------------------------------------------------------
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
