@@ -137,6 +137,12 @@ def test_near_lines_are_found_by_edit_similarity_alone(spark):
     assert expected > 100 and all(d % 2 for d in gone) and 0.97 * expected <= len(gone) <= expected
 
 
+def test_short_lines_and_scripts_without_blanks(spark):
+    passage = "这一行没有空格但是它说了很多话所以它应该被比较"
+    rows = [(1, "stteen erachtz\n\n----\nx = 1;"), (2, "Stteen  erachtz\n\n----"), (3, "x = 1;\nietzte"), (4, passage), (5, passage), (6, passage.replace("空格", "间隔")), (7, "ietzten")]
+    assert {tuple(r) for r in line_dedup.dropped_lines(frame(spark, rows)).collect()} == {(2, 0), (3, 0), (5, 0), (6, 0)}
+
+
 # 2 Jaccard join ------------------------------------------------------------------------------------------------------
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
