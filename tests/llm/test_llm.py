@@ -143,6 +143,12 @@ def test_short_lines_and_scripts_without_blanks(spark):
     assert {tuple(r) for r in line_dedup.dropped_lines(frame(spark, rows)).collect()} == {(2, 0), (3, 0), (5, 0), (6, 0)}
 
 
+def test_rows_of_other_numbers_and_operators_stay(spark):
+    texts = ["2019 34 12 90 41", "2020 51 33 17 22", "a + b c d", "total 9 - 7 * 1", "total 2 + 5 / 3", "2019 34 12 90 41", "The meeting of 2019 was held in the large hall", "The meeting of 2021 was held in the large hall!"]
+    gone = {r.doc_id for r in line_dedup.dropped_lines(frame(spark, list(enumerate(texts)))).collect()}
+    assert gone == {5, 7}
+
+
 # 2 Jaccard join ------------------------------------------------------------------------------------------------------
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
