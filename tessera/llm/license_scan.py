@@ -5,7 +5,7 @@ templates below, on remarks that only mention licences, and on a bounded sample
 (``NEGATIVES``); the last two are the unknown class. N-grams that ordinary paragraphs hold are left out, so the
 weights are a sparse table. Its confidence is calibrated on held-out variants and paragraphs: the threshold
 is the least at which no held-out paragraph of the unknown class is named. A named paragraph is confirmed if it
-holds enough of the n-grams of one of the family's templates; if not, it is reported as unknown.
+holds enough of the n-grams of one of the family's templates, or all of one of its short forms; if not, it is reported as unknown.
 
 Rows are handled by DataFrame functions alone: paragraphs (lines with words) explode to n-grams, which meet
 the weights in a broadcast join - their number is bounded by the templates (``FEATURES``) - and sums per
@@ -47,6 +47,17 @@ TEMPLATES = {
     "cc0": ["Dedicated to the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0"],
     "proprietary": ["All rights reserved. No part of this publication may be reproduced without written permission.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
 }
+# Short forms of notices. So few n-grams confirm a paragraph only if it holds them all.
+SHORT_FORMS = {
+    "apache": ["Apache License, Version 2.0"],
+    "mit": ["Permission is hereby granted, free of charge"],
+    "gpl": ["GNU General Public License"],
+    "lgpl": ["GNU Lesser General Public License"],
+    "agpl": ["GNU Affero General Public License"],
+    "bsd": ["Redistribution and use in source and binary forms"],
+    "mpl": ["Mozilla Public License"],
+    "proprietary": ["All rights reserved.", "Proprietary and confidential."],
+}
 # Remarks that mention licences without giving one.
 REMARKS = [
     "He renewed the licence of his car last week.", "A driving license is needed.", "See the licence terms of your vendor.", "The general public was invited.", "The license fee rose by three percent.",
@@ -83,7 +94,7 @@ def train(paragraphs: list[str], seed: int = 7) -> tuple[list[str], dict[str, li
     for p in paragraphs:
         for g in grams(p):
             seen[g] = seen.get(g, 0) + 1
-    rows = [(grams(v), families.index(f)) for f, notices in TEMPLATES.items() for t in notices for v in _variants(t, rng)]
+    rows = [(grams(v), families.index(f)) for forms in (TEMPLATES, SHORT_FORMS) for f, notices in forms.items() for t in notices for v in _variants(t, rng)]
     rows += [(grams(v), len(families) - 1) for t in REMARKS for v in _variants(t, rng)]
     rows += [(grams(p), len(families) - 1) for p in paragraphs]
     rng.shuffle(rows)
@@ -132,7 +143,7 @@ def _sample(docs: DataFrame, id_col: str, text_col: str) -> list[str]:
         return []
     some = docs.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < F.lit(max(1, 1_000_000 * NEGATIVES // n)))
     lines = some.select(F.explode(F.slice(F.shuffle(F.split(text_or_empty(text_col), "\n"), F.lit(11)), 1, 1)).alias("p"))
-    return [r[0] for r in lines.filter("not lower(p) rlike 'licen|copyright|permission|rights|creative commons'").select(F.substring("p", 1, 2000)).collect()]
+    return [r[0] for r in lines.filter("not lower(p) rlike 'licen|copyright|permission|rights|creative commons|proprietary|redistribut'").select(F.substring("p", 1, 2000)).collect()]
 
 
 _GRAMS = "concat(words, if(size(words) > 1, zip_with(slice(words, 1, size(words) - 1), slice(words, 2, size(words) - 1), (a, b) -> concat(a, ' ', b)), array()))"
@@ -143,7 +154,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     families, weights, bias, threshold = train(_sample(docs, id_col, text_col))
     table = spark.createDataFrame([(g, w) for g, w in weights.items()], "gram string, w array<double>")  # at most FEATURES rows
-    notices = spark.createDataFrame([(f, sorted(grams(t))) for f, ts in TEMPLATES.items() for t in ts], "family string, template array<string>")
+    notices = spark.createDataFrame([(f, sorted(grams(t)), forms is SHORT_FORMS) for forms in (TEMPLATES, SHORT_FORMS) for f, ts in forms.items() for t in ts], "family string, template array<string>, short boolean")
     hits = _paragraphs(docs, id_col, text_col).select("row", "doc_id", "line", F.explode(F.array_distinct(F.expr(_GRAMS))).alias("gram")).join(F.broadcast(table), "gram")
     sums = hits.groupBy("row", "doc_id", "line").agg(F.collect_set("gram").alias("held"), *[F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(len(families))])
     z = [F.col(f"z{k}") + F.lit(bias[k]) for k in range(len(families))]
@@ -152,7 +163,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     best = F.coalesce(*[F.when(x == top, F.lit(f)) for x, f in zip(z, families)])
     judged = sums.select("row", "doc_id", "line", "held", best.alias("family"), (1 / total).alias("confidence")).filter(F.col("family") != UNKNOWN)
     share = F.size(F.array_intersect("held", "known")) / F.size("known")
-    known = notices.join(F.broadcast(table.agg(F.collect_set("gram").alias("vocabulary")))).select("family", F.array_intersect("template", "vocabulary").alias("known")).filter("size(known) > 0")
+    share = F.when(~F.col("short") | (share == 1), share)
+    known = notices.join(F.broadcast(table.agg(F.collect_set("gram").alias("vocabulary")))).select("family", "short", F.array_intersect("template", "vocabulary").alias("known")).filter("size(known) > 0")
     compared = judged.join(F.broadcast(known), "family", "left").withColumn("similarity", F.coalesce(share, F.lit(0.0)))
     first = compared.groupBy("row", "doc_id", "line").agg(F.first("family").alias("family"), F.first("confidence").alias("confidence"), F.max("similarity").alias("similarity"))
     confirmed = (F.col("confidence") >= threshold) & (F.col("similarity") >= CONFIRM)

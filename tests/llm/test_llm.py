@@ -311,6 +311,13 @@ def test_license_families_are_told_apart():
     assert 0.5 <= threshold <= 0.95
 
 
+def test_short_forms_of_licences(spark):
+    rows = [(i, t) for i, t in enumerate(["All rights reserved.", "Copyright 2021 Doe. All rights reserved.", "Proprietary and confidential.", "All rights were discussed.", "The tables are reserved for all."])]
+    rows += [(100 + i, f"ordinary words number {i} of all kinds") for i in range(50)]
+    got = {(r.doc_id, r.family) for r in license_scan.license_scan(frame(spark, rows)).collect() if r.confirmed}
+    assert got == {(0, "proprietary"), (1, "proprietary"), (2, "proprietary")}
+
+
 # 6 Secrets ---------------------------------------------------------------------------------------------------------------
 
 def brute_secrets(text):
