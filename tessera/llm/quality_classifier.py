@@ -12,6 +12,7 @@ gives none; repeated rows and ties score alike; ids may repeat or be null; other
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +36,24 @@ _SYMBOLS = b"#*$%&|<>"
 _TEXTUAL = bytes(b"A"[0] if 65 <= c <= 90 else b"a"[0] if 97 <= c <= 122 or c >= 128 else b"9"[0] if 48 <= c <= 57 else c for c in range(256))
 
 
+#: Letters of scripts without blanks between words: Thai and Lao, Tibetan, Burmese, Khmer, kana, Chinese, Yi; a text with this share of them is in one.
+_NO_BLANKS = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\ua000-\ua48f\uf900-\ufaff\U00020000-\U0003ffff]")
+MOSTLY = 0.3
+#: The length of words that is taken where words cannot be told.
+ORDINARY = 6.0
+
+
+def _word_length(text: bytes, words: list[bytes]) -> tuple[float, bool]:
+    """Mean code points of the words, and whether blanks tell them; if not, the labellers of length and variety abstain."""
+    if text.isascii():
+        return sum(map(len, words)) / len(words), True
+    points = text.decode("utf-8", "replace")
+    if len(_NO_BLANKS.findall(points)) > MOSTLY * sum(map(str.isalpha, points)):
+        return ORDINARY, False
+    # bytes of words less those that only carry on a code point
+    return (sum(map(len, words)) - len(text) + len(points)) / len(words), True
+
+
 def measures(text: bytes) -> tuple[dict[str, float], list[bytes]]:
     """What labellers look at, and the words."""
     words = text.split()
@@ -42,14 +61,15 @@ def measures(text: bytes) -> tuple[dict[str, float], list[bytes]]:
     if not n:
         return {}, words
     lines = [x for x in text.split(b"\n") if x.strip()]
+    length, told = _word_length(text, words)
     fives = n - 4
     return {
         "symbols": sum(text.count(c) for c in _SYMBOLS) / n,
         "repeats": 1 - len(set(zip(words, words[1:], words[2:], words[3:], words[4:]))) / fives if fives > 0 else 0.0,
         "upper": sum(map(bytes.isupper, words)) / n,
         "cries": text.count(b"!") / n,
-        "variety": len(set(words)) / min(n, 400),
-        "length": sum(map(len, words)) / n,
+        "variety": len(set(words)) / min(n, 400) if told else 1.0,
+        "length": length,
         "lines": 1 - len(set(lines)) / len(lines),
         "pipes": text.count(b"|") / n,
     }, words

@@ -377,6 +377,20 @@ def test_quality_classifier_on_labels(spark):
     assert table[1, False] == 0 and table[0, False] >= 0.8 * (table[0, False] + table[0, True])
 
 
+def test_clean_prose_of_other_scripts_has_no_fault():
+    words = {
+        "ru": "Сегодня утром председатель правительства сообщил журналистам что строительство железной дороги завершится следующей осенью".split(),
+        "el": "Σήμερα το πρωί ο πρόεδρος ανακοίνωσε στους δημοσιογράφους ότι η κατασκευή του σιδηροδρόμου ολοκληρώνεται".split(),
+        "hi": "आज सुबह अध्यक्ष ने पत्रकारों को बताया कि रेलवे का निर्माण अगले साल पूरा होगा".split(),
+    }
+    texts = [" ".join(w) + "." for w in words.values()]
+    texts += ["今天早上主席告诉记者铁路建设将于明年秋天完成。" * 3, "今朝、議長は記者団に対し、鉄道の建設は来年の秋に完了すると述べた。", "วันนี้ประธานบอกนักข่าวว่าการก่อสร้างทางรถไฟจะแล้วเสร็จในปีหน้า"]
+    for text in texts:
+        m = quality_classifier.measures(text.encode())[0]
+        assert not any(quality_classifier.votes(m)[: len(quality_classifier.FAULTS)]), (text, m)
+    assert quality_classifier.measures("häßlich über".encode())[0]["length"] == 5.5
+
+
 def test_quality_classifier_edges(spark):
     df = frame(spark, EDGES)
     scorer = quality_classifier.fit(df)
