@@ -7,7 +7,7 @@ the benchmark's; within a match the slots must be consistent: along a document a
 maps to one document value of the same type and no two to the same. A document is contaminated by an item if
 windows that are consistent cover at least ``COVER`` of the item's template words.
 
-Windows that hold fewer than ``LITERAL`` ordinary words match nothing. The benchmark's windows are broadcast
+Windows that hold fewer than ``LITERAL`` ordinary words are hashed with their slots' texts, so they match verbatim copies only. The benchmark's windows are broadcast
 only up to a counted bound (``BROADCAST_WINDOWS``): the tasks then look them up and emit matches alone; beyond
 the bound, all windows of the documents are joined by a shuffle. An item shorter than a window is one window.
 
@@ -108,8 +108,8 @@ def _hash(word: str) -> int:
     return h
 
 
-def windows(words: list[str], size: int = WINDOW, literal: int = LITERAL) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the windows with enough ordinary words; a shorter text is one window."""
+def windows(words: list[str], size: int = WINDOW, literal: int = LITERAL, slots: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the windows with enough ordinary words, and with ``slots`` of the others by their slots' texts; a shorter text is one window."""
     n = len(words)
     size = min(size, n)
     if not n:
@@ -118,11 +118,27 @@ def windows(words: list[str], size: int = WINDOW, literal: int = LITERAL) -> tup
     h = np.array([known.get(w) or _hash(w) for w in words], np.uint64)
     plain = np.fromiter((w not in (NUMBER, UNIT, NAME) for w in words), np.int64, n)
     totals = np.concatenate([[0], np.cumsum(plain)])
-    places = np.flatnonzero(totals[size:] - totals[: n - size + 1] >= min(literal, size))
+    enough = totals[size:] - totals[: n - size + 1] >= min(literal, size)
+    places = np.flatnonzero(enough)
+    found = _mixed(h, places, size)
+    if slots is None or enough.all():
+        return found, places
+    dense = np.flatnonzero(~enough)
+    held = h.copy()
+    for i in np.flatnonzero(plain == 0).tolist():
+        word = f"{words[i]} {slots[i]}"
+        held[i] = known.get(word) or _hash(word)
+    return np.append(found, mix(_mixed(held, dense, size) ^ _VERBATIM)), np.append(places, dense)
+
+
+_VERBATIM = np.uint64(0x5DEECE66D1CE4E5B)
+
+
+def _mixed(h: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
     total = np.full(len(places), np.uint64(size))
     for j in range(size):
         total += h[places + j] * PLACE[j]
-    return mix(total), places
+    return mix(total)
 
 
 _WINDOWS = "id long, window long, place int, length int, slots array<string>"
@@ -138,7 +154,7 @@ def _window_rows(known: np.ndarray | None, short: list[int]):
                 for size in (WINDOW, *short):
                     if size > len(words) and size != WINDOW:
                         continue
-                    found, at = windows(words, size)
+                    found, at = windows(words, size, slots=held)
                     if known is not None:
                         if not len(known):
                             continue

@@ -243,6 +243,13 @@ def test_decontamination_without_broadcast(spark, monkeypatch):
     assert [r.doc_id for r in decontamination.contaminated(frame(spark, rows), items).collect()] == [1]
 
 
+def test_items_of_numbers_leak_verbatim_only(spark):
+    sums, table = "Compute 123 * 456 - 78.", "Values 1 2 3 4 5 6 7 8 9 10 11 12 of 13 14 15 16 17 18."
+    rows = [(1, f"A task was set. {sums} It was hard."), (2, sums.replace("456", "457")), (3, f"Here. {table} The end."), (4, table.replace("9", "19").replace("14", "3").replace("4 5", "8 2")), (5, "no numbers at all")]
+    items = spark.createDataFrame([(7, sums), (8, table)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(frame(spark, rows), items).collect()} == {(1, 7), (3, 8)}
+
+
 @given
 def test_verbatim_leaks_are_found(spark):
     docs, items = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
