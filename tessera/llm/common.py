@@ -50,6 +50,27 @@ def map_texts(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.select(*keep).mapInArrow(function, schema)
 
 
+class Remembered(dict):
+    """Results of ``function`` by key, of at most twice ``most`` keys: when ``most`` new ones have come, those before them go.
+
+    Keys longer than ``longest`` are not kept, so memory stays bounded.
+    """
+
+    def __init__(self, function: Callable, most: int = 100_000, longest: int = 64):
+        self.function, self.most, self.longest, self.older = function, most, longest, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.function(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 def int_column(batch: pa.RecordBatch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 

@@ -1,9 +1,10 @@
 """Token counts by byte-pair merging over a heap and a linked list; no identifiers are made.
 
 A piece vocabulary (sentencepiece BPE with byte fallback) holds white space only at the
-front of a piece, so a text falls into chunks - a run of spaces and the word after it -
-across which no merge can reach. The count of a chunk is its symbols minus its merges,
-plus what byte fallback adds; chunks repeat, so each task keeps the counts of common ones.
+front of a piece, so a text falls into chunks - a run of spaces and what follows it - across which
+no merge can reach; nor can one join two characters that no piece holds side by side. Characters that pieces
+link, directly or by others, form a family, and chunks are runs of one. The count of a chunk is its symbols
+minus its merges, plus what byte fallback adds; chunks repeat, so each task keeps the counts of common ones.
 
 Null and empty texts count 0 tokens. Repeated rows and ties give equal counts row by row.
 Rows pass through one by one (no shuffle), and other columns of the input are ignored.
@@ -11,80 +12,85 @@ Rows pass through one by one (no shuffle), and other columns of the input are ig
 
 from __future__ import annotations
 
-import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blocks, map_texts
+from tessera.llm.common import Remembered, blocks, map_texts
 
 SPACE = "▁"
-#: Chunk counts that one worker remembers; when full it starts anew, so memory stays bounded.
-REMEMBERED = 200_000
-#: Longer chunks are counted but not remembered.
-LONGEST_REMEMBERED = 64
 
-_CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+
+def _chunks(pieces: Iterable[str]) -> re.Pattern:
+    """What matches the chunks of a text: runs of a family after spaces, other characters alone, spaces at the end."""
+    root: dict[str, str] = {}
+
+    def find(c: str) -> str:
+        while root.setdefault(c, c) != c:
+            c = root[c]
+        return c
+
+    for piece in pieces:
+        tied = piece.lstrip(SPACE)
+        for a, b in zip(tied, tied[1:]):
+            if (x := find(a)) != (y := find(b)):
+                root[y] = x
+    families: dict[str, list[str]] = {}
+    for c in root:
+        families.setdefault(find(c), []).append(c)
+    runs = [f"{SPACE}*[{re.escape(''.join(sorted(x)))}]+" for x in families.values()]
+    return re.compile("|".join([*runs, f"{SPACE}*[^{SPACE}]", f"{SPACE}+"]))
 
 
 class PieceMerger:
     """Counts tokens of a piece vocabulary: ``rank`` of a piece is lower if it merges earlier."""
 
     def __init__(self, ranks: dict[str, float]):
-        self.ranks = ranks
-        self.counts: dict[str, int] = {}
+        order = {r: k for k, r in enumerate(sorted(set(ranks.values())))}
+        self.ranks = {piece: order[r] for piece, r in ranks.items()}
+        self.single = frozenset(piece for piece in ranks if len(piece) == 1)
+        self.chunks = _chunks(ranks).findall
+        self.counts = Remembered(self.chunk)
 
     def count(self, text: str) -> int:
         """Tokens of a whole text; a space is put in front, as the library does."""
-        if not text:
-            return 0
-        total, counts = 0, self.counts
-        for chunk in _CHUNK.findall(SPACE + text.replace(" ", SPACE)):
-            n = counts.get(chunk)
-            if n is None:
-                n = self.chunk(chunk)
-                if len(chunk) <= LONGEST_REMEMBERED:
-                    if len(counts) >= REMEMBERED:
-                        counts.clear()
-                    counts[chunk] = n
-            total += n
-        return total
+        return sum(map(self.counts.__getitem__, self.chunks(SPACE + text.replace(" ", SPACE)))) if text else 0
 
     def chunk(self, chunk: str) -> int:
-        """Initial symbols minus merges; symbols outside the vocabulary count their UTF-8 bytes."""
-        ranks = self.ranks
-
-        def cost(symbol: str) -> int:
-            return 1 if symbol in ranks else len(symbol.encode("utf-8", "surrogatepass"))
+        """Initial symbols minus merges; symbols outside the vocabulary count their UTF-8 bytes.
 
-        tokens = sum(map(cost, chunk))
+        The symbol that begins at i has ``size[i]`` characters (none once it is merged into the one before it, at
+        ``before[i]``). The heap holds a number for each pair: its rank, then where it begins and ends.
+        """
         n = len(chunk)
-        if n == 1:
-            return tokens
-        part: list[str | None] = list(chunk)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(chunk[i : i + 2])) is not None]
-        heapq.heapify(heap)
+        rank_of, bits = self.ranks.get, n.bit_length()
+        low, width = (1 << bits) - 1, 2 * bits
+        heap = [r << width | i << bits | i + 2 for i in range(n - 1) if (r := rank_of(chunk[i : i + 2])) is not None]
+        heapify(heap)
+        size, before = [1] * n, list(range(-1, n - 1))
+        tokens = n
         while heap:
-            _, i, size = heapq.heappop(heap)
-            left = part[i]
-            if left is None or (j := after[i]) < 0 or len(left) + len(part[j]) != size:
+            pair = heappop(heap)
+            i, end = pair >> bits & low, pair & low
+            if not size[i] or (j := i + size[i]) >= end or j + size[j] != end:
                 continue  # one of the two was merged meanwhile
-            tokens -= cost(left) + cost(part[j]) - 1
-            merged = part[i] = left + part[j]
-            part[j] = None
-            after[i] = k = after[j]
-            if k >= 0:
-                before[k] = i
-                if (r := ranks.get(pair := merged + part[k])) is not None:
-                    heapq.heappush(heap, (r, i, len(pair)))
-            h = before[i]
-            if h >= 0 and (r := ranks.get(pair := part[h] + merged)) is not None:
-                heapq.heappush(heap, (r, h, len(pair)))
+            tokens -= 1
+            size[i], size[j] = end - i, 0
+            if end < n:
+                before[end] = i
+                after = end + size[end]
+                if (r := rank_of(chunk[i:after])) is not None:
+                    heappush(heap, r << width | i << bits | after)
+            if (h := before[i]) >= 0 and (r := rank_of(chunk[h:end])) is not None:
+                heappush(heap, r << width | h << bits | end)
+        if not self.single.issuperset(chunk):
+            symbols = (chunk[i : i + k] for i, k in enumerate(size) if k)
+            tokens += sum(len(x.encode("utf-8", "surrogatepass")) - 1 for x in symbols if x not in self.ranks)
         return tokens
 
 
