@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,9 +30,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import blocks, map_texts
 
-#: Slices whose ids one worker remembers; when full it starts anew.
-REMEMBERED = 200_000
-LONGEST_REMEMBERED = 64
+#: Slices whose ids one worker remembers, and bytes of the longest.
+REMEMBERED, LONGEST_REMEMBERED = 150_000, 64
+#: Slices that are merged as rows of arrays have so many bytes at most, and arrays so many rows.
+WIDE, ROWS = 40, 4096
+NEVER = np.int64(1 << 62)
 #: Code points of a block: width of the scan's columns.
 WIDTH = 128
 
@@ -134,11 +137,11 @@ def match_starts(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     grid = np.ascontiguousarray(grid.T)  # column k of all blocks lies together
     for k in range(1, WIDTH):
         grid[k] = table[grid[k - 1], grid[k]]
-    totals, reached = grid[-1], np.zeros(rows, np.uint16)
-    total = 0
-    for r in range(rows):  # blocks' totals: the id of the identity is 0
-        reached[r] = total
-        total = table[total, totals[r]]
+    totals, apart = grid[-1].copy(), 1
+    while apart < rows:  # composes twice as many blocks' totals each time
+        totals[apart:] = table[totals[:-apart], totals[apart:]]
+        apart *= 2
+    reached = np.append(np.uint16(0), totals[:-1])  # 0 is the identity
     after = state_of[table[reached[None, :], grid]].T.reshape(-1)[:n]
     earlier = np.empty(n, np.uint8)
     earlier[0] = FREE
@@ -155,27 +158,64 @@ class ByteBpe:
         self.token = {r: b for b, r in ranks.items()}
         self.digits = {r: str(r) for r in ranks.values()}
         self.ids: dict[bytes, tuple[int, ...]] = {}
+        self.single = np.array([ranks.get(bytes([b]), 0) for b in range(256)], np.int64)
+        # pairs of ids that merge, as numbers in order, and what they become
+        joins = sorted((a << 32 | b, r) for t, r in ranks.items() for k in range(1, len(t)) if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None)
+        self.pairs, self.joined = (np.array([x[k] for x in joins] or [-1], np.int64) for k in range(2))
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What pairs of ids become, or NEVER."""
+        code = left << 32 | right
+        place = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+        return np.where(self.pairs[place] == code, self.joined[place], NEVER)
+
+    def merge_all(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of each piece; those of up to WIDE bytes are rows of arrays, in which each round merges one pair of every row."""
+        out: list[tuple[int, ...] | None] = [(r,) if (r := self.ranks.get(p)) is not None else None for p in pieces]
+        rows: list[int] = []
+        for i, p in enumerate(pieces):
+            if out[i] is None:
+                if len(p) > WIDE:
+                    out[i] = self._merge_long(p)
+                else:
+                    rows.append(i)
+        for k in range(0, len(rows), ROWS):
+            some = sorted(rows[k : k + ROWS], key=lambda i: len(pieces[i]))
+            for i, ids in zip(some, self._merge_rows([pieces[i] for i in some])):
+                out[i] = ids
+        return out
 
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        ranks = self.ranks
-        if (r := ranks.get(piece)) is not None:
-            return (r,)
-        if len(piece) > 200:
-            return self._merge_long(piece)
-        cuts = list(range(len(piece) + 1))
-        pair = [ranks.get(piece[i : i + 2], 1 << 60) for i in range(len(piece) - 1)]
-        while pair and (least := min(pair)) < 1 << 60:
-            i = pair.index(least)
-            del cuts[i + 1], pair[i]
-            if i < len(pair):
-                pair[i] = ranks.get(piece[cuts[i] : cuts[i + 2]], 1 << 60)
-            if i:
-                pair[i - 1] = ranks.get(piece[cuts[i - 1] : cuts[i + 1]], 1 << 60)
-        return tuple(ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:]))
+    def _merge_rows(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        n = np.array([len(p) for p in pieces])
+        m, width = len(pieces), int(n.max())
+        column = np.arange(width)
+        ids = np.full((m, width + 1), -1, np.int64)
+        ids[:, :width][column < n[:, None]] = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        rank = np.full((m, width), NEVER)
+        inner = column + 1 < n[:, None]
+        rank[inner] = self._rank(ids[:, :-1][inner], ids[:, 1:][inner])
+        row, done = np.arange(m), [()] * m
+        while len(row):
+            at = rank.argmin(axis=1)
+            least = rank[np.arange(len(row)), at]
+            open_ = least < NEVER
+            for i in np.flatnonzero(~open_).tolist():
+                done[row[i]] = tuple(ids[i, : n[i]].tolist())
+            row, at, least, n, ids, rank = (x[open_] for x in (row, at, least, n, ids, rank))
+            each = np.arange(len(row))
+            # what stands behind the pair moves up by one
+            ids[:, 1:-1] = np.where(column[1:] > at[:, None], ids[:, 2:], ids[:, 1:-1])
+            rank[:, :-1] = np.where(column[:-1] > at[:, None], rank[:, 1:], rank[:, :-1])
+            rank[:, -1] = NEVER
+            ids[each, at] = least
+            n -= 1
+            follows, leads = at + 1 < n, at > 0
+            rank[each, at] = NEVER
+            rank[each[follows], at[follows]] = self._rank(least[follows], ids[each[follows], at[follows] + 1])
+            rank[each[leads], at[leads] - 1] = self._rank(ids[each[leads], at[leads] - 1], least[leads])
+        return done
 
     def _merge_long(self, piece: bytes) -> tuple[int, ...]:
-        import heapq
-
         ranks, n = self.ranks, len(piece)
         ends, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the symbol that begins at i; ends 0: merged away
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
@@ -198,19 +238,17 @@ class ByteBpe:
             i = ends[i]
         return tuple(out)
 
-    def encode_slices(self, data: bytes, cuts: list[int]) -> list[tuple[int, ...]]:
-        """Ids of each slice of ``data`` between neighbouring cuts (byte offsets)."""
-        known, out = self.ids, []
-        for a, b in zip(cuts, cuts[1:]):
-            piece = data[a:b]
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.merge(piece)
-                if b - a <= LONGEST_REMEMBERED:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[piece] = ids
-            out.append(ids)
+    def ids_of(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of each piece. Those of short pieces are remembered; if these become too many, only what this block had."""
+        here = set(pieces)
+        lacking = sorted(here.difference(self.ids))
+        if len(self.ids) + len(lacking) > REMEMBERED:
+            self.ids = {p: self.ids[p] for p in here if p in self.ids}
+        self.ids.update(zip(lacking, self.merge_all(lacking)))
+        out = list(map(self.ids.__getitem__, pieces))
+        for p in lacking:
+            if len(p) > LONGEST_REMEMBERED:
+                del self.ids[p]
         return out
 
     def decode(self, ids) -> bytes:
@@ -228,10 +266,11 @@ class ByteBpe:
         text_at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         filled = np.flatnonzero(np.diff(text_at))
         starts = offsets[match_starts(points, np.searchsorted(offsets, text_at[filled]))]
-        bounds = np.searchsorted(starts, text_at)
-        for i, t in enumerate(texts):
-            cuts = [*(starts[bounds[i] : bounds[i + 1]] - text_at[i]).tolist(), len(t)]
-            yield cuts, self.encode_slices(t, cuts)
+        data, cuts = b"".join(texts), [*starts.tolist(), int(text_at[-1])]
+        ids = self.ids_of([data[a:b] for a, b in zip(cuts, cuts[1:])])
+        bounds = np.searchsorted(starts, text_at).tolist()
+        for a, b, first, t in zip(bounds, bounds[1:], text_at.tolist(), texts):
+            yield [*(starts[a:b] - first).tolist(), len(t)], ids[a:b]
 
 
 @lru_cache(maxsize=2)
