@@ -74,52 +74,104 @@ def test_edit_similarity():
 
 
 def brute_lines(rows):
+    """Lines to drop by edit distance alone: rows (doc_id, text) of different ids."""
     occurrences = []
     for d, t in rows:
-        for k, line in enumerate((t or "").encode().split(b"\n")):
-            line = line_dedup.normalised(line)
-            if line.count(b" ") + 1 >= line_dedup.MIN_WORDS:
+        for k, line in enumerate((t or "").split("\n")):
+            line = " ".join("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line).split())
+            if any(c.isalnum() for c in line):
                 occurrences.append(((d, k), line))
     first = {}
     for o, line in sorted(occurrences):
         first.setdefault(line, o)
-    lines = list(first)
-    s = line_dedup.simhashes(lines)
-    links = []
-    for i in range(len(lines)):
-        for j in range(i):
-            if sum(int(x).bit_count() for x in s[i] ^ s[j]) <= line_dedup.BITS and line_dedup.edit_similarity(lines[i].decode(), lines[j].decode()) >= line_dedup.EDIT:
-                links.append((first[lines[i]], first[lines[j]]))
+    lines = [x for x in first if len(re.findall(r"\w+", x)) >= 4]
+    links = [(first[a], first[b]) for i, a in enumerate(lines) for b in lines[:i] if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and levenshtein(a, b) <= 0.2 * max(len(a), len(b))]
     root = roots(first.values(), links)
     return {o for o, line in occurrences if root[first[line]] != o}, len(links)
 
 
+def dropped(df):
+    docs = df.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return {(r.doc_id, r.line) for r in line_dedup.dropped_lines(docs).collect()}
+
+
 def test_line_dedup(spark):
     rng = random.Random(4)
-    vocabulary = [f"w{i}" for i in range(200)]
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
     base = [[rng.choice(vocabulary) for _ in range(rng.randrange(4, 60))] for _ in range(25)]
 
     def variant(words):
         words = list(words)
-        if rng.random() < 0.4:
+        if rng.random() < 0.5:
             i = rng.randrange(len(words))
             words[i] = rng.choice([words[i].upper(), words[i] + "!", rng.choice(vocabulary)])
-        if rng.random() < 0.3:
-            i = rng.randrange(len(words))
-            words[0], words[i] = words[i], words[0]
         return " ".join(words)
 
-    rows = [(i * 7 % 1000, "\n".join(variant(rng.choice(base)) for _ in range(rng.randrange(6)))) for i in range(150)] + EDGES
+    rows = [(i * 7 % 1000, "\n".join(variant(rng.choice(base)) for _ in range(rng.randrange(6)))) for i in range(80)] + EDGES
     expected, links = brute_lines(rows)
     df = frame(spark, rows, more=True)
-    assert links and {tuple(r) for r in line_dedup.dropped_lines(df).collect()} == expected
+    got = dropped(df)
+    assert links and got <= expected and len(got) >= 0.95 * len(expected)
     texts = {r.doc_id: r for r in line_dedup.dedup_documents(df).collect()}
     assert len(texts) == len(rows) and texts[90007].n_removed == 1 and texts[90006].n_removed == 0 and texts[90001].text is None
     for d, t in rows:
-        assert (texts[d].text or "") == "\n".join(x for k, x in enumerate((t or "").split("\n")) if (d, k) not in expected)
+        assert (texts[d].text or "") == "\n".join(x for k, x in enumerate((t or "").split("\n")) if (d, k) not in got)
     assert line_dedup.dedup_documents(df.limit(0)).count() == 0
 
 
+@given
+def test_lines_of_given_documents_with_an_edit_are_found(spark):
+    """Recall on given lines of all lengths with a word exchanged, a letter changed or a word dropped; the standard is edit distance alone."""
+    rng = random.Random(3)
+    own = sorted({" ".join(x.lower().split()) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect() for x in (r.text or "").split("\n")})
+    some = rng.sample([x for x in own if len(re.findall(r"\w+", x)) >= 5], 600)
+    rows, expected = [], set()
+    for i, line in enumerate(some):
+        words = line.split(" ")
+        k = rng.randrange(len(words))
+        if i % 3 == 0:
+            words[k] = rng.choice(some).split(" ")[0]
+        elif i % 3 == 1:
+            words[k] = words[k][:-1] + rng.choice("aeiou")
+        elif len(words) > 1:
+            del words[k]
+        other = " ".join(words)
+        rows += [(2 * i, line), (2 * i + 1, other)]
+        if len(line) < 600 and levenshtein(line, other) <= 0.2 * max(len(line), len(other)):
+            expected.add(2 * i + 1)
+    gone = {d for d, _ in dropped(frame(spark, rows))}
+    assert len(expected) > 300 and len(expected & gone) >= 0.95 * len(expected)
+
+
+def test_rows_of_equal_ids_keep_their_own_lines(spark):
+    a, b = "this line stands in two documents of the table", "nothing else in the table says what this one does"
+    out = [r.text for r in line_dedup.dedup_documents(frame(spark, [(1, a), (2, a), (2, b), (3, b), (None, a)])).collect()]
+    assert sorted(out) == sorted([a, "", b, "", a])
+    same = [r.text for r in line_dedup.dedup_documents(frame(spark, [(2, a), (2, a), (5, a)])).collect()]
+    assert sorted(same) == ["", a, a]
+
+
+def test_large_groups_are_compared_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PART", 3)
+    rng = random.Random(2)
+    rows = [(i, block, rng.randrange(4)) for block in range(3) for i in range(20 * block, 20 * block + 14)]
+    table = spark.createDataFrame([(b, 14, i, s, 100, i) for i, b, s in rows], "block long, members long, id long, sim long, length long, component long")
+    got = [tuple(r) for r in line_dedup._rest(table).collect()]
+    assert sorted(got) == sorted({(i, j) for i, x, _ in rows for j, y, _ in rows if x == y and i < j})
+
+
+def test_very_long_lines(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(120_000)]
+    changed = list(words)
+    for i in range(0, len(words), 5_000):
+        changed[i] = "changed"
+    many = "\n".join(f"{a} {b} {c} {d} {e}" for a, b, c, d, e in zip(words[::6], words[1::6], words[2::6], words[3::6], words[4::6]))
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, many), (4, many)]
+    out = {r.doc_id: r for r in line_dedup.dedup_documents(frame(spark, rows)).collect()}
+    assert out[1].n_removed == 0 and out[2].n_removed == 1 and out[3].n_removed == 0 and out[4].n_removed == 20_000 and out[4].text == ""
+
+
 def test_near_lines_are_found_by_edit_similarity_alone(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
@@ -131,21 +183,21 @@ def test_near_lines_are_found_by_edit_similarity_alone(spark):
         if i % 3 == 0:
             other.insert(rng.randrange(len(words)), word())
         a, b = " ".join(words), " ".join(other)
-        expected += 1 - levenshtein(a, b) / max(len(a), len(b)) >= line_dedup.EDIT
+        expected += 1 - levenshtein(a, b) / max(len(a), len(b)) >= 0.8
         rows += [(2 * i, a), (2 * i + 1, b)]
-    gone = {r.doc_id for r in line_dedup.dropped_lines(frame(spark, rows)).collect()}
+    gone = {d for d, _ in dropped(frame(spark, rows))}
     assert expected > 100 and all(d % 2 for d in gone) and 0.97 * expected <= len(gone) <= expected
 
 
 def test_short_lines_and_scripts_without_blanks(spark):
     passage = "这一行没有空格但是它说了很多话所以它应该被比较"
     rows = [(1, "stteen erachtz\n\n----\nx = 1;"), (2, "Stteen  erachtz\n\n----"), (3, "x = 1;\nietzte"), (4, passage), (5, passage), (6, passage.replace("空格", "间隔")), (7, "ietzten")]
-    assert {tuple(r) for r in line_dedup.dropped_lines(frame(spark, rows)).collect()} == {(2, 0), (3, 0), (5, 0), (6, 0)}
+    assert dropped(frame(spark, rows)) == {(2, 0), (3, 0), (5, 0), (6, 0)}
 
 
 def test_rows_of_other_numbers_and_operators_stay(spark):
     texts = ["2019 34 12 90 41", "2020 51 33 17 22", "a + b c d", "total 9 - 7 * 1", "total 2 + 5 / 3", "2019 34 12 90 41", "The meeting of 2019 was held in the large hall", "The meeting of 2021 was held in the large hall!"]
-    gone = {r.doc_id for r in line_dedup.dropped_lines(frame(spark, list(enumerate(texts)))).collect()}
+    gone = {d for d, _ in dropped(frame(spark, list(enumerate(texts))))}
     assert gone == {5, 7}
 
 
