@@ -17,8 +17,9 @@ every document into every window. Pivots are therefore elected where documents c
 5. Components of all verified links give the classes.
 
 Pairs inside a group are never all made: balls link to their pivot, hot groups of equal copies collapse
-first, pivots' groups are salted, components run over an edge table. Sets are re-made from the texts where
-they are verified, since texts are smaller than sets of hashes.
+first, components run over an edge table. Sets are re-made from the texts where they are verified, since texts are smaller than sets of
+hashes. A pair is sent on by one of the regions that its documents share (``SHARED``). What one task holds together are a region's ids, sizes and
+counts, in the window over a shingle and in the rounds of pivots.
 
 Defined cases: null or empty texts have an empty set and their own component; fewer than five words
 make one shingle; repeated rows fall into one class; a row without an id takes its class' component and gives none; extra columns are ignored; an empty table gives none.
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels
-from tessera.llm.common import blocks, sized_semi_join, staged
+from tessera.llm.common import blocks, sampled, sized_semi_join, staged
 from tessera.llm.components import connected_components, extended
 
 #: Documents that the order of shingles is fitted on (expected number), and most shingles it ranks.
@@ -49,6 +50,8 @@ ROUND_PAIRS = 16
 NEAREST, NEAREST_ROUNDS = 3, 2
 #: In those rounds a region with more members is dealt into parts.
 PART_MEMBERS = 2048
+#: Open regions of a document by which it is decided where a pair is sent on.
+SHARED = 16
 #: Digests of sets that a task remembers, so as not to send equal ones again.
 _SEEN = 1_000_000
 
@@ -60,13 +63,13 @@ def _long(values: np.ndarray) -> pa.Array:
 def _fit_order(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that at least two documents of the sample hold, sorted, and their counts there."""
     n = docs.count()
-    sample = docs if n <= ORDER_ROWS else docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(1_000_000 * ORDER_ROWS // n))
+    sample = sampled(docs, n, ORDER_ROWS, "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in blocks(batches):
             yield pa.RecordBatch.from_arrays([_long(kernels.shingles(texts, size)[0])], names=["token"])
 
-    counted = sample.select("text").distinct().mapInArrow(each, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    counted = sample.select("text").mapInArrow(each, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     rows = counted.orderBy(F.desc("n"), "token").limit(ORDER_SHINGLES).collect()
     tokens = np.array([r[0] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(tokens)
@@ -284,17 +287,22 @@ def region_pairs(component: np.ndarray, members: _Members, most: int, nearest: b
 
 
 def _regions(groups: DataFrame, nearest: bool) -> DataFrame:
-    """region, a, b: a pair to verify, or (b null) a member that is done with, of each region (bucket, region, doc_id, component, n, counts)."""
+    """region, a, b: a pair to verify, or (b null) a member that is done with, of each region (bucket, region, token, doc_id, component, n, counts, shared).
+
+    Near copies share most of their regions. Where both of a pair name some among their first ones (``shared``), the least of these sends the pair on.
+    """
 
     def each(table: pa.Table) -> pa.Table:
         table = table.sort_by([("region", "ascending"), ("doc_id", "ascending")])
-        region, ids, component, n = (table.column(k).to_numpy() for k in ("region", "doc_id", "component", "n"))
+        region, ids, component, n, token = (table.column(k).to_numpy() for k in ("region", "doc_id", "component", "n", "token"))
+        shared = table.column("shared").to_pylist()
         counts = table.column("counts").to_pylist()
         cuts = np.append(np.flatnonzero(np.append(True, region[1:] != region[:-1])), len(region))
         out: list[tuple[int, int, int | None]] = []
         for x, y in zip(cuts[:-1], cuts[1:]):
             pairs, done = region_pairs(component[x:y], _Members(n[x:y], counts[x:y]), ROUND_PAIRS * int(y - x), nearest)
-            out += [(region[x], ids[x + i], ids[x + j]) for i, j in pairs]
+            named = [set(s) for s in shared[x:y]]
+            out += [(region[x], ids[x + i], ids[x + j]) for i, j in pairs if min(named[i] & named[j], default=token[x]) == token[x]]
             out += [(region[x], ids[x + i], None) for i in done]
         return pa.table({k: pa.array([r[i] for r in out], pa.int64()) for i, k in enumerate(("region", "a", "b"))})
 
@@ -322,15 +330,17 @@ def jaccard_classes(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text
     open_ = members.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h")).filter("x < y")
     open_ = open_.groupBy("k", "h").agg(F.min("token").alias("token")).select("token")
     left = staged(members.join(open_, "token").select(F.col("token").alias("region"), "doc_id"), "jaccard-boundaries")
+    shared = left.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list("region")), 1, SHARED).alias("shared"))
+    shared = staged(shared.join(classes.select(F.col("rep").alias("doc_id"), "n", "counts"), "doc_id"), "jaccard-members")
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     turn = 0
     while not left.isEmpty():
-        here = left
+        here = left.withColumn("token", F.col("region"))
         if turn < NEAREST_ROUNDS and left.groupBy("region").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > PART_MEMBERS).count():
             # parts of a large region, dealt anew each round, so that no task compares all of its members with each other
             parts = left.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART_MEMBERS)).alias("parts"))
-            here = left.join(parts, "region").select(F.xxhash64("region", F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.col("parts"))).alias("region"), "doc_id")
-        now = here.join(classes.select(F.col("rep").alias("doc_id"), "n", "counts"), "doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+            here = left.join(parts, "region").select(F.xxhash64("region", F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.col("parts"))).alias("region"), F.col("region").alias("token"), "doc_id")
+        now = here.join(shared, "doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         bucketed = now.withColumn("bucket", F.pmod(F.xxhash64("region"), F.lit(buckets)).cast("int"))
         sent = staged(_regions(bucketed, turn < NEAREST_ROUNDS), "jaccard-round")
         turn += 1
