@@ -50,6 +50,18 @@ def map_texts(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.select(*keep).mapInArrow(function, schema)
 
 
+def sampled(rows: DataFrame, n: int, most: int, *keys: str) -> DataFrame:
+    """About ``most`` of ``n`` rows, or all if there are no more, by a hash of the keys; rows of equal keys count once.
+
+    The hash has 62 bits, so the share may be as small as it gets. A key (or null) that a third of all rows hold is one row of the sample.
+    """
+    columns = rows.columns
+    keyed = rows.withColumn("__key", F.xxhash64(*keys).bitwiseAND(F.lit((1 << 62) - 1)))
+    if n > most:
+        keyed = keyed.filter(F.col("__key") < F.lit((most << 62) // n))
+    return keyed.dropDuplicates(["__key"]).select(*columns)
+
+
 class Remembered(dict):
     """Results of ``function`` by key, of at most twice ``most`` keys: when ``most`` new ones have come, those before them go.
 

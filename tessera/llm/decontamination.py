@@ -1,24 +1,28 @@
 """Benchmark decontamination by templates: also questions whose numbers, names or units were exchanged.
 
 Words of benchmark items and documents are canonicalised: numbers, units after a number, and names (capitalised
-words within a sentence, one placeholder for a run) become typed placeholders, whose own texts are their slots; other
-words are lower-cased and stripped of punctuation. Windows of ``WINDOW`` template words are hashed and joined with
-the benchmark's; within a match the slots must be consistent: along a document and item one benchmark value always
-maps to one document value of the same type and no two to the same. A document is contaminated by an item if
-windows that are consistent cover at least ``COVER`` of the item's template words.
-
-Windows that hold fewer than ``LITERAL`` ordinary words are hashed with their slots' texts, so they match verbatim copies only. The benchmark's windows are broadcast
-only up to a counted bound (``BROADCAST_WINDOWS``): the tasks then look them up and emit matches alone; beyond
-the bound, all windows of the documents are joined by a shuffle. An item shorter than a window is one window.
+words wherever they stand, as a sentence may begin with a name; one placeholder for a run) become typed placeholders, whose own texts are their
+slots; other words are lower-cased and stripped of punctuation. Windows of ``WINDOW`` template words are hashed and joined with
+the benchmark's; within a match the slots must be consistent: one benchmark value always maps to one document value of the same
+type and no two to the same. Windows of one copy keep their distance from the item's; the copy with most consistent windows is judged first,
+and others add to it what agrees with its map. A document is contaminated by an item if consistent windows cover at least ``COVER`` of
+the item's template words.
+
+Windows that hold fewer than ``LITERAL`` ordinary words are hashed with their slots' texts, so they match verbatim copies only. The benchmark's
+windows are broadcast only up to a counted bound (``BROADCAST_WINDOWS``): blocks of texts are then hashed as arrays, and only texts with a window whose
+template is known are looked at word by word; beyond the bound, all windows of the documents are joined by a shuffle. An item shorter than a
+window is one window.
 
 Defined cases: null or empty texts and items, and rows without an id, match nothing; repeated documents (equal id) count once, repeated
-items each by their id; ties among consistent maps go to the earliest window; an empty benchmark gives no rows.
+items each by their id; ties among copies go to the earliest; texts of any length are handled whole; an empty benchmark or table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blocks, sized_semi_join, staged
-from tessera.llm.kernels import PLACE, mix
+from tessera.llm.common import Remembered, blocks, sized_semi_join, staged
+from tessera.llm.kernels import PLACE, U64, mix
 
 WINDOW, LITERAL, COVER = 8, 4, 0.5
 BROADCAST_WINDOWS = 500_000
@@ -41,66 +45,106 @@ UNITS = frozenset(
 _NUMBER = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?$")
 _NUMBER_UNIT = re.compile(r"([-+]?[$€£]?\d[\d.,]*)([A-Za-z]+)$")
 _STRIP = ".,;:!?\"'()[]{}<>*#$%&|-_`~…«»„“”"
-_ENDS = (".", "!", "?", ":")
 
 
-PLAIN, CAPITAL, NUMERAL, MEASURE, EMPTY = range(5)
+PLAIN, CAPITAL, NUMERAL, MEASURE, EMPTY, MAYBE_UNIT = 0, 1, 2, 3, 4, 8
 _REMEMBERED = 200_000
-_kinds: dict[str, tuple[int, str, str, bool, bool]] = {}
 _hashes: dict[str, int] = {}
 
 
-def _kind(raw: str) -> tuple[int, str, str, bool, bool]:
-    """What a word is by itself: kind, its text, a measure's unit, whether it may be a unit, whether a sentence ends with it."""
+def _kind(raw: str) -> tuple[int, str, str]:
+    """What a word is by itself (``MAYBE_UNIT`` added if it is a unit after a number), its text, a measure's unit."""
     word = raw.strip(_STRIP)
-    low, ends = word.lower(), raw.endswith(_ENDS)
+    low = word.lower()
     if not word:
-        out = (EMPTY, "", "", False, False)
-    elif not word[0].isalpha() and _NUMBER.match(word):
-        out = (NUMERAL, word, "", False, ends)
-    elif not word[0].isalpha() and (both := _NUMBER_UNIT.match(word)) and both[2].lower() in UNITS:
-        out = (MEASURE, both[1], both[2].lower(), False, ends)
-    else:
-        out = (CAPITAL if word[0].isupper() and not word.isupper() else PLAIN, low, "", low in UNITS, ends)
-    if len(_kinds) >= _REMEMBERED:
-        _kinds.clear()
-    _kinds[raw] = out
-    return out
+        return EMPTY, "", ""
+    if not word[0].isalpha():
+        if _NUMBER.match(word):
+            return NUMERAL, word, ""
+        if (both := _NUMBER_UNIT.match(word)) and both[2].lower() in UNITS:
+            return MEASURE, both[1], both[2].lower()
+    return (CAPITAL if word[0].isupper() and not word.isupper() else PLAIN) | (MAYBE_UNIT if low in UNITS else 0), low, ""
 
 
 def template(text: str) -> tuple[list[str], list[str]]:
     """Template words of a text, and for each the text of its slot ('' for ordinary words)."""
     words: list[str] = []
     slots: list[str] = []
-    known = _kinds
-    for line in text.split("\n"):
-        begins = True  # a sentence, whose first word's capital says nothing
-        for raw in line.split():
-            kind, low, unit, may_be_unit, ends = known.get(raw) or _kind(raw)
-            if kind == EMPTY:
-                continue
-            if kind == NUMERAL:
-                words.append(NUMBER)
-                slots.append(low)
-            elif kind == MEASURE:
-                words += (NUMBER, UNIT)
-                slots += (low, unit)
-            elif may_be_unit and words and words[-1] == NUMBER:
-                words.append(UNIT)
-                slots.append(low)
-            elif kind == CAPITAL and not begins:
-                if words and words[-1] == NAME:
-                    slots[-1] += " " + low
-                else:
-                    words.append(NAME)
-                    slots.append(low)
+    for raw in text.split():
+        kind, low, unit = _kind(raw)
+        if kind == EMPTY:
+            continue
+        if kind == NUMERAL:
+            words.append(NUMBER)
+            slots.append(low)
+        elif kind == MEASURE:
+            words += (NUMBER, UNIT)
+            slots += (low, unit)
+        elif kind & MAYBE_UNIT and words and words[-1] == NUMBER:
+            words.append(UNIT)
+            slots.append(low)
+        elif kind & CAPITAL:
+            if words and words[-1] == NAME:
+                slots[-1] += " " + low
             else:
-                words.append(low)
-                slots.append("")
-            begins = ends
+                words.append(NAME)
+                slots.append(low)
+        else:
+            words.append(low)
+            slots.append("")
     return words, slots
 
 
+def _marked(raw: str) -> int:
+    """A word's kind in the low four bits, and above them a hash of its text."""
+    kind, low, _ = _kind(raw)
+    return xxhash.xxh3_64_intdigest(low.encode("utf-8", "replace")) & ~15 | kind
+
+
+_SLOT = {kind: U64(xxhash.xxh3_64_intdigest(kind.encode()) & ~15) for kind in (NUMBER, UNIT, NAME)}
+
+
+class Shapes:
+    """Hashes of templates' windows of whole blocks of texts, by arrays: what ``template`` gives, without the slots."""
+
+    def __init__(self):
+        self.marks = Remembered(_marked)
+
+    def __call__(self, texts: list[str], sizes: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each size the windows' hashes, and the texts they stand in; a text with fewer words is one window of the first size."""
+        parts = [t.split() for t in texts]
+        marks = np.fromiter(map(self.marks.__getitem__, chain.from_iterable(parts)), U64, sum(map(len, parts)))
+        text = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        kind, h = (marks & U64(15)).astype(np.uint8), marks & ~U64(15)
+        there = kind != EMPTY
+        kind, h, text = kind[there], h[there], text[there]
+        if not len(kind):
+            return [(np.zeros(0, U64), np.zeros(0, np.int64)) for _ in sizes]
+        same = np.append(False, text[1:] == text[:-1])
+        after_number = np.append(False, kind[:-1] == NUMERAL) & same
+        unit = (kind & MAYBE_UNIT).astype(bool) & after_number
+        name = (kind & 7 == CAPITAL) & ~unit
+        number = (kind == NUMERAL) | (kind == MEASURE)
+        h[number], h[unit], h[name] = _SLOT[NUMBER], _SLOT[UNIT], _SLOT[NAME]
+        keep = ~(name & np.append(False, name[:-1]) & same)
+        times = np.where(kind == MEASURE, 2, 1)[keep]
+        h, text = np.repeat(h[keep], times), np.repeat(text[keep], times)
+        second = np.cumsum(times)[times == 2] - 1
+        h[second] = _SLOT[UNIT]
+        out = []
+        count = np.bincount(text, minlength=len(parts))
+        first = np.cumsum(count) - count
+        for k, size in enumerate(sizes):
+            places = np.flatnonzero(text[: len(text) - size + 1] == text[size - 1 :]) if len(text) >= size else np.zeros(0, np.int64)
+            hashes, owner = _mixed(h, places, size), text[places]
+            if k == 0:
+                for i in np.flatnonzero((count > 0) & (count < size)).tolist():
+                    hashes = np.append(hashes, _mixed(h, first[i : i + 1], int(count[i])))
+                    owner = np.append(owner, i)
+            out.append((hashes, owner))
+        return out
+
+
 def _hash(word: str) -> int:
     if len(_hashes) >= _REMEMBERED:
         _hashes.clear()
@@ -144,59 +188,96 @@ def _mixed(h: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
 _WINDOWS = "id long, window long, place int, length int, slots array<string>"
 
 
-def _window_rows(known: np.ndarray | None, short: list[int]):
-    """A mapper from (id, text) to windows; with ``known`` (sorted hashes), only those among them, also of shorter sizes."""
+def _rows_of(ids: list[int], texts: list[str], sizes: list[int], known: np.ndarray | None = None) -> pa.RecordBatch:
+    """The windows of the texts; with ``known`` (sorted hashes) only those among them."""
+    out: list[tuple] = []
+    for i, t in zip(ids, texts):
+        words, held = template(t)
+        for size in sizes:
+            if size > len(words) and size != WINDOW:
+                continue
+            found, at = windows(words, size, slots=held)
+            if known is not None:
+                keep = known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found
+                found, at = found[keep], at[keep]
+            out += [(i, h, k, len(words), held[k : k + min(size, len(words))]) for h, k in zip(found.view(np.int64).tolist(), at.tolist())]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()))
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["id", "window", "place", "length", "slots"])
+
+
+def _every_window(sizes: list[int]):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches):
-            ids, hashes, places, lengths, slots = [], [], [], [], []
-            for i, t in zip(part.column(0).to_pylist(), texts):
-                words, held = template(t.decode("utf-8", "replace"))
-                for size in (WINDOW, *short):
-                    if size > len(words) and size != WINDOW:
-                        continue
-                    found, at = windows(words, size, slots=held)
-                    if known is not None:
-                        if not len(known):
-                            continue
-                        keep = known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found
-                        found, at = found[keep], at[keep]
-                    for h, k in zip(found.tolist(), at.tolist()):
-                        ids.append(i)
-                        hashes.append(h)
-                        places.append(k)
-                        lengths.append(len(words))
-                        slots.append(held[k : k + min(size, len(words))])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(places, pa.int32()), pa.array(lengths, pa.int32()), pa.array(slots, pa.list_(pa.string()))], names=["id", "window", "place", "length", "slots"]
-            )
+            yield _rows_of(part.column(0).to_pylist(), [t.decode("utf-8", "replace") for t in texts], sizes)
+
+    return each
+
+
+def _known_windows(sizes: list[int], known: np.ndarray, shapes: np.ndarray):
+    """Windows among ``known``; texts without a window of a known shape are passed over."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Shapes()
+        for part, whole in blocks(batches):
+            texts = [t.decode("utf-8", "replace") for t in whole]
+            wanted = np.zeros(len(texts), bool)
+            for hashes, owner in of(texts, sizes):
+                wanted[owner[shapes[np.minimum(np.searchsorted(shapes, hashes), len(shapes) - 1)] == hashes]] = True
+            some = np.flatnonzero(wanted).tolist()
+            if some:
+                yield _rows_of(part.column(0).take(pa.array(some)).to_pylist(), [texts[i] for i in some], sizes, known)
+
+    return each
+
+
+def _shapes_of(sizes: list[int]):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Shapes()
+        for _, texts in blocks(batches):
+            for hashes, _ in of([t.decode("utf-8", "replace") for t in texts], sizes):
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["shape"])
 
     return each
 
 
+def judge(rows: list[tuple[int, int, list[str], list[str]]]) -> tuple[int, int]:
+    """Item words that consistent windows cover, and slots changed; rows: (place, item_place, slots, item_slots) of one document and item."""
+
+    def extend(copy: list[tuple], forward: dict[str, str], back: dict[str, str], covered: set[int]) -> int:
+        agreed = 0
+        for _, item_place, slots, item_slots in copy:
+            pairs = [(a, b) for a, b in zip(item_slots, slots) if a or b]
+            if all(forward.get(a, b) == b and back.get(b, a) == a for a, b in pairs):
+                forward.update(pairs)
+                back.update((b, a) for a, b in pairs)
+                covered.update(range(item_place, item_place + len(slots)))
+                agreed += 1
+        return agreed
+
+    copies: dict[int, list[tuple]] = {}
+    for row in sorted(rows, key=lambda r: r[:2]):
+        copies.setdefault(row[0] - row[1], []).append(row)
+    ranked = sorted(copies.values(), key=lambda copy: (-extend(copy, {}, {}, set()), copy[0][0]))
+    forward: dict[str, str] = {}
+    back: dict[str, str] = {}
+    covered: set[int] = set()
+    for copy in ranked:
+        extend(copy, forward, back, covered)
+    return len(covered), sum(a != b for a, b in forward.items())
+
+
 def _judged(matches: DataFrame) -> DataFrame:
     """doc_id, item_id, covered, n_words, n_slots_changed of the matches' consistent windows."""
 
     def each(table: pa.Table) -> pa.Table:
-        rows = table.to_pydict()
-        order = sorted(range(table.num_rows), key=lambda i: (rows["doc_id"][i], rows["item_id"][i], rows["place"][i], rows["item_place"][i]))
+        doc, item, length = (table.column(k).to_numpy() for k in ("doc_id", "item_id", "length"))
+        order = np.lexsort((item, doc))
+        cuts = np.append(np.flatnonzero(np.append(True, (doc[order][1:] != doc[order][:-1]) | (item[order][1:] != item[order][:-1]))), len(order))
         out = []
-        k = 0
-        while k < len(order):
-            doc, item = rows["doc_id"][order[k]], rows["item_id"][order[k]]
-            forward: dict[str, str] = {}
-            back: dict[str, str] = {}
-            covered: set[int] = set()
-            length = rows["length"][order[k]]
-            while k < len(order) and (rows["doc_id"][order[k]], rows["item_id"][order[k]]) == (doc, item):
-                i = order[k]
-                k += 1
-                pairs = [(a, b) for a, b in zip(rows["item_slots"][i], rows["slots"][i]) if a or b]
-                if all(forward.get(a, b) == b and back.get(b, a) == a for a, b in pairs):
-                    forward.update(pairs)
-                    back.update((b, a) for a, b in pairs)
-                    covered.update(range(rows["item_place"][i], rows["item_place"][i] + len(rows["slots"][i])))
-            out.append((doc, item, len(covered), length, sum(a != b for a, b in forward.items())))
-        return pa.table({n: pa.array([x[j] for x in out], pa.int64()) for j, n in enumerate(("doc_id", "item_id", "covered", "n_words", "n_slots_changed"))})
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own = table.select(["place", "item_place", "slots", "item_slots"]).take(pa.array(order[a:b])).to_pydict()
+            out.append((doc[order[a]], item[order[a]], length[order[a]], *judge(list(zip(*own.values())))))
+        return pa.table({n: pa.array([int(x[j]) for x in out], pa.int64()) for n, j in (("doc_id", 0), ("item_id", 1), ("covered", 3), ("n_words", 2), ("n_slots_changed", 4))})
 
     return matches.groupBy("bucket").applyInArrow(each, "doc_id long, item_id long, covered long, n_words long, n_slots_changed long")
 
@@ -205,14 +286,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, item_id, covered, n_words, n_slots_changed): each document and the items it gives away."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").alias("text")).dropna()
-    held = staged(items.mapInArrow(_window_rows(None, []), _WINDOWS).distinct(), "benchmark-windows")
+    held = staged(items.mapInArrow(_every_window([WINDOW]), _WINDOWS).distinct(), "benchmark-windows")
     n = held.count()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     short = [r[0] for r in held.filter(f"length < {WINDOW}").select("length").distinct().collect()]  # fewer than WINDOW values
-    known = None
-    if n <= BROADCAST_WINDOWS:
-        known = np.sort(np.array([r[0] for r in held.select("window").distinct().collect()], np.int64).view(np.uint64))
-    found = rows.mapInArrow(_window_rows(known, sorted(short)), _WINDOWS).select(F.col("id").alias("doc_id"), "window", "place", "slots")
+    sizes = [WINDOW, *sorted(short)]
+    mapper = _every_window(sizes)
+    if 0 < n <= BROADCAST_WINDOWS:
+        known = np.sort(np.array([r[0] for r in held.select("window").distinct().collect()], np.int64).view(U64))
+        shapes = items.select("text").mapInArrow(_shapes_of([WINDOW]), "shape long").distinct().collect()  # no more than words of the items
+        mapper = _known_windows(sizes, known, np.sort(np.array([r[0] for r in shapes], np.int64).view(U64)))
+    found = rows.mapInArrow(mapper, _WINDOWS).select(F.col("id").alias("doc_id"), "window", "place", "slots")
     side = held.select(F.col("id").alias("item_id"), "window", F.col("place").alias("item_place"), "length", F.col("slots").alias("item_slots"))
     matches = found.join(F.broadcast(side) if n <= BROADCAST_WINDOWS else side, "window").filter("size(slots) = size(item_slots)")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4

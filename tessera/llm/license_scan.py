@@ -8,7 +8,7 @@ is the least at which no held-out paragraph of the unknown class is named. A nam
 holds enough of the n-grams of one of the family's templates, or all of one of its short forms; if not, it is reported as unknown.
 
 Rows are handled by DataFrame functions alone: paragraphs (lines with words) explode to n-grams, which meet
-the weights in a broadcast join - their number is bounded by the templates (``FEATURES``) - and sums per
+the weights in a broadcast join - their number is bounded by the templates - and sums per
 paragraph are pre-aggregated. Only paragraphs with features are shuffled.
 
 Defined cases: null and empty texts have no paragraphs; repeated rows are reported each (a row number
@@ -24,10 +24,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_or_empty
+from tessera.llm.common import sampled, text_or_empty
 
-#: Ordinary paragraphs that the unknown class learns from (expected number), n-grams with a weight, share of a template that confirms.
-NEGATIVES, FEATURES, CONFIRM = 2000, 4000, 0.6
+#: Ordinary paragraphs that the unknown class learns from (expected number), share of a template that confirms.
+NEGATIVES, CONFIRM = 2000, 0.6
 #: An n-gram that more than this share of the ordinary paragraphs holds is no feature.
 COMMON = 0.002
 ROUNDS, STEP, DECAY = 300, 1.0, 1e-4
@@ -99,7 +99,7 @@ def train(paragraphs: list[str], seed: int = 7) -> tuple[list[str], dict[str, li
     rows += [(grams(p), len(families) - 1) for p in paragraphs]
     rng.shuffle(rows)
     held, taught = rows[: len(rows) // 5], rows[len(rows) // 5 :]
-    named = sorted({g for gs, y in taught if y < len(families) - 1 for g in gs if seen.get(g, 0) <= COMMON * max(1, len(paragraphs))})[:FEATURES]
+    named = sorted({g for gs, y in taught if y < len(families) - 1 for g in gs if seen.get(g, 0) <= COMMON * max(1, len(paragraphs))})
     at = {g: i for i, g in enumerate(named)}
 
     def matrix(part: list[tuple[set[str], int]]) -> np.ndarray:
@@ -127,7 +127,7 @@ def train(paragraphs: list[str], seed: int = 7) -> tuple[list[str], dict[str, li
     p = (p / p.sum(axis=1, keepdims=True))[:, :-1]
     unknown = np.array([r[1] == len(families) - 1 for r in held], bool)
     threshold = max(0.5, float(p[unknown].max()) + 1e-6 if unknown.any() else 0.5)
-    return families, {g: w[i].tolist() for g, i in at.items()}, b.tolist(), min(threshold, 0.95)
+    return families, {g: w[i].tolist() for g, i in at.items()}, b.tolist(), threshold
 
 
 def _paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -137,13 +137,11 @@ def _paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _sample(docs: DataFrame, id_col: str, text_col: str) -> list[str]:
-    """Ordinary paragraphs (none that speaks of licences) of documents chosen by a hash of the id."""
-    n = docs.count()
-    if not n:
-        return []
-    some = docs.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < F.lit(max(1, 1_000_000 * NEGATIVES // n)))
-    lines = some.select(F.explode(F.slice(F.shuffle(F.split(text_or_empty(text_col), "\n"), F.lit(11)), 1, 1)).alias("p"))
-    return [r[0] for r in lines.filter("not lower(p) rlike 'licen|copyright|permission|rights|creative commons|proprietary|redistribut'").select(F.substring("p", 1, 2000)).collect()]
+    """Ordinary paragraphs (none that speaks of licences), one of each document that a hash of id and text chooses."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    some = sampled(rows, rows.count(), NEGATIVES, "id", "text")
+    lines = some.select(F.explode(F.slice(F.shuffle(F.split(text_or_empty("text"), "\n"), F.lit(11)), 1, 1)).alias("p"))
+    return [r[0] for r in lines.filter("not lower(p) rlike 'licen|copyright|permission|rights|creative commons|proprietary|redistribut'").collect()]
 
 
 _GRAMS = "concat(words, if(size(words) > 1, zip_with(slice(words, 1, size(words) - 1), slice(words, 2, size(words) - 1), (a, b) -> concat(a, ' ', b)), array()))"
@@ -153,7 +151,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, line, family, confidence, similarity, confirmed: each paragraph that a family is named for, or would be but for a template."""
     spark = docs.sparkSession
     families, weights, bias, threshold = train(_sample(docs, id_col, text_col))
-    table = spark.createDataFrame([(g, w) for g, w in weights.items()], "gram string, w array<double>")  # at most FEATURES rows
+    table = spark.createDataFrame([(g, w) for g, w in weights.items()], "gram string, w array<double>")  # the templates' n-grams
     notices = spark.createDataFrame([(f, sorted(grams(t)), forms is SHORT_FORMS) for forms in (TEMPLATES, SHORT_FORMS) for f, ts in forms.items() for t in ts], "family string, template array<string>, short boolean")
     hits = _paragraphs(docs, id_col, text_col).select("row", "doc_id", "line", F.explode(F.array_distinct(F.expr(_GRAMS))).alias("gram")).join(F.broadcast(table), "gram")
     sums = hits.groupBy("row", "doc_id", "line").agg(F.collect_set("gram").alias("held"), *[F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(len(families))])

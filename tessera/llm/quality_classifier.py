@@ -4,7 +4,7 @@ Overlapping labellers vote good, bad or abstain on each text. The votes of all d
 Spark (at most 2 ** labellers rows come to the driver), and expectation-maximisation over the patterns gives each
 labeller's rate of firing in either class and the posterior of a pattern. A hashed linear scorer (logistic
 regression over hashed word shapes and hashed bins of the measures) is trained with the posteriors as soft labels on a
-bounded sample (``TRAIN_ROWS``, chosen by a hash of the id) and then scores every document.
+bounded sample (``TRAIN_ROWS``, chosen by a hash of id and text) and then scores every document.
 
 Defined cases: null and empty texts have no words, all labellers abstain and they are kept; an empty table
 gives none; repeated rows and ties score alike; ids may repeat or be null; other columns pass through ``scored``.
@@ -23,9 +23,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blocks
+from tessera.llm.common import blocks, sampled
 
-#: Documents that the scorer is trained on (expected number), and its hashed features.
+#: Documents that the scorer is trained on (expected number; equal rows count once), and its hashed features.
 TRAIN_ROWS, FEATURES = 20_000, 1 << 12
 EM_ROUNDS, EPOCHS, STEP, DECAY = 50, 300, 0.5, 1e-4
 #: A text whose probability of being bad reaches this is rejected.
@@ -211,7 +211,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], size: int = FEATURES
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_ROWS) -> Scorer:
     """Counts vote patterns over all documents, estimates the labellers, and trains the scorer on a bounded sample."""
-    rows = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
@@ -230,12 +230,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: i
     counts = {r[0]: r[1] for r in rows.select("text").mapInArrow(patterns, "pattern int, n long").groupBy("pattern").agg(F.sum("n")).collect()}
     posterior = estimate(dict(sorted(counts.items())))
     n = sum(counts.values())
-    sample = rows if n <= most else rows.filter(F.pmod("h", F.lit(1_000_000)) < F.lit(1_000_000 * most // n))
+    sample = sampled(rows, n, most, "id", "text") if n > most else rows
     taken = sample.select("text").mapInArrow(features, "at array<int>, value array<double>, pattern int").collect()
     return train([(np.array(r[0], np.int64), np.array(r[1]), posterior[r[2]]) for r in taken])
 
 
-def scored(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
-    """The rows with ``bad_probability`` and ``kept``."""
-    p = scorer.column(F.col(text_col))
-    return docs.withColumn("bad_probability", p).withColumn("kept", F.col("bad_probability") < REJECT)
+def scored(docs: DataFrame, scorer: Scorer, text_col: str = "text", names: tuple[str, str] = ("bad_probability", "kept")) -> DataFrame:
+    """The rows with ``names``: the probability of being bad, and whether the row is kept. Input columns of these names are replaced."""
+    probability, kept = names
+    return docs.withColumn(probability, scorer.column(F.col(text_col))).withColumn(kept, F.col(probability) < REJECT)

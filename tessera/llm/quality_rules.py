@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_or_empty
+from tessera.llm.common import sampled, text_or_empty
 
 #: Most labelled rows that the learner takes (expected number: the choice is by hash).
 SAMPLE_ROWS = 20_000
@@ -103,8 +103,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, id_col
     n = marks.count()
     if n == 0:
         return []
-    if n > most:
-        marks = marks.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(1_000_000 * most // n))
+    marks = sampled(marks, n, most, "id", "bad")
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chosen = chosen.join(F.broadcast(marks.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")  # bounded by ``most``
     rows = measures(chosen).filter(~base_failed()).join(F.broadcast(marks), F.col("doc_id") == F.col("id"))
