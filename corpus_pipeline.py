@@ -1,7 +1,11 @@
 """The corpus pipeline: staged filters and edits over ``documents``, each stage one of the corpus operators.
 
 Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet and read again as the
-next one's docs. All but the last return the columns of ``documents``.
+next one's docs. All but the last return the columns of ``documents``, whatever else these may be named.
+
+Defined cases: rows without an id, with null or empty texts and very long ones pass every stage, as no operator finds a fault in them; rows of equal
+ids are judged by their texts in the first two stages, together in the next two (the near-duplicate class and the contamination of an id); an
+empty table stays empty.
 """
 
 from __future__ import annotations
@@ -15,12 +19,13 @@ from tessera.llm.common import documents, sized_semi_join, staged
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier, trained on this input, does not reject."""
-    return quality_classifier.scored(docs, quality_classifier.fit(docs)).filter("kept").select(*docs.columns)
+    scored = quality_classifier.scored(docs, quality_classifier.fit(docs), names=("__bad", "__kept"))
+    return scored.filter("__kept").select(*docs.columns)
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that stand earlier; a document goes if none of its words are left, and it had some."""
-    out = line_dedup.dedup_documents(docs).filter("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    out = line_dedup.dedup_documents(docs, counts=("__lines", "__removed")).filter("__removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
@@ -48,7 +53,7 @@ STAGES = [
     ("byte-level BPE encoding and decoding", encoded),
 ]
 
-#: SQL cannot express the classifier, SimHash, the templates or BPE; tests/llm holds the stages against brute force.
+#: SQL cannot express the classifier, SimHash, Jaccard classes, the templates or BPE; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
