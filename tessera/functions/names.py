@@ -55,9 +55,14 @@ def object_key(prefix: str, relative: Column, name: Column, content: Column) ->
     return F.concat(F.lit(f"{head}/" if head else ""), F.substring(digest, 1, 20), F.lit("_"), safe_name(name))
 
 
+def _bare(value: Column) -> Column:
+    """Without white space of any kind at either end; '' for NULL."""
+    return F.regexp_replace(F.coalesce(value, F.lit("")), r"^[\s\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\s\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$", "")
+
+
 def normalize_source(value: Column, base: str) -> Column:
     """A listing's address for a source name or address; '' for placeholders and bad names."""
-    v = F.trim(F.coalesce(value, F.lit("")))
+    v = _bare(value)
     bare = F.regexp_replace(F.regexp_replace(v, "^/+|/+$", ""), "^[rR]/", "")
     return (
         F.when(v.rlike(r"(?i)^placeholder\d+$"), "")
@@ -69,7 +74,7 @@ def normalize_source(value: Column, base: str) -> Column:
 
 def source_name(value: Column, hosts: list[str]) -> Column:
     """The bare name of a source: from an address its host must be known and its path r/<name>; '' if invalid."""
-    v = F.trim(F.coalesce(value, F.lit("")))
+    v = _bare(value)
     parts = F.filter(F.split(F.coalesce(F.try_parse_url(v, F.lit("PATH")), F.lit("")), "/"), lambda x: x != "")
     known = F.lower(F.coalesce(F.try_parse_url(v, F.lit("HOST")), F.lit(""))).isin(hosts) & (F.size(parts) >= 2) & (F.lower(F.get(parts, F.lit(0))) == "r")
     bare = F.get(F.split(F.regexp_replace(F.regexp_replace(v, "^/+|/+$", ""), "^[rR]/", ""), "/"), F.lit(0))
@@ -82,6 +87,14 @@ def media_url(base: str, key: Column) -> Column:
     return F.concat(F.lit(base), F.replace(F.replace(F.replace(F.url_encode(key), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~")))
 
 
+def component_url(key: Column) -> Column:
+    """The key as one percent-encoded component of a path; the marks that browsers leave stay."""
+    out = F.replace(F.url_encode(key), F.lit("+"), F.lit("%20"))
+    for code, mark in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(mark))
+    return F.concat(F.lit("/media/"), out)
+
+
 def human_bytes(size: Column) -> Column:
     """B as an integer, else one decimal (half to even) in KB, MB, GB or TB."""
     out = F.when(size < 1024, F.concat(size.cast("long").cast("string"), F.lit(" B")))

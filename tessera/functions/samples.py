@@ -23,5 +23,11 @@ def video_positions(count: Column, fps: Column, seconds: float, most: int) -> Co
     return F.when(count > 0, F.slice(F.sequence(F.lit(0), count - 1, interval), 1, most)).otherwise(F.array().cast("array<int>"))
 
 
+def preview_positions(count: Column, fps: Column) -> Column:
+    """Frame indices of a video's preview: six in a second (of 24 frames if the rate is unknown), 60 at most; each is shown 167 ms."""
+    stride = F.greatest(F.lit(1), F.bround(F.when(fps > 0, fps).otherwise(24.0) / 6, 0).cast("int"))
+    return F.when(count > 0, F.slice(F.sequence(F.lit(0), count - 1, stride), 1, 60)).otherwise(F.array().cast("array<int>"))
+
+
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-80.0), F.least(F.lit(80.0), x))))

@@ -23,6 +23,11 @@ def remove(items: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return items.join(keys, "key", "left_anti"), items.join(keys, "key", "left_semi").agg(F.count(F.lit(1)).alias("removed"))
 
 
+def loaded(rows: DataFrame, prefix: str) -> DataFrame:
+    """Index rows (is_object, key, ...) that a gallery serves: objects with a key under the prefix."""
+    return rows.filter(F.col("is_object") & F.col("key").isNotNull() & F.startswith("key", F.lit(prefix)))
+
+
 def missing(items: DataFrame, objects: DataFrame) -> DataFrame:
     """Valid objects (key, ext, size) that the index lacks."""
     ext = names.extension(F.col("key"))

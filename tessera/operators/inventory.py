@@ -57,6 +57,18 @@ def mark_missing(stored: DataFrame, listing: DataFrame) -> DataFrame:
     return stored.join(here, "key", "left").withColumn("deleted", F.col("deleted") | F.col("_here").isNull()).select(*stored.columns)
 
 
+def purge_missing(queue: DataFrame, sha_queue: DataFrame, missing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both queues without missing keys; the digest queue also loses rows whose survivor is missing."""
+    gone = missing.select("key").distinct()
+    digests = sha_queue.join(gone, "key", "left_anti").join(gone.withColumnRenamed("key", "survivor_key"), "survivor_key", "left_anti")
+    return queue.join(gone, "key", "left_anti"), digests.select(*sha_queue.columns)
+
+
+def lookup(stored: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of the given keys; unknown keys give none."""
+    return stored.join(keys.select("key").distinct(), "key", "left_semi")
+
+
 def pending(stored: DataFrame) -> DataFrame:
     return stored.filter("not deleted and sha256 is null").select("key").orderBy("key")
 
@@ -95,6 +107,16 @@ def tag_pending(state: DataFrame) -> DataFrame:
     return state.filter("state <> 'tagged'").orderBy("key")
 
 
+def tag_rows(state: DataFrame) -> DataFrame:
+    """(key, extension, tags) of tagged rows by key; no tags are an empty list."""
+    return state.filter("state = 'tagged'").select("key", "extension", F.coalesce("tags", F.array().cast("array<string>")).alias("tags")).orderBy("key")
+
+
+def publications(completed: DataFrame, every: int) -> DataFrame:
+    """(run, published) of completed items (run): how often a run publishes, after each ``every`` items and once at its end."""
+    return completed.groupBy("run").agg((F.floor(F.count(F.lit(1)) / F.lit(every)) + 1).alias("published"))
+
+
 def tag_results(state: DataFrame, results: DataFrame) -> DataFrame:
     """State after results (key, tags, error): tags mark a row tagged; an error (2000 characters at most) keeps the old tags."""
     new = results.select("key", F.col("tags").alias("_tags"), F.substring("error", 1, 2000).alias("_error"), F.lit(True).alias("_new"))
@@ -114,6 +136,11 @@ def last_values(rows: DataFrame) -> DataFrame:
     return rows.groupBy("name").agg(F.max_by("value", "ordinal").alias("value"))
 
 
+def value_of(rows: DataFrame, names: DataFrame, default: str = "not_started") -> DataFrame:
+    """(name, value) of each asked name: its last write, or the default."""
+    return names.select("name").distinct().join(last_values(rows), "name", "left").select("name", F.coalesce("value", F.lit(default)).alias("value"))
+
+
 def dedupe_sources(rows: DataFrame) -> DataFrame:
     """(ordinal, value): the first spelling of each name whatever its case, in input order."""
     first = Window.partitionBy(F.lower("value")).orderBy("ordinal")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,26 @@ def exclude_pair(pairs: DataFrame, queue: DataFrame, pair_id: int) -> tuple[Data
     return pairs.withColumn("status", status), queue.filter(F.col("pair_id") != pair_id)
 
 
+def exclude_keys(pairs: DataFrame, queue: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs with those of the given ends (left_key, right_key) excluded, and the queue without the rows that came from them."""
+    out = keys.select("left_key", "right_key").distinct().withColumn("_out", F.lit(True))
+    marked = pairs.join(out, ["left_key", "right_key"], "left")
+    rest = queue.join(marked.filter("_out").select(F.col("id").alias("pair_id")), "pair_id", "left_anti").select(*queue.columns)
+    return marked.withColumn("status", F.when(F.col("_out"), "excluded").otherwise(F.col("status"))).select(*pairs.columns), rest
+
+
+def queue_order(queued: DataFrame) -> DataFrame:
+    """Queued rows (key, queued_at, ...) in the order they came."""
+    return queued.orderBy("queued_at", "key")
+
+
+def workflow_reset(state: DataFrame, pairs: DataFrame, queue: DataFrame, name: str, wanted: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs and queue, emptied if the state's value of ``name`` (name, value) is another than wanted or missing."""
+    kept = state.filter((F.col("name") == name) & (F.col("value") == wanted)).select(F.lit(True).alias("_kept")).limit(1)
+    hold = lambda rows: rows.join(F.broadcast(kept), F.lit(True), "left_semi")  # noqa: E731  one row at most
+    return hold(pairs), hold(queue)
+
+
 def sha_queue(deletions: DataFrame) -> DataFrame:
     """(key, survivor_key) of (ordinal, survivor_key, deletion_key): the last survivor named, pairs of a key with itself dropped."""
     last = deletions.groupBy(F.col("deletion_key").alias("key")).agg(F.max_by("survivor_key", "ordinal").alias("survivor_key"))
@@ -91,8 +111,3 @@ def reverse_delete(pairs: DataFrame, digests: DataFrame, assets: DataFrame, left
 def cleanup_queue(queued: DataFrame, added: DataFrame, cleared: DataFrame) -> DataFrame:
     return queued.select("key").unionByName(added.select("key")).distinct().join(cleared.select("key"), "key", "left_anti")
 
-
-def first_of(rows: DataFrame, by: str, order: str) -> DataFrame:
-    """The first row of each value of ``by``."""
-    w = Window.partitionBy(by).orderBy(order)
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

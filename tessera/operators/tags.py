@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import names
 
 THRESHOLD = 0.4
-MOST_TAGS, MOST_ITEMS, MOST_ITEM_TAGS = 20_000, 250_000, 512
+MOST_TAGS, MOST_ITEMS, MOST_ITEM_TAGS, VERSION = 20_000, 250_000, 512, 1
 
 
 def frame_max(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -58,6 +58,18 @@ def valid_catalog(entries: DataFrame) -> DataFrame:
     return entries.filter("name <> '' and count > 0 and count <= 9007199254740991")
 
 
+def readable(items: DataFrame, entries: DataFrame, version: int) -> DataFrame:
+    """The items of a tag index, none of another version or beyond the limits of tags and items. Either count stops at its limit."""
+    sizes = items.limit(MOST_ITEMS + 1).agg(F.count(F.lit(1)).alias("_items")).crossJoin(entries.limit(MOST_TAGS + 1).agg(F.count(F.lit(1)).alias("_tags")))  # one row each
+    fits = sizes.filter((F.lit(version) == VERSION) & (F.col("_items") <= MOST_ITEMS) & (F.col("_tags") <= MOST_TAGS))
+    return items.join(F.broadcast(fits), F.lit(True), "left_semi")
+
+
+def unknown_tags(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(name) of asked tags that no valid catalog entry has."""
+    return wanted.select("name").distinct().join(valid_catalog(entries).select("name"), "name", "left_anti")
+
+
 def valid_items(items: DataFrame, entries: DataFrame, prefix: str) -> DataFrame:
     """Items (key, ext, tags array<int>) under the prefix, of an allowed extension, with few enough tags, all of them valid."""
     shaped = items.withColumn("ext", F.lower("ext")).filter(F.startswith("key", F.lit(prefix)) & F.col("ext").isin(names.ALLOWED) & (F.size("tags") <= MOST_ITEM_TAGS))
@@ -66,11 +78,15 @@ def valid_items(items: DataFrame, entries: DataFrame, prefix: str) -> DataFrame:
     return shaped.join(bad, "key", "left_anti")
 
 
-def with_all(rows: DataFrame, wanted: list[str], bucket: str = "all") -> DataFrame:
-    """Tagged rows (key, ext, tags) that hold every wanted tag, in a bucket."""
+def with_all(rows: DataFrame, wanted: list[str], bucket: str = "all", entries: DataFrame | None = None) -> DataFrame:
+    """Tagged rows (key, ext, tags) that hold every wanted tag, in a bucket. With a catalog's ``entries`` an unknown tag is an error."""
     wanted = list(dict.fromkeys(wanted))
     if len(wanted) > 32 or any(not 1 <= len(t) <= 128 for t in wanted):
         raise ValueError("at most 32 tags of 1 to 128 characters")
+    if entries is not None:
+        unknown = unknown_tags(entries, rows.sparkSession.createDataFrame([(t,) for t in wanted], "name string")).collect()
+        if unknown:
+            raise ValueError(f"unknown tags: {sorted(r[0] for r in unknown)}")
     out = rows.filter(F.array_contains(names.buckets(F.col("ext")), bucket))
     for t in wanted:
         out = out.filter(F.array_contains("tags", t))

@@ -150,7 +150,7 @@ _ORIENT = """, chosen AS (SELECT * FROM best WHERE score >= 87 OR qualified),
 @query(sql(*_ALL, "offered", "best", "ranked", then="").replace("WITH docs", "WITH RECURSIVE docs", 1).rstrip() + _ORIENT)
 def oriented_pairs(spark, d):
     assets, offered = _best(spark, d)
-    return orient.oriented_pairs(matching.selected(matching.best_offers(offered), STRICT), assets)
+    return orient.result_order(orient.oriented_pairs(matching.selected(matching.best_offers(offered), STRICT), assets))
 
 
 @query(sql(*_ALL, "offered", then="").rstrip() + ", " + ", ".join(

@@ -266,3 +266,25 @@ def test_incremental_scan_equals_batch(spark, tmp_path):
     got = {r.key: (r.size, r.etag, r.sha256) for r in store.read().collect()}
     last = spark.createDataFrame([("a", 1, "e", "1"), ("b", 2, "f", "2"), ("c", 1, "e", "2")], schema)
     assert got == {r.key: (r.size, r.etag, r.h) for r in last.withColumn("h", F.sha2(F.concat_ws(":", "key", "etag"), 256)).collect()}
+
+
+def test_long_chains_of_survivors_settle(spark):
+    from tessera.operators import orient
+
+    n = 24
+    assets = spark.createDataFrame([(f"k{i:03}", 10, 10, None, 1000 - i) for i in range(n)], "key string, width int, height int, pdq_quality int, size long")
+    chain = spark.createDataFrame([(f"k{i:03}", f"k{i + 1:03}", 90.0, "near") for i in range(n - 1)], "left string, right string, score double, reason string")
+    got = {(r.survivor, r.candidate) for r in orient.oriented_pairs(chain, assets).collect()}
+    assert got == {(f"k{i:03}", f"k{i + 1:03}") for i in range(0, n, 2)}
+
+
+def test_unknown_tags_are_an_error(spark):
+    import pytest
+
+    from tessera.operators import tags
+
+    rows = spark.createDataFrame([("a", "jpg", ["x", "y"]), ("b", "png", ["x"])], "key string, ext string, tags array<string>")
+    entries = tags.catalog(rows)
+    assert [r.key for r in tags.with_all(rows, ["x", "y"], entries=entries).collect()] == ["a"]
+    with pytest.raises(ValueError, match="unknown"):
+        tags.with_all(rows, ["x", "z"], entries=entries)
