@@ -1,7 +1,7 @@
 """Licence scans: a trained paragraph classifier names licence families, templates confirm it.
 
 Features are word n-grams (one and two words). A softmax regression is trained here on variants of the
-templates below, on remarks that only mention licences, and on a bounded sample of the corpus' own paragraphs
+templates below, on remarks that only mention or deny licences, and on a bounded sample of the corpus' own paragraphs
 (``NEGATIVES``); the last two are the unknown class. N-grams that ordinary paragraphs hold are left out, so the
 weights are a sparse table. Its confidence is calibrated on held-out variants and paragraphs: the threshold
 is the least at which no held-out paragraph of the unknown class is named. A named paragraph is confirmed if it
@@ -11,8 +11,9 @@ Rows are handled by DataFrame functions alone: paragraphs (lines with words) exp
 the weights in a broadcast join - their number is bounded by the templates - and sums per
 paragraph are pre-aggregated. Only paragraphs with features are shuffled.
 
-Defined cases: null and empty texts have no paragraphs; repeated rows are reported each (a row number
-keeps them apart); ties go to the family first in ``TEMPLATES``; without a corpus to sample only the remarks teach the unknown class.
+Defined cases: null and empty texts and an empty table have no paragraphs; repeated rows are reported each (a row number
+keeps them apart), rows without an id with a null one; ties go to the family first in ``TEMPLATES``; without a corpus to sample only the remarks
+teach the unknown class; texts of any length are read whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -63,6 +64,12 @@ REMARKS = [
     "He renewed the licence of his car last week.", "A driving license is needed.", "See the licence terms of your vendor.", "The general public was invited.", "The license fee rose by three percent.",
     "Version 2.0 of the report was released in May.", "The work is released under the name of the editor.", "A license agreement may apply to this product.", "Version 3 is distributed to all members.", "Copyright notices are kept in a separate file.",
 ]
+# Remarks that deny, compare or discuss licences by their names.
+DENIALS = [
+    "This project is not released under the MIT License.", "This software is not licensed under the GNU General Public License.", "It is no longer distributed under the Apache License, Version 2.0.",
+    "The article compares the MIT License with the Apache License, Version 2.0.", "Unlike the BSD License, the GNU General Public License is a copyleft licence.", "We do not use the Creative Commons Attribution License here.",
+    "Nothing here is released under the Mozilla Public License.", "Read why the GNU Lesser General Public License was replaced.", "This file is not licensed under CC BY 4.0.", "The package was never released under the BSD 3-Clause License.",
+]
 
 _WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
@@ -95,11 +102,12 @@ def train(paragraphs: list[str], seed: int = 7) -> tuple[list[str], dict[str, li
         for g in grams(p):
             seen[g] = seen.get(g, 0) + 1
     rows = [(grams(v), families.index(f)) for forms in (TEMPLATES, SHORT_FORMS) for f, notices in forms.items() for t in notices for v in _variants(t, rng)]
-    rows += [(grams(v), len(families) - 1) for t in REMARKS for v in _variants(t, rng)]
+    rows += [(grams(v), len(families) - 1) for t in REMARKS + DENIALS for v in _variants(t, rng)]
     rows += [(grams(p), len(families) - 1) for p in paragraphs]
     rng.shuffle(rows)
     held, taught = rows[: len(rows) // 5], rows[len(rows) // 5 :]
-    named = sorted({g for gs, y in taught if y < len(families) - 1 for g in gs if seen.get(g, 0) <= COMMON * max(1, len(paragraphs))})
+    denying = {g for t in DENIALS for g in grams(t) if " " in g}
+    named = sorted({g for gs, y in taught for g in gs if (y < len(families) - 1 or g in denying) and seen.get(g, 0) <= COMMON * max(1, len(paragraphs))})
     at = {g: i for i, g in enumerate(named)}
 
     def matrix(part: list[tuple[set[str], int]]) -> np.ndarray:

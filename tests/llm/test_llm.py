@@ -377,6 +377,22 @@ def test_short_forms_of_licences(spark):
     assert got == {(0, "proprietary"), (1, "proprietary"), (2, "proprietary")}
 
 
+def test_denied_and_compared_licences_are_not_confirmed(spark):
+    texts = ["This project is NOT released under the MIT License.", "The article compares the MIT License with the Apache License in detail.", "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."]
+    got = {r.doc_id: r.family for r in license_scan.license_scan(frame(spark, list(enumerate(texts)))).filter("confirmed").collect()}
+    assert got == {2: "mit", 3: "apache"}
+
+
+def test_samples_are_bounded_whatever_the_keys(spark):
+    from tessera.llm.common import sampled
+
+    rows = spark.range(3000).selectExpr("cast(null as long) as id", "'same' as text")
+    assert sampled(rows, 3000, 20, "id", "text").count() <= 1
+    own = spark.range(3000).selectExpr("id", "cast(id as string) as text")
+    assert 60 < sampled(own, 3000, 100, "id", "text").count() < 150
+    assert sampled(own, 50_000_000_000, 20_000, "id", "text").count() <= 3 and sampled(own, 3000, 5000, "id", "text").count() == 3000
+
+
 # 6 Secrets ---------------------------------------------------------------------------------------------------------------
 
 def brute_secrets(text):
