@@ -272,7 +272,7 @@ def test_long_chains_of_survivors_settle(spark):
     from tessera.operators import orient
 
     n = 24
-    assets = spark.createDataFrame([(f"k{i:03}", 10, 10, None, 1000 - i) for i in range(n)], "key string, width int, height int, pdq_quality int, size long")
+    assets = spark.createDataFrame([(f"k{i:03}", 10, 10, None, None, 1000 - i) for i in range(n)], "key string, width int, height int, duration double, pdq_quality int, size long")
     chain = spark.createDataFrame([(f"k{i:03}", f"k{i + 1:03}", 90.0, "near") for i in range(n - 1)], "left string, right string, score double, reason string")
     got = {(r.survivor, r.candidate) for r in orient.oriented_pairs(chain, assets).collect()}
     assert got == {(f"k{i:03}", f"k{i + 1:03}") for i in range(0, n, 2)}
