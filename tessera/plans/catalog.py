@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import hashes, names, samples
 from tessera.functions.text import html_text
-from tessera.operators import index, inventory, matching, orient, review, tags
+from tessera.operators import index, inventory, matching, media, orient, review, tags
 from tessera.plans import fixtures as fx
 from tessera.plans.fixtures import sql
 from tessera.sources.tables import staged
@@ -437,13 +437,12 @@ def recipient_clean(spark, d):
     return fx.table(spark, d, "customer").select(k.alias("id"), names.clean_recipient(local, "+key", ["admin", "hello"]).alias("recipient"))
 
 
-@query("SELECT l_orderkey AS id, g * 3 AS idx, CAST(sum(delay) AS BIGINT) AS delay FROM (SELECT l_orderkey, CAST(ceil((l_linenumber - 1) / 3.0) AS BIGINT) AS g, greatest(20, CAST(l_quantity AS INT)) AS delay, l_linenumber - 1 AS idx FROM lineitem) GROUP BY 1, g HAVING bool_or(idx % 3 = 0) AND max(idx) = g * 3")
+@query("""SELECT l_orderkey AS id, CAST(max(idx) AS BIGINT) AS idx, CAST(sum(delay) AS BIGINT) AS delay FROM (SELECT l_orderkey, step, l_linenumber - 1 AS idx, greatest(20, CAST(l_quantity AS INT)) AS delay, CAST(ceil((l_linenumber - 1) / step::DOUBLE) AS BIGINT) AS g
+    FROM (SELECT *, greatest(1, CAST(ceil(count(*) OVER (PARTITION BY l_orderkey) / 3.0) AS BIGINT)) AS step FROM lineitem)) GROUP BY l_orderkey, g, step HAVING max(idx) = g * step""")
 def preview_sample(spark, d):
-    """Frames kept of an order's lines, every third, with the delay since the last kept one; a trailing rest is dropped."""
-    idx = F.col("l_linenumber") - 1
-    rows = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.ceil(idx / 3).alias("g"), F.greatest(F.lit(20), F.col("l_quantity").cast("int")).alias("delay"), idx.alias("idx"))
-    kept = rows.groupBy("id", "g").agg(F.sum("delay").cast("long").alias("delay"), F.max("idx").alias("last")).filter("last = g * 3")
-    return kept.select("id", (F.col("g") * 3).alias("idx"), "delay")
+    """Frames kept of an order's lines, three at most, with the delay since the last kept one; a trailing rest is dropped."""
+    frames = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), (F.col("l_linenumber") - 1).alias("idx"), F.col("l_quantity").cast("int").alias("delay"))
+    return media.preview_samples(frames, 3).select(F.col("key").alias("id"), F.col("idx").cast("long").alias("idx"), F.col("delay").cast("long").alias("delay"))
 
 
 @query("SELECT p_partkey AS id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) AS positions FROM (SELECT DISTINCT p_partkey, CAST(round_even(i * ((p_size - 1)::DOUBLE / (c - 1)), 0) AS INT) AS v FROM (SELECT p_partkey, p_size, least(p_size, 12) AS c, unnest(range(least(p_size, 12))) AS i FROM part WHERE p_size > 1) UNION ALL SELECT p_partkey, 0 FROM part WHERE p_size <= 1) GROUP BY 1")
