@@ -427,6 +427,28 @@ def test_ownership_tells_examples_from_live_keys(spark):
     assert secret_scan.secret_scan(df.limit(0)).count() == 0
 
 
+def test_ownership_rules_tokens_in_given_documents(spark):
+    """A token that was copied into the documents of many sources is no finding, one source's own token is one; base spans stay."""
+    given = spark.read.parquet(f"{DATA}/documents.parquet")
+    plain = {r.doc_id: r for r in secret_scan.secret_scan(given).collect()}
+    example, own = "Zx9Qw8Er7Ty6Ui5Op4As3Df2", "Mn1Bv2Cx3Zl4Kj5Hg6Fd7Sa8"
+    ids = [r.doc_id for r in given.filter("not text rlike '[A-Za-z0-9+/_=-]{20,}'").select("doc_id", "source").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(60).collect()]
+    told = F.when(F.col("doc_id") == ids[0], F.concat(F.lit(f"{own} "), "text")).when(F.col("doc_id").isin(ids[1:]), F.concat(F.lit(f"{example} "), "text")).otherwise(F.col("text"))
+    got = {r.doc_id: r for r in secret_scan.secret_scan(given.withColumn("text", told)).collect()}
+    assert got[ids[0]].spans.split(",")[0] == f"token:0:{len(own)}" and got[ids[0]].n_live == plain[ids[0]].n_live + 1
+    for i in ids[1:]:
+        assert got[i].spans.count(":") == plain[i].spans.count(":") and got[i].n_copied == plain[i].n_copied + 1
+    assert all((got[i].n_assign, got[i].n_access, got[i].n_hex) == (r.n_assign, r.n_access, r.n_hex) for i, r in plain.items())
+    held = frame(spark, [(1, f"token={own} {own}"), (2, "deadbeef" * 5 + " " + "z" * 50), (3, None)]).withColumn("source", F.lit("s"))
+    assert {r.doc_id: r.spans for r in secret_scan.secret_scan(held).collect()} == {1: "assign:0:30,token:31:55", 2: "hex:0:40", 3: ""}
+
+
+def test_secrets_of_a_very_long_text(spark):
+    text = "password=abcdef1 é " * 20_000
+    row = secret_scan.secret_scan(frame(spark, [(1, text)]).withColumn("source", F.lit("s"))).first()
+    assert (row.n_assign, row.base_sha256) == (20_000, brute_secrets(text)[1])
+
+
 # 7 Quality classifier ------------------------------------------------------------------------------------------------------
 
 def test_em_finds_the_labellers():
