@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,21 +36,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: For each byte, its bits as eight lanes of eight bits, so that 255 bytes can be added lane by lane.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).reshape(-1)
+
+
 def simhash(words: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, pdq_hash: signs of the words' summed digest bits; the fingerprint that stands for a decoded picture's."""
-    known: dict[str, np.ndarray] = {}
+    """key, pdq_hash: bits that more than half of the words' digests have; the fingerprint that stands for a decoded picture's."""
     for batch in words:
-        out = []
-        for ws in batch.column(1).to_pylist():
-            total = np.zeros(256, np.int32)
-            for w in ws or ():
-                bits = known.get(w)
-                if bits is None:
-                    if len(known) > 200_000:
-                        known.clear()
-                    bits = known[w] = np.unpackbits(np.frombuffer(hashlib.sha256(w.encode("utf-8", "surrogatepass")).digest(), np.uint8)).astype(np.int8) * 2 - 1
-                total += bits
-            out.append(np.packbits(total > 0).tobytes().hex())
+        known = pc.dictionary_encode(pc.list_flatten(batch.column(1)))
+        digests = np.frombuffer(b"".join(hashlib.sha256(w.as_buffer()).digest() for w in known.dictionary.cast(pa.large_binary())), np.uint8).reshape(-1, 32)
+        codes = known.indices.to_numpy()
+        out, start = [], 0
+        for n in pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_pylist():
+            ones = np.zeros(256, np.int64)
+            for i in range(start, start + n, 255):
+                ones += _LANES[digests[codes[i : min(i + 255, start + n)]]].sum(axis=0).view(np.uint8)
+            out.append(np.packbits(2 * ones > n).tobytes().hex())
+            start += n
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["key", "pdq_hash"])
 
 
