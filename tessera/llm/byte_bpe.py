@@ -10,7 +10,8 @@ met in its state says so. Slices of the text's bytes between boundaries feed pai
 which is remembered per slice; their offsets stay with the ids, so decoding gives back each slice.
 
 Null and empty texts give no ids and the digests of empty strings. Rows pass one by one
-(no shuffle); repeated rows give equal results; other columns are ignored.
+(no shuffle), those without an id too; repeated rows give equal results; pairs of equal rank merge from the left; an empty
+table gives no rows; a very long text is a block of its own and encoded whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ rules become one ordered Spark conditional expression that runs over every row.
 
 Defined cases: a null or empty text has no words and fails the base rules; without usable
 labels the list is empty and the base rules alone decide; repeated rows (also of labels) and
-ties give equal verdicts row by row; other columns, whatever their names, are ignored.
+ties give equal verdicts row by row; rows without an id are judged like others; an empty table
+gives no rows; very long texts are measured whole; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ Buckets number as the data does, so a bucket stays small; a passage that a third
 once per block of texts, not once per document.
 
 Defined cases: null or empty texts have no bytes and the digest of the empty string; of rows with equal ids none is
-earlier; rows without an id stay whole and are earlier than none; texts under 50 bytes stay whole; extra columns are ignored.
+earlier; rows without an id stay whole and are earlier than none; texts under 50 bytes stay whole; a very long
+text is one block, whole; of documents that tie for a string the one of least id has it first; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ link, directly or by others, form a family, and chunks are runs of one. The coun
 minus its merges, plus what byte fallback adds; chunks repeat, so each task keeps the counts of common ones.
 
 Null and empty texts count 0 tokens. Repeated rows and ties give equal counts row by row.
-Rows pass through one by one (no shuffle), and other columns of the input are ignored.
+Rows pass through one by one (no shuffle), those without an id too; an empty table gives no rows; a very long text is
+counted whole; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations

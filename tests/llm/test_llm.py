@@ -427,14 +427,15 @@ def test_ownership_tells_examples_from_live_keys(spark):
     assert secret_scan.secret_scan(df.limit(0)).count() == 0
 
 
+@given
 def test_ownership_rules_tokens_in_given_documents(spark):
     """A token that was copied into the documents of many sources is no finding, one source's own token is one; base spans stay."""
-    given = spark.read.parquet(f"{DATA}/documents.parquet")
-    plain = {r.doc_id: r for r in secret_scan.secret_scan(given).collect()}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    plain = {r.doc_id: r for r in secret_scan.secret_scan(docs).collect()}
     example, own = "Zx9Qw8Er7Ty6Ui5Op4As3Df2", "Mn1Bv2Cx3Zl4Kj5Hg6Fd7Sa8"
-    ids = [r.doc_id for r in given.filter("not text rlike '[A-Za-z0-9+/_=-]{20,}'").select("doc_id", "source").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(60).collect()]
+    ids = [r.doc_id for r in docs.filter("not text rlike '[A-Za-z0-9+/_=-]{20,}'").select("doc_id", "source").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(60).collect()]
     told = F.when(F.col("doc_id") == ids[0], F.concat(F.lit(f"{own} "), "text")).when(F.col("doc_id").isin(ids[1:]), F.concat(F.lit(f"{example} "), "text")).otherwise(F.col("text"))
-    got = {r.doc_id: r for r in secret_scan.secret_scan(given.withColumn("text", told)).collect()}
+    got = {r.doc_id: r for r in secret_scan.secret_scan(docs.withColumn("text", told)).collect()}
     assert got[ids[0]].spans.split(",")[0] == f"token:0:{len(own)}" and got[ids[0]].n_live == plain[ids[0]].n_live + 1
     for i in ids[1:]:
         assert got[i].spans.count(":") == plain[i].spans.count(":") and got[i].n_copied == plain[i].n_copied + 1
@@ -612,3 +613,25 @@ def test_pipeline_stages(spark):
             assert {r.doc_id for r in docs.select("doc_id").collect()} == {d for d, (_, c) in classes.items() if c == d}
     assert seen == sorted(seen, reverse=True) and seen[-1] > 0
     assert corpus_pipeline.run(spark, DATA).count() == seen[-1]
+
+
+# Very long texts, texts of many lines and rows without an id, of operators that go text by text --------------------------------------
+
+@given
+def test_very_long_texts(spark):
+    sentencepiece, tiktoken, public = pytest.importorskip("sentencepiece"), pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    joined = "\n".join(r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").filter("text is not null").orderBy("doc_id").limit(120).collect())
+    rows = [(1, joined), (2, "head " + joined[: len(joined) // 2] + " tail"), (3, "\n".join(f"line {i % 977} of many" for i in range(20_000))), (4, ""), (5, None)]
+    df = frame(spark, [*rows, (None, "a row without an id")])
+    suffixes = {r[0]: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(df).collect()}
+    assert {i: suffixes[i] for i, _ in rows} == brute_suffixes(rows) and suffixes[None][1] == 0
+    model = sentencepiece.SentencePieceProcessor(model_file=public.path("piece_bpe_32k.model"))
+    counts = {r.doc_id: r.n_tokens for r in token_counts.token_counts(df).collect()}
+    assert counts == {i: len(model.encode(t or "")) for i, t in [*rows, (None, "a row without an id")]}
+    library = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=byte_bpe.byte_bpe(byte_bpe.default_ranks()).ranks, special_tokens={})
+    digest = lambda t: hashlib.sha256(" ".join(map(str, library.encode_ordinary(t))).encode()).hexdigest()
+    assert {r.doc_id: r.ids_sha256 for r in byte_bpe.round_trip(df).collect()} == {i: digest(t or "") for i, t in [*rows, (None, "a row without an id")]}
+    assert byte_bpe.round_trip(df.limit(0)).count() == 0
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    measured = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.quality_rules(df, labels).collect()}
+    assert measured == {i: brute_measures(t) for i, t in [*rows, (None, "a row without an id")]}
