@@ -24,10 +24,10 @@ def listings(spark: SparkSession, folder: str, schema: str, files_per_batch: int
 
 
 def merge_batch(store: Snapshots, fingerprint: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: listing rows come in (the last of a key), pending ones are fingerprinted (key, derived columns)."""
+    """For foreachBatch: listing rows come in (the last of a key; no time is earliest, ties go by size and etag), pending ones are fingerprinted (key, derived columns)."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        rows = batch.groupBy("key").agg(F.max_by(F.struct("size", "etag", "last_modified"), "last_modified").alias("r")).select("key", "r.*")
+        rows = batch.groupBy("key").agg(F.max_by(F.struct("size", "etag", "last_modified"), F.struct(F.coalesce("last_modified", F.lit("")), "size", "etag")).alias("r")).select("key", "r.*")
 
         def mutate(stored: DataFrame | None) -> DataFrame:
             stored = stored if stored is not None else batch.sparkSession.createDataFrame([], INVENTORY)

@@ -288,3 +288,12 @@ def test_unknown_tags_are_an_error(spark):
     assert [r.key for r in tags.with_all(rows, ["x", "y"], entries=entries).collect()] == ["a"]
     with pytest.raises(ValueError, match="unknown"):
         tags.with_all(rows, ["x", "z"], entries=entries)
+
+
+def test_merge_keeps_rows_without_a_time_and_breaks_ties(spark, tmp_path):
+    from tessera.streaming import scan
+
+    store = Snapshots(spark, str(tmp_path / "untimed"))
+    batch = spark.createDataFrame([("a", 7, "e", None), ("b", 1, "e", None), ("b", 2, "f", "1"), ("c", 3, "g", "1"), ("c", 4, "g", "1")], "key string, size long, etag string, last_modified string")
+    scan.merge_batch(store, lambda df: df.select("key", F.sha2("key", 256).alias("sha256")))(batch, 0)
+    assert sorted((r.key, r.size, r.etag) for r in store.read().collect()) == [("a", 7, "e"), ("b", 2, "f"), ("c", 4, "g")]
