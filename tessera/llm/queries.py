@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, decontamination, jaccard_join, license_scan, line_dedup, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_counts
+from tessera.llm import byte_bpe, decontamination, hard_negatives, jaccard_join, license_scan, line_dedup, packing, quality_classifier, quality_rules, secret_scan, spelling, suffix_dedup, token_counts
 from tessera.llm.common import documents
 
 
@@ -59,11 +59,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, form, root, n, n_near, form_n of each word."""
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece."""
     return packing.packed(packing.pieces(documents(spark, sf_dir), ids=False))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """anchor_id, positive_id, rank, negative_id, positive_score, negative_score."""
+    return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -75,7 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: None so far: SQL cannot express these; tests/llm holds them against the libraries or brute force.
