@@ -300,7 +300,7 @@ def read_blocks(chunks: DataFrame, chosen: DataFrame, blocks: DataFrame, width:
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _schema(HIT).types, strict=True)], schema=_schema(HIT))
 
     dealt = chosen.withColumn("shard", F.pmod(F.xxhash64("block"), F.lit(shards)).cast("int"))
-    left = chunks.join(dealt.select("chunk", "shard").distinct(), "chunk").groupBy("chunk", "shard")
+    left = chunks.join(dealt.select("chunk", "shard").distinct().toDF("chunk", "shard"), "chunk").groupBy("chunk", "shard")
     right = dealt.join(blocks.select("block", "ids", "labels", "vectors"), "block").groupBy("chunk", "shard")
     found = left.cogroup(right).applyInArrow(scored, HIT)
     order = Window.partitionBy("chunk", "anchor", "window").orderBy(F.desc("score"), "id")  # k rows of each shard at most
