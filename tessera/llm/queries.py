@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, decontamination, hard_negatives, jaccard_join, license_scan, line_dedup, packing, quality_classifier, quality_rules, secret_scan, spelling, suffix_dedup, token_counts
+from tessera.llm import byte_bpe, decontamination, hard_negatives, jaccard_join, license_scan, line_dedup, oracles, packing, quality_classifier, quality_rules, secret_scan, spelling, suffix_dedup, token_counts
 from tessera.llm.common import documents
 
 
@@ -90,5 +90,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_hard_negatives": op13_hard_negatives,
 }
 
-#: None so far: SQL cannot express these; tests/llm holds them against the libraries or brute force.
-ORACLES: dict[str, str] = {}
+#: SQL where it can express a method's result; tests/llm holds the others against the libraries or brute force.
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
