@@ -147,7 +147,10 @@ def _round(open_: DataFrame, limit: int, shards: int) -> DataFrame:
     """item, into, at: where each of the items (item, length) goes; a shard is the partition that a hash deals it to."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(list(batches), schema=pa.schema([("item", pa.int64()), ("length", pa.int64())]))
+        held = list(batches)
+        if not held:
+            return
+        whole = pa.Table.from_batches(held)
         into, at = pack_shard(whole["item"].to_numpy(), whole["length"].to_numpy(), limit)
         for start in range(0, len(into), 1 << 16):
             part = slice(start, start + (1 << 16))
