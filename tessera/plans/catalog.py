@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import hashes, names, samples
 from tessera.functions.text import html_text
-from tessera.operators import index, inventory, matching, media, orient, review, tags
+from tessera.operators import index, inventory, matching, media, orient, review, stages, tags
 from tessera.plans import fixtures as fx
 from tessera.plans.fixtures import sql
 from tessera.sources.tables import staged
@@ -165,6 +165,30 @@ def stage_counts(spark, d):
     return counted.select(F.get(F.array(*map(F.lit, matching.STAGES)), F.col("n")).alias("stage"), "pairs")
 
 
+def _stage_walks() -> str:
+    """The greedy walk after each stage, over the best offers so far."""
+    parts = []
+    for k in range(1, 5):
+        best = fx.SQL["best"].replace("FROM offered GROUP", f"FROM offered WHERE stage <= {k} GROUP").replace("folded", f"folded{k}").replace("best AS", f"best{k} AS")
+        walk = _ORIENT.removeprefix(", ").replace("FROM best ", f"FROM best{k} ")
+        for name in ("chosen", "both_", "nodes", "walk"):
+            walk = walk.replace(f"{name} AS (", f"{name}{k} AS (").replace(f"{name}(n,", f"{name}{k}(n,").replace(f"FROM {name}", f"FROM {name}{k}").replace(f"JOIN {name} ", f"JOIN {name}{k} ")
+        tables, last = walk.rsplit("\n    SELECT m.s", 1)
+        parts.append((best, tables, f"SELECT ['phash', 'pdq', 'images', 'complete'][{k}] AS stage, m.s{last}"))
+    return ", ".join(f"{b}, {t}" for b, t, _ in parts) + " " + " UNION ALL ".join(f"({q})" for *_, q in parts)
+
+
+@query(sql(*_ALL, "offered", "ranked", then="").replace("WITH docs", "WITH RECURSIVE docs", 1).rstrip() + ", " + _stage_walks())
+def stage_pairs(spark, d):
+    """The oriented pairs after each stage, survivors kept up to date from stage to stage."""
+    assets, offered = _best(spark, d)
+    out = None
+    for number, (pairs, _) in stages.stage_orientations(offered, assets, STRICT).items():
+        part = pairs.select(F.lit(matching.STAGES[number]).alias("stage"), "survivor", "candidate", "score", "reason")
+        out = part if out is None else out.union(part)
+    return out
+
+
 # Inventory --------------------------------------------------------------------------------------------------------
 
 @query(sql("stored", "listing", then="SELECT coalesce(s.key, n.key) AS key, CASE WHEN s.key IS NULL THEN 'new' WHEN n.key IS NULL THEN 'missing' WHEN s.etag <> n.etag OR s.size <> n.size THEN 'changed' ELSE 'same' END AS status FROM stored s FULL JOIN listing n ON n.key = s.key"))

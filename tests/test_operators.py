@@ -297,3 +297,85 @@ def test_merge_keeps_rows_without_a_time_and_breaks_ties(spark, tmp_path):
     batch = spark.createDataFrame([("a", 7, "e", None), ("b", 1, "e", None), ("b", 2, "f", "1"), ("c", 3, "g", "1"), ("c", 4, "g", "1")], "key string, size long, etag string, last_modified string")
     scan.merge_batch(store, lambda df: df.select("key", F.sha2("key", 256).alias("sha256")))(batch, 0)
     assert sorted((r.key, r.size, r.etag) for r in store.read().collect()) == [("a", 7, "e"), ("b", 2, "f"), ("c", 4, "g")]
+
+
+def walked(edges):
+    """Survivors of edges between places, one vertex at a time."""
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    gone, wins = set(), set()
+    for v in sorted(near):
+        if v not in gone:
+            wins.add(v)
+            gone |= near[v]
+    return wins
+
+
+def graphs():
+    rng = random.Random(8)
+    yield "random", {tuple(sorted(rng.sample(range(400), 2))) for _ in range(600)}, 60
+    yield "hubs and rungs", {(rng.randrange(3), 3 + i) for i in range(300)} | {(i, i + 7) for i in range(3, 290, 3)}, 80
+    yield "dense", {tuple(sorted(rng.sample(range(40), 2))) for _ in range(500)}, 100
+    yield "chain", {(i, i + 1) for i in range(300)}, 100
+
+
+@pytest.mark.parametrize(("edges", "task_edges"), [g[1:] for g in graphs()], ids=[g[0] for g in graphs()])
+def test_survivors_in_blocks_equal_the_walk(spark, edges, task_edges):
+    df = spark.createDataFrame(sorted(edges), "a long, b long").repartition(3)
+    assert {r.v for r in orient.survivors(df, task_edges).collect()} == walked(edges)
+
+
+def test_a_chain_of_100_000_settles_in_few_rounds(spark, monkeypatch):
+    rounds, real = [], orient._block_winners
+    monkeypatch.setattr(orient, "_block_winners", lambda *a: rounds.append(1) or real(*a))
+    chain = spark.range(100_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    wins = orient.survivors(chain)
+    assert wins.count() == wins.filter("v % 2 = 0").count() == 50_001 and len(rounds) < 40
+
+
+def test_components_by_contraction(spark):
+    from tessera.operators.components import components
+
+    rng = random.Random(2)
+    edges = [(rng.randrange(500), rng.randrange(500)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(80)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    got = {r.v: r.c for r in components(spark.createDataFrame(edges, "a long, b long"), 40).collect()}
+    assert got == {x: root(x) for x in parent}
+
+
+@pytest.mark.parametrize("task_edges", [50, 250_000])
+def test_survivors_are_kept_up_to_date(spark, task_edges):
+    from tessera.operators.stages import Survivors
+
+    rng = random.Random(task_edges)
+    state, known = Survivors(task_edges), set()
+    # many small groups, so that few vertices lie below new edges
+    batches = [{tuple(sorted((10 * g + rng.randrange(10), 10 * g + rng.randrange(10)))) for g in range(60) for _ in range(6)}] + [
+        {tuple(sorted((rng.randrange(600), rng.randrange(600)))) for _ in range(k)} for k in (3, 0, 12)
+    ]
+    for k, batch in enumerate(batches):
+        new = {(a, b) for a, b in batch if a != b} - known
+        known |= new
+        sent = new | set(rng.sample(sorted(known), min(5, len(known))))
+        wins = state.add(spark.createDataFrame(sorted(sent), "a long, b long"))
+        assert {r.v for r in wins.collect()} == walked(known)
+        again = {r.v for r in state.again.collect()}
+        reached, open_ = set(), {b for _, b in new}
+        while open_:
+            reached |= open_
+            open_ = {b for a, b in known if a in open_} - reached
+        if k:
+            assert reached <= again and len(again) < 0.5 * len({v for e in known for v in e})
+        assert k == 0 or bool(again) == bool(new)
