@@ -1,49 +1,24 @@
 """Similarity joins of the duplicate scan, best reason of a pair, selection and survivors.
 
 Assets come as DataFrames (key, sha256, phash, pdq_hash, crop array<string>, vpdq array<struct<h,q,t>>, ...);
-list order is key order. Hamming self-joins use exact multi-index hashing: hashes split into bands, and one side
-is probed within the radius that the pigeonhole leaves for some band, so the join is an equi-join of distinct hashes with a
-residual filter and no table is broadcast or crossed; a pair is kept by its first near band, so none need be dropped later. Tables that are counted as small use a broadcast
-nested loop, which is faster there and gives the same rows.
+list order is key order. Hamming self-joins are exact (see ``hamming``).
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import hashes
+from tessera.operators import hamming
 
-#: Rows up to which a Hamming self-join is a broadcast nested loop.
+#: Distinct hashes up to which a Hamming self-join may be a broadcast nested loop (64 bytes each at most).
 NESTED_LOOP_ROWS = 20_000
-BAND_BITS = 16
 
 
 def hamming_pairs(rows: DataFrame, lanes: str, count: int, radius: int, keep: list[str], nested_loop_rows: int = NESTED_LOOP_ROWS) -> DataFrame:
     """Unordered pairs of rows (``key``, ``lanes``, kept columns) within the radius: l_*, r_* and ``distance``."""
-    names = ["key", lanes, *keep]
-    left = rows.select(*[F.col(n).alias(f"l_{n}") for n in names])
-    right = rows.select(*[F.col(n).alias(f"r_{n}") for n in names])
-    distance = hashes.hamming(f"l_{lanes}", f"r_{lanes}", count)
-    if rows.limit(nested_loop_rows + 1).count() <= nested_loop_rows:
-        joined = left.join(F.broadcast(right), (F.col("l_key") < F.col("r_key")) & (distance <= radius))
-        return joined.withColumn("distance", distance.cast("int"))
-    bands = count * 32 // BAND_BITS
-    near = radius // bands  # of some band, by the pigeonhole
-    masks = [0] + [sum(1 << b for b in bits) for k in range(1, near + 1) for bits in combinations(range(BAND_BITS), k)]
-    band = lambda h, i: f"(shiftright({h}[int({i} / 2)], 16 * ({i} % 2)) & 65535)"
-    # distinct hashes meet, nothing else is shipped with a probe; rows come back to the pairs that are close
-    banded = rows.select(F.col(lanes).alias("h")).distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))).withColumn("v", F.expr(band("h", "b")))
-    probes = banded.select(F.col("h").alias("x"), "b", "v", F.explode(F.array(*map(F.lit, masks))).alias("mask")).withColumn("v", F.col("v").bitwiseXOR(F.col("mask"))).drop("mask")
-    met = probes.join(banded.withColumnRenamed("h", "y"), ["b", "v"]).filter("x < y").withColumn("distance", hashes.hamming("x", "y", count).cast("int")).filter(F.col("distance") <= radius)
-    # a pair is found once in each near band: the first of them keeps it
-    once = met.filter(F.expr(f"b = filter(sequence(0, {bands - 1}), i -> bit_count({band('x', 'i')} ^ {band('y', 'i')}) <= {near})[0]"))
-    close = once.select("x", "y", "distance")
-    same = rows.select(F.col(lanes).alias("x"), F.col(lanes).alias("y"), F.lit(0).alias("distance")).distinct()
-    close = close.union(close.select("y", "x", "distance")).union(same)
-    return left.join(close, F.col(f"l_{lanes}") == F.col("x")).join(right, F.col("y") == F.col(f"r_{lanes}")).filter("l_key < r_key").drop("x", "y")
+    return hamming.hamming_pairs(rows, lanes, count, radius, keep, nested_loop_rows)
 
 
 def rank() -> Column:

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,17 +33,56 @@ def test_limits():
     assert hashes.limits(-5) == hashes.limits(0) and hashes.limits(120) == hashes.limits(99)
 
 
-@pytest.mark.parametrize("count,radius", [(2, 3), (2, 9), (8, 20)])
+@pytest.mark.parametrize("count,radius", [(2, 0), (2, 3), (2, 9), (2, 18), (8, 20), (8, 48)])
 def test_multi_index_equals_nested_loop(spark, count, radius):
     rng = random.Random(count + radius)
     base = [rng.getrandbits(32 * count) for _ in range(30)]
     values = [b ^ sum(1 << k for k in {rng.randrange(32 * count) for _ in range(rng.randrange(12))}) for b in base * 4]
+    values += [values[0] | 0xFFFF, values[1] | 0xFFFF, values[0]]
     rows = spark.createDataFrame([(i, bits(v, 8 * count)) for i, v in enumerate(values)], "key long, h string").withColumn("lanes", hashes.lanes(F.col("h"), count))
     pairs = lambda limit: sorted((r.l_key, r.r_key, r.distance) for r in matching.hamming_pairs(rows, "lanes", count, radius, [], limit).collect())
     expected = sorted((i, j, d) for i in range(len(values)) for j in range(i + 1, len(values)) if (d := (values[i] ^ values[j]).bit_count()) <= radius)
     assert pairs(0) == pairs(10_000) == expected and expected
 
 
+def test_any_deal_of_the_radius_is_exact(spark):
+    from tessera.operators import hamming
+
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    values = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(9))) for b in base for _ in range(6)})
+    distinct = spark.createDataFrame([(bits(v, 16),) for v in values], "s string").select(hashes.lanes(F.col("s"), 2).alias("h"))
+    pairs = {(a, b) for i, a in enumerate(values) for b in values[i + 1 :]}
+    hexed = lambda h: h[0] << 32 | h[1]
+    for bands in ((hamming.Band(0, 40, 2, 1), hamming.Band(40, 24, 1, 1)), (hamming.Band(3, 20, 1, 0), hamming.Band(23, 10, 0, 0), hamming.Band(33, 31, 2, 2))):
+        got = sorted((r.band, *sorted((hexed(r.x), hexed(r.y)))) for r in hamming.met_hashes(distinct, 2, bands).collect())
+        part = lambda v, b: (v >> (64 - b.start - b.width)) & ((1 << b.width) - 1)
+        expected = sorted((i, a, b) for i, band in enumerate(bands) for a, b in pairs if (part(a, band) ^ part(b, band)).bit_count() <= band.sent + band.kept)
+        assert got == expected and expected
+
+
+def test_candidates_for_each_pair_stay_level(spark):
+    from tessera.operators import hamming
+
+    def met(n, radius):
+        rng = np.random.default_rng(n)
+        base = rng.integers(0, 1 << 32, (n, 2))
+        near = base.copy()
+        for _ in range(radius - 1):
+            at = rng.integers(0, 64, n)
+            near[np.arange(n), at // 32] ^= 1 << (at % 32)
+        rows = spark.createDataFrame(pd.DataFrame(np.concatenate([base, near]), columns=["a", "b"])).select(F.array("a", "b").alias("h")).distinct()
+        chosen = hamming.plan(*hamming.counted_bits(rows, 2), radius, 0)
+        assert sum(b.sent + b.kept + 1 for b in chosen.bands) == radius + 1
+        return hamming.met_hashes(rows, 2, chosen.bands).count() / n
+
+    small, large = met(10_000, 6), met(160_000, 6)
+    assert large < 2 * small and small < 400
+    # bits that all hashes share hold no information: the bands that count are cut from the others
+    skewed = hamming.plan(50_000, [0] * 32 + [25_000] * 32, 3, 0)
+    assert all(b.start + b.width > 32 for b in skewed.bands) and skewed.meets < 2_000
+
+
 def test_exact_groups_and_survivors(spark):
     a = assets(spark, asset("small", "s", w=1, h=1), asset("large", "s", w=9, h=9), asset("one", "t"), asset("none", ""), asset("none2", ""))
     assert [tuple(r) for r in matching.exact_survivors(a).collect()] == [("large", "small")]
