@@ -6,14 +6,18 @@ list order is key order. Hamming self-joins are exact (see ``hamming``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import hashes
 from tessera.operators import hamming
+from tessera.operators.components import components
+from tessera.sources.tables import staged
 
 #: Distinct hashes up to which a Hamming self-join may be a broadcast nested loop (64 bytes each at most).
 NESTED_LOOP_ROWS = 20_000
+#: Assets that share a token, from which on it is heavy.
+HEAVY = 256
 
 
 def hamming_pairs(rows: DataFrame, lanes: str, count: int, radius: int, keep: list[str], nested_loop_rows: int = NESTED_LOOP_ROWS) -> DataFrame:
@@ -54,24 +58,53 @@ def _stills(assets: DataFrame) -> DataFrame:
     return assets.filter("vpdq is null")
 
 
-def crop_similarity(matched_left, n_left, matched_right, n_right):
-    return 100.0 * F.least(matched_left / n_left, matched_right / n_right)
+def _listed(assets: DataFrame) -> DataFrame:
+    """key, n, pos, segment of every item of the crop lists."""
+    return _stills(assets).filter("size(crop) > 0").select("key", F.size("crop").alias("n"), F.posexplode("crop").alias("pos", "segment"))
 
 
-def crop_scores(assets: DataFrame, cutoff: int) -> DataFrame:
-    """(left, right, crop): lists of segments compared both ways, repeated segments counted; pairs with a close segment only.
-
-    Distinct segments meet first; a segment's owners are joined in after, so a segment that many assets share is compared once.
-    """
-    listed = _stills(assets).filter("size(crop) > 0").select("key", F.size("crop").alias("n"), F.posexplode("crop").alias("pos", "segment"))
+def _close_segments(listed: DataFrame, cutoff: int) -> DataFrame:
+    """a, b: distinct segments within the cutoff, both ways and each with itself; a segment that many assets share is compared once."""
     segments = listed.select(F.col("segment").alias("key")).distinct().withColumn("lanes", hashes.lanes(F.col("key"), hashes.PHASH_LANES))
     close = hamming_pairs(segments, "lanes", hashes.PHASH_LANES, cutoff, []).select(F.col("l_key").alias("a"), F.col("r_key").alias("b"))
-    close = close.union(close.select("b", "a")).union(segments.select(F.col("key").alias("a"), F.col("key").alias("b")))
-    one = listed.select(F.col("key").alias("left"), F.col("n").alias("n_left"), F.col("pos").alias("p_left"), F.col("segment").alias("a"))
-    two = listed.select(F.col("key").alias("right"), F.col("n").alias("n_right"), F.col("pos").alias("p_right"), F.col("segment").alias("b"))
-    met = one.join(close, "a").join(two, "b").filter("left < right").groupBy("left", "right", "n_left", "n_right")
-    counted = met.agg(F.count_distinct("p_left").alias("m_left"), F.count_distinct("p_right").alias("m_right"))
-    return counted.select("left", "right", crop_similarity(F.col("m_left"), F.col("n_left"), F.col("m_right"), F.col("n_right")).alias("crop"))
+    return close.union(close.select("b", "a")).union(segments.select(F.col("key").alias("a"), F.col("key").alias("b")))
+
+
+def _classes(listed: DataFrame, close: DataFrame) -> DataFrame:
+    """segment, class, owners: components of close segments, with the number of list items in each."""
+    sides = close.filter("a < b").select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))  # hashes that agree by chance only join classes
+    labels = components(sides).select(F.col("v").alias("h"), "c")
+    counted = listed.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64("segment")).join(labels, "h", "left")
+    named = counted.select("segment", F.coalesce("c", "h").alias("class"), "n")
+    return named.join(named.groupBy("class").agg(F.sum("n").alias("owners")), "class").select("segment", "class", "owners")
+
+
+def crop_candidates(listed: DataFrame, close: DataFrame, ratio: float) -> DataFrame:
+    """(left, right): pairs of lists that may reach the ratio both ways, from the lists' prefixes.
+
+    A list that reaches it has ``required`` items with a close one in the other. Ordered by class, rarest first, the first of these has
+    ``required`` - 1 items after it, so it is not among the last ``required`` - 1; and as close items are of one class, the same class is met on
+    both sides. A prefix is therefore the list without its last ``required`` - 1 items, but with whole classes, and only prefixes meet.
+    """
+    required = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(float(ratio)) - F.lit(1e-9)).cast("int"))
+    order = Window.partitionBy("key").orderBy("owners", "class", "pos")
+    placed = listed.join(_classes(listed, close), "segment").withColumn("place", F.row_number().over(order)).withColumn("kept", F.col("place") <= F.col("n") - required + 1)
+    prefix = placed.withColumn("kept", F.max("kept").over(Window.partitionBy("key", "class"))).filter("kept").select("key", "segment").distinct()
+    one = prefix.select(F.col("key").alias("left"), F.col("segment").alias("a"))
+    two = prefix.select(F.col("key").alias("right"), F.col("segment").alias("b"))
+    return one.join(close, "a").join(two, "b").filter("left < right").select("left", "right").distinct()
+
+
+def crop_scores(assets: DataFrame, cutoff: int, ratio: float = 0.0) -> DataFrame:
+    """(left, right, crop): lists of segments compared both ways, repeated segments counted; pairs with a close segment and of ``ratio`` at least."""
+    listed = staged(_listed(assets), "crop-items")
+    close = staged(_close_segments(listed, cutoff), "crop-close")
+    lists = _stills(assets).filter("size(crop) > 0").select("key", F.transform("crop", hashes.as_long).alias("s"))
+    side = lambda n: lists.select(F.col("key").alias(n), F.col("s").alias(n[0]))
+    met = crop_candidates(listed, close, ratio).join(side("left"), "left").join(side("right"), "right")
+    share = lambda x, y: f"size(filter({x}, p -> exists({y}, q -> bit_count(p ^ q) <= {cutoff}))) / size({x})"
+    scored = met.select("left", "right", F.expr(f"100.0D * least({share('l', 'r')}, {share('r', 'l')})").alias("crop"))
+    return scored.filter(F.col("crop") / 100 >= F.lit(float(ratio)))
 
 
 def phash_stage(assets: DataFrame, slider: int) -> DataFrame:
@@ -107,7 +140,7 @@ def pdq_stage(assets: DataFrame, slider: int) -> DataFrame:
 def crop_stage(assets: DataFrame, slider: int) -> DataFrame:
     """Pairs whose crop similarity reaches the slider's ratio; these are qualified whatever the minimum score."""
     limit = hashes.limits(slider)
-    found = crop_scores(assets, int(limit["crop_distance"])).filter(F.col("crop") / 100 >= limit["crop_ratio"])
+    found = crop_scores(assets, int(limit["crop_distance"]), limit["crop_ratio"])
     required = hashes.percent(F.lit(100 * limit["crop_ratio"]))
     reason = F.concat(F.lit("crop-resistant match: "), hashes.percent(F.col("crop")), F.lit(" segment overlap (required "), required, F.lit(")"))
     return found.select("left", "right", F.col("crop").alias("score"), reason.alias("reason"))
@@ -119,16 +152,58 @@ def frames(assets: DataFrame) -> DataFrame:
     return rows.select("key", "sha256", F.size("f").alias("n_frames"), F.explode("f").alias("f")).select("key", "sha256", "n_frames", "f.h", F.coalesce("f.q", F.lit(hashes.DEFAULT_QUALITY)).alias("q"))
 
 
-def vpdq_candidates(assets: DataFrame) -> DataFrame:
-    """(left, right, shared, required): pairs that share enough 16-bit tokens of good frames; lossy by design."""
+def frame_tokens(assets: DataFrame) -> DataFrame:
+    """key, sha256, required, token of good frames, each once: 16-bit pieces with their band; lossy by design.
+
+    ``required`` is what a pair of assets with so many frames each would have to share; a pair needs the lesser of both.
+    """
     good = frames(assets).filter(F.col("q") >= hashes.QUALITY_FLOOR)
-    bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.substring(F.col("h"), b * 4 + 1, F.lit(4)))).alias("band", "token")
-    tokens = good.select("key", "sha256", "n_frames", bands).distinct()
-    side = lambda s: tokens.select("band", "token", *[F.col(c).alias(f"{s}_{c}") for c in ("key", "sha256", "n_frames")])
-    met = side("l").join(side("r"), ["band", "token"]).filter("l_key < r_key and (l_sha256 is null or l_sha256 = '' or not (l_sha256 <=> r_sha256))")
-    counted = met.groupBy("l_key", "r_key", "l_n_frames", "r_n_frames").agg(F.count(F.lit(1)).cast("int").alias("shared"))
-    required = F.greatest(F.lit(1), F.least(F.lit(8), F.ceil(F.least("l_n_frames", "r_n_frames") * F.lit(0.2)).cast("int")))
-    return counted.withColumn("required", required).filter("shared >= required").select(F.col("l_key").alias("left"), F.col("r_key").alias("right"), "shared", "required")
+    tokens = F.explode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.concat(b.cast("string"), F.lit(":"), F.substring(F.col("h"), b * 4 + 1, F.lit(4)))))
+    required = F.greatest(F.lit(1), F.least(F.lit(8), F.ceil(F.col("n_frames") * F.lit(0.2)).cast("int")))
+    return good.select("key", "sha256", required.alias("required"), tokens.alias("token")).distinct()
+
+
+def heavy_tokens(tokens: DataFrame, heavy: int) -> tuple[DataFrame, DataFrame]:
+    """Tokens of at most ``heavy`` assets, and the others with their ``place`` in each asset's list of them, most frequent first."""
+    frequent = staged(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("owners")).filter(F.col("owners") > heavy), "vpdq-heavy")
+    order = Window.partitionBy("key").orderBy(F.desc("owners"), "token")
+    return tokens.join(frequent.select("token"), "token", "left_anti"), tokens.join(frequent, "token").withColumn("place", F.row_number().over(order))
+
+
+def vpdq_seeds(light: DataFrame, heavy: DataFrame) -> DataFrame:
+    """(left, right, light): pairs that may share enough tokens, with the number of light ones that they share.
+
+    Light tokens meet in an ordinary join. Of heavy ones a pair that needs r shared tokens may ignore each side's r - 1 most frequent: if only those
+    were shared there would be too few. A token row is sent to the levels r for which it is not ignored; the side that sets r leads, so
+    a token that a third of all assets hold meets nobody unless a single shared token is enough.
+    """
+    side = lambda rows, s, *more: rows.select("token", *more, *[F.col(c).alias(f"{s}_{c}") for c in ("key", "sha256", "required")])
+    others = "(l_sha256 is null or l_sha256 = '' or not (l_sha256 <=> r_sha256))"
+    met = side(light, "l").join(side(light, "r"), "token").filter(f"l_key < r_key and {others}")
+    counted = met.groupBy(F.col("l_key").alias("left"), F.col("r_key").alias("right")).agg(F.count(F.lit(1)).cast("int").alias("light"))
+    leads = side(heavy.filter("place >= required"), "l").withColumn("level", F.col("l_required"))
+    follows = side(heavy, "r", "place").withColumn("level", F.explode(F.sequence(F.lit(1), F.least("place", "r_required"))))
+    first = "(r_required > l_required or l_key < r_key)"
+    paired = leads.join(follows, ["token", "level"]).filter(f"l_key <> r_key and {first} and {others}")
+    paired = paired.select(F.least("l_key", "r_key").alias("left"), F.greatest("l_key", "r_key").alias("right"), F.lit(0).alias("light"))
+    return counted.union(paired.distinct()).groupBy("left", "right").agg(F.max("light").alias("light"))
+
+
+def vpdq_candidates(assets: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """(left, right, shared, required): pairs that share enough 16-bit tokens of good frames, exactly counted.
+
+    Heavy tokens are compared as lists of the pairs that could still reach ``required`` with them.
+    """
+    tokens = staged(frame_tokens(assets), "vpdq-tokens")
+    light, frequent = heavy_tokens(tokens, heavy)
+    frequent = staged(frequent, "vpdq-frequent")
+    seeds = vpdq_seeds(light, frequent)
+    lists = tokens.select("key", "required").distinct().join(frequent.groupBy("key").agg(F.collect_list("token").alias("h")), "key", "left")  # of one asset's frames
+    side = lambda s, i: lists.select(F.col("key").alias(s), F.col("required").alias(f"n{i}"), F.coalesce("h", F.array().cast("array<string>")).alias(f"h{i}"))
+    both = seeds.join(side("left", 0), "left").join(side("right", 1), "right").withColumn("required", F.least("n0", "n1"))
+    able = both.filter(F.col("light") + F.least(F.size("h0"), F.size("h1")) >= F.col("required"))
+    shared = able.withColumn("shared", F.col("light") + F.size(F.array_intersect("h0", "h1")))
+    return shared.filter("shared >= required").select("left", "right", "shared", "required")
 
 
 def vpdq_stage(assets: DataFrame, slider: int) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators against small cases and brute force."""
 
+import math
 import random
 
 import numpy as np
@@ -83,6 +84,72 @@ def test_candidates_for_each_pair_stay_level(spark):
     assert all(b.start + b.width > 32 for b in skewed.bands) and skewed.meets < 2_000
 
 
+def brute_seeds(rows):
+    """Pairs of assets (key, sha256, frames) that share enough tokens, and how many."""
+    held = {k: ({(b, h[4 * b : 4 * b + 4]) for h, q in f if q >= 35 for b in range(16)}, max(1, min(8, math.ceil(len(f) * 0.2))), s) for k, s, f in rows}
+    out = {}
+    for a in held:
+        for b in held:
+            if a < b and not (held[a][2] and held[a][2] == held[b][2]):
+                shared, required = len(held[a][0] & held[b][0]), min(held[a][1], held[b][1])
+                if shared >= required:
+                    out[a, b] = (shared, required)
+    return out
+
+
+@pytest.mark.parametrize("frames", [(10, 10), (3, 60)])
+def test_frame_tokens_that_many_share(spark, frames):
+    rng = random.Random(sum(frames))
+    hexed = lambda: bits(rng.getrandbits(256), 64)
+    rows = []
+    for i in range(330):
+        f = [(hexed(), rng.choice([20, 40, 80])) for _ in range(rng.randint(*frames))]
+        if i % 3 == 0:
+            f[0] = ("ffff" + f[0][0][4:], 90)  # a third share this token
+        if i % 5 == 0:
+            f[-1] = ("0000" * 3 + f[-1][0][12:], 90)  # a fifth share three
+        if i % 11 == 1:
+            f[0] = rows[-1][2][0]
+        rows.append((f"k{i:03}", None if i % 7 == 0 else f"s{i // 2}" if i % 17 == 0 else "", f))
+    a = assets(spark, *[asset(k, s, vpdq=[(h, q, n) for n, (h, q) in enumerate(f)]) for k, s, f in rows])
+    expected = brute_seeds(rows)
+    for heavy in (5, 40, 10_000):
+        got = {(r.left, r.right): (r.shared, r.required) for r in matching.vpdq_candidates(a, heavy).collect()}
+        assert got == expected
+    if frames == (10, 10):
+        # two shared tokens are needed: the one that 110 assets share, 5,995 pairs, seeds none
+        light, frequent = matching.heavy_tokens(matching.frame_tokens(a), 40)
+        seeds = matching.vpdq_seeds(light, frequent).count()
+        assert len(expected) <= seeds < 3 * len(expected) + 1_500
+
+
+@pytest.mark.parametrize("slider", [0, 50, 99])
+def test_crop_lists_with_common_segments(spark, slider):
+    rng = random.Random(slider)
+    limit = hashes.limits(slider)
+    pool = [rng.getrandbits(64) for _ in range(60)]
+    near = lambda v: v ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(7)))
+    rows = {}
+    for i in range(240):
+        listed = [near(rng.choice(pool)) if rng.random() < 0.3 else rng.getrandbits(64) for _ in range(rng.randrange(1, 7))]
+        listed += [0] * (i % 3 == 0) + [near(pool[0])] * (i % 4 == 0)
+        rows[f"k{i:03}"] = listed
+    a = assets(spark, *[asset(k, crop=[bits(v, 16) for v in c]) for k, c in rows.items()])
+    cutoff, ratio, expected = int(limit["crop_distance"]), limit["crop_ratio"], {}
+    for x in rows:
+        for y in rows:
+            if x < y:
+                share = lambda p, q: sum(min((v ^ w).bit_count() for w in q) <= cutoff for v in p) / len(p)
+                score = 100 * min(share(rows[x], rows[y]), share(rows[y], rows[x]))
+                if score / 100 >= ratio:
+                    expected[x, y] = round(score, 9)
+    assert {(r.left, r.right): round(r.score, 9) for r in matching.crop_stage(a, slider).collect()} == expected and expected
+    listed = matching._listed(a)
+    met = matching.crop_candidates(listed, matching._close_segments(listed, cutoff), ratio).count()
+    everyone = matching.crop_candidates(listed, matching._close_segments(listed, cutoff), 0.0).count()
+    assert len(expected) <= met <= everyone and (slider == 0 or met < 0.5 * everyone)
+
+
 def test_exact_groups_and_survivors(spark):
     a = assets(spark, asset("small", "s", w=1, h=1), asset("large", "s", w=9, h=9), asset("one", "t"), asset("none", ""), asset("none2", ""))
     assert [tuple(r) for r in matching.exact_survivors(a).collect()] == [("large", "small")]
