@@ -153,14 +153,14 @@ def frames(assets: DataFrame) -> DataFrame:
 
 
 def frame_tokens(assets: DataFrame) -> DataFrame:
-    """key, sha256, required, token of good frames, each once: 16-bit pieces with their band; lossy by design.
+    """key, required, token of good frames, each once: 16-bit pieces with their band in front; lossy by design.
 
     ``required`` is what a pair of assets with so many frames each would have to share; a pair needs the lesser of both.
     """
     good = frames(assets).filter(F.col("q") >= hashes.QUALITY_FLOOR)
-    tokens = F.explode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.concat(b.cast("string"), F.lit(":"), F.substring(F.col("h"), b * 4 + 1, F.lit(4)))))
+    tokens = F.explode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: b * 65536 + F.conv(F.substring(F.col("h"), b * 4 + 1, F.lit(4)), 16, 10).cast("int")))
     required = F.greatest(F.lit(1), F.least(F.lit(8), F.ceil(F.col("n_frames") * F.lit(0.2)).cast("int")))
-    return good.select("key", "sha256", required.alias("required"), tokens.alias("token")).distinct()
+    return good.select("key", required.alias("required"), tokens.alias("token")).distinct()
 
 
 def heavy_tokens(tokens: DataFrame, heavy: int) -> tuple[DataFrame, DataFrame]:
@@ -177,14 +177,13 @@ def vpdq_seeds(light: DataFrame, heavy: DataFrame) -> DataFrame:
     were shared there would be too few. A token row is sent to the levels r for which it is not ignored; the side that sets r leads, so
     a token that a third of all assets hold meets nobody unless a single shared token is enough.
     """
-    side = lambda rows, s, *more: rows.select("token", *more, *[F.col(c).alias(f"{s}_{c}") for c in ("key", "sha256", "required")])
-    others = "(l_sha256 is null or l_sha256 = '' or not (l_sha256 <=> r_sha256))"
-    met = side(light, "l").join(side(light, "r"), "token").filter(f"l_key < r_key and {others}")
+    side = lambda rows, s, *more: rows.select("token", *more, *[F.col(c).alias(f"{s}_{c}") for c in ("key", "required")])
+    met = side(light, "l").join(side(light, "r"), "token").filter("l_key < r_key")
     counted = met.groupBy(F.col("l_key").alias("left"), F.col("r_key").alias("right")).agg(F.count(F.lit(1)).cast("int").alias("light"))
     leads = side(heavy.filter("place >= required"), "l").withColumn("level", F.col("l_required"))
     follows = side(heavy, "r", "place").withColumn("level", F.explode(F.sequence(F.lit(1), F.least("place", "r_required"))))
     first = "(r_required > l_required or l_key < r_key)"
-    paired = leads.join(follows, ["token", "level"]).filter(f"l_key <> r_key and {first} and {others}")
+    paired = leads.join(follows, ["token", "level"]).filter(f"l_key <> r_key and {first}")
     paired = paired.select(F.least("l_key", "r_key").alias("left"), F.greatest("l_key", "r_key").alias("right"), F.lit(0).alias("light"))
     return counted.union(paired.distinct()).groupBy("left", "right").agg(F.max("light").alias("light"))
 
@@ -198,9 +197,10 @@ def vpdq_candidates(assets: DataFrame, heavy: int = HEAVY) -> DataFrame:
     light, frequent = heavy_tokens(tokens, heavy)
     frequent = staged(frequent, "vpdq-frequent")
     seeds = vpdq_seeds(light, frequent)
-    lists = tokens.select("key", "required").distinct().join(frequent.groupBy("key").agg(F.collect_list("token").alias("h")), "key", "left")  # of one asset's frames
-    side = lambda s, i: lists.select(F.col("key").alias(s), F.col("required").alias(f"n{i}"), F.coalesce("h", F.array().cast("array<string>")).alias(f"h{i}"))
+    lists = tokens.select("key", "required").distinct().join(assets.select("key", "sha256"), "key").join(frequent.groupBy("key").agg(F.collect_list("token").alias("h")), "key", "left")  # of one asset's frames
+    side = lambda s, i: lists.select(F.col("key").alias(s), F.col("sha256").alias(f"s{i}"), F.col("required").alias(f"n{i}"), F.coalesce("h", F.array().cast("array<int>")).alias(f"h{i}"))
     both = seeds.join(side("left", 0), "left").join(side("right", 1), "right").withColumn("required", F.least("n0", "n1"))
+    both = both.filter("s0 is null or s0 = '' or not (s0 <=> s1)")
     able = both.filter(F.col("light") + F.least(F.size("h0"), F.size("h1")) >= F.col("required"))
     shared = able.withColumn("shared", F.col("light") + F.size(F.array_intersect("h0", "h1")))
     return shared.filter("shared >= required").select("left", "right", "shared", "required")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import names
-from tessera.sources.tables import staged
+from tessera.sources.tables import staged_once
 
 VIDEO_LINES = 6
 
@@ -57,6 +57,10 @@ def simhash(words: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged_once(spark, sf_dir, "assets", lambda: _assets(spark, sf_dir))
+
+
+def _assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with hashes: SimHash as PDQ and pHash, lines as crop segments, and as frames from ``VIDEO_LINES`` lines on."""
     docs = documents(spark, sf_dir)
     hashed = docs.select("key", F.split(F.lower("text"), r"\s+").alias("words")).mapInArrow(simhash, "key string, pdq_hash string")
@@ -65,13 +69,13 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = F.transform(lines, lambda x, i: F.struct(F.concat(F.substring(F.sha2(x, 256), 1, 62), noise).alias("h"), (20 + F.char_length(x) % 80).cast("int").alias("q"), i.cast("long").alias("t")))
     out = docs.withColumn("lines", lines).withColumn("crop", F.transform("lines", lambda x: F.substring(F.sha2(x, 256), 1, 16)))
     out = out.withColumn("vpdq", F.when(F.size("lines") >= VIDEO_LINES, frame)).drop("text", "doc_id", "lines").join(hashed, "key")
-    return staged(out.withColumn("phash", F.substring("pdq_hash", 1, 16)), "assets")
+    return out.withColumn("phash", F.substring("pdq_hash", 1, 16))
 
 
 def visual(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators.matching import visual_assets
 
-    return staged(visual_assets(assets(spark, sf_dir)), "visual")
+    return staged_once(spark, sf_dir, "visual", lambda: visual_assets(assets(spark, sf_dir)))
 
 
 def orders_stored(spark: SparkSession, sf_dir: str) -> DataFrame:

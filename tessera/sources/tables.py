@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,15 +11,40 @@ from pyspark.sql import functions as F
 from tessera.functions import names
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the cluster's shared scratch folder; only where none is named (tests) under the warehouse."""
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write to the cluster's shared scratch folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What ``staged_once`` has written, by session, folder and name.
+_WRITTEN: dict[tuple, tuple[str, DataFrame]] = {}
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def staged_once(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()`` staged once for a session and a source folder; made again if what was written is gone."""
+    key = (spark.sparkContext.applicationId, id(spark), folder, name)
+    if key not in _WRITTEN or not exists(spark, f"{_WRITTEN[key][0]}/_SUCCESS"):
+        path = scratch(spark, name)
+        df = make()
+        df.write.parquet(path)
+        _WRITTEN[key] = (path, spark.read.schema(df.schema).parquet(path))
+    return _WRITTEN[key][1]
+
+
 def list_objects(spark: SparkSession, path: str, keep_all: bool = False) -> DataFrame:
     """key, size, last_modified, extension, media_type of files under a folder; contents are not read.
 
