@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import names
+from tessera.operators import order
+from tessera.sources.datasource import write_document
+from tessera.sources.tables import staged
 
 THRESHOLD = 0.4
-MOST_TAGS, MOST_ITEMS, MOST_ITEM_TAGS, VERSION = 20_000, 250_000, 512, 1
+MOST_TAGS, MOST_ITEMS, MOST_ITEM_TAGS, MOST_COUNT, VERSION = 20_000, 250_000, 512, (1 << 53) - 1, 1
 
 
 def frame_max(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -24,12 +29,9 @@ def tag_lists(best: DataFrame) -> DataFrame:
 
 
 def catalog(rows: DataFrame) -> DataFrame:
-    """(id, name, count) of tagged rows (key, ext, tags): items per tag, ids by falling count, then name.
-
-    Ids number the distinct tags of a catalog, at most ``MOST_TAGS`` in a valid index: one ordered partition holds them.
-    """
+    """(id, name, count) of tagged rows (key, ext, tags): items per tag, ids by falling count, then name."""
     counted = rows.select(F.explode(F.array_distinct("tags")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("count"))
-    return counted.select((F.row_number().over(Window.orderBy(F.desc("count"), "name")) - 1).alias("id"), "name", "count")
+    return order.numbered(counted, "id", F.desc("count"), F.asc("name")).select(F.col("id").cast("int").alias("id"), "name", "count")
 
 
 def index_items(rows: DataFrame, tags: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ def index_items(rows: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def tag_document(rows: DataFrame, threshold: float, model: str) -> DataFrame:
-    """body: the tag index as one JSON object, its format's one value."""
+    """body: a small tag index as one JSON object in one row; ``write_tag_document`` has no such row."""
     tags = catalog(rows)
     items = index_items(rows, tags).groupBy("key", "ext").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "tag_id"))), lambda x: x["tag_id"]).alias("ids"))
     listed = items.agg(F.sort_array(F.collect_list(F.struct("key", "ext", "ids"))).alias("items"))
@@ -53,9 +55,72 @@ def tag_document(rows: DataFrame, threshold: float, model: str) -> DataFrame:
     return both.select(body.alias("body"))
 
 
+def _quoted(value: Column) -> Column:
+    """A text as JSON."""
+    return F.regexp_extract(F.to_json(F.struct(value.alias("n"))), r"^\{\"n\":(.*)\}$", 1)
+
+
+def write_tag_document(rows: DataFrame, path: str, threshold: float, model: str, generated_at: str, expected: str) -> None:
+    """Publishes the tag index of tagged rows (key, ext, tags), items by key; the catalog's few entries are the head, tasks write the items."""
+    tags = staged(catalog(rows), "tag-catalog")
+    entry = F.concat(F.lit("["), _quoted(F.col("name")), F.lit(","), F.col("count").cast("string"), F.lit("]"))
+    named = tags.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", entry.alias("e")))), lambda x: x["e"]).alias("c")).first().c  # at most MOST_TAGS in a valid index
+    # the order of a row's tags is kept; rows without tags are items too
+    ids = index_items(rows, tags).groupBy("key", "ext").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "tag_id"))), lambda x: x["tag_id"]).alias("ids"))
+    items = rows.select("key", "ext").join(ids, ["key", "ext"], "left").repartitionByRange("key", "ext").sortWithinPartitions("key", "ext")
+    listed = F.coalesce(F.to_json("ids"), F.lit("[]"))
+    fragment = F.concat(F.lit("["), _quoted(F.col("key")), F.lit(","), _quoted(F.col("ext")), F.lit(","), listed, F.lit("]"))
+    head = f'{{"version":{VERSION},"generated_at":{json.dumps(generated_at)},"model":{json.dumps(model)},"threshold":{threshold},"tagged_count":{{count}},"catalog":[{",".join(named)}],"items":['
+    write_document(items.select(fragment.alias("fragment")), path, head, "]}", expected)
+
+
+def _listed(value: Column) -> Column:
+    """A variant as an array of variants; anything else as none."""
+    return F.when(F.startswith(F.schema_of_variant(value), F.lit("ARRAY")), F.from_json(F.to_json(value), "array<variant>"))
+
+
+def _kind(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+
+
+def _truthy_text(value: Column) -> Column:
+    """A scalar as text; false, zero, null and what is no scalar as the empty text."""
+    text = F.try_variant_get(value, "$", "string")
+    return F.when(F.startswith(_kind(value), F.lit("ARRAY")) | F.startswith(_kind(value), F.lit("OBJECT")) | text.isin("false", "0"), "").otherwise(F.coalesce(text, F.lit("")))
+
+
+def _whole(value: Column) -> Column:
+    """A safe integer, if the value is a number without a fraction."""
+    number = F.try_variant_get(value, "$", "double")
+    plain = (_kind(value) == "BIGINT") | (_kind(value) == "DOUBLE") | F.startswith(_kind(value), F.lit("DECIMAL"))
+    return F.when(plain & (number == F.floor(number)) & (F.abs(number) <= MOST_COUNT), number.cast("long"))
+
+
+def read_tag_document(documents: DataFrame, prefix: str = "gallery/") -> tuple[DataFrame, DataFrame]:
+    """Catalog (id, name, count) and items (key, ext, tags array<int>) of tag index documents (column ``body``).
+
+    An id is an entry's place in the document, before any entry is left out. Text that is no JSON, another version and documents with more entries or items
+    than allowed have neither; entries without a name or a positive whole count go, and items that are not a key under the prefix, an
+    allowed extension and a short enough list of ids that stand.
+    """
+    parsed = documents.select(F.try_parse_json("body").alias("v"))
+    field = lambda n: _listed(F.when(F.startswith(_kind(F.col("v")), F.lit("OBJECT")), F.try_variant_get("v", f"$.{n}", "variant")))
+    none = F.array().cast("array<variant>")
+    whole = parsed.withColumn("version", _whole(F.when(F.startswith(_kind(F.col("v")), F.lit("OBJECT")), F.try_variant_get("v", "$.version", "variant"))))
+    whole = whole.select("version", F.coalesce(field("catalog"), none).alias("c"), F.coalesce(field("items"), none).alias("i"))
+    whole = whole.filter((F.col("version") == VERSION) & (F.size("c") <= MOST_TAGS) & (F.size("i") <= MOST_ITEMS))
+    at = lambda v, k: F.when(F.startswith(_kind(F.col(v)), F.lit("ARRAY")), F.try_variant_get(v, f"$[{k}]", "variant"))
+    entries = valid_catalog(whole.select(F.posexplode("c").alias("id", "e")).select("id", _truthy_text(at("e", 0)).alias("name"), _whole(at("e", 1)).alias("count")))
+    parts = whole.select(F.explode("i").alias("e")).select(at("e", 0).alias("k"), at("e", 1).alias("x"), _listed(at("e", 2)).alias("t"), F.size(_listed(F.col("e"))).alias("n"))
+    ids = F.transform("t", _whole)
+    shaped = parts.filter((F.col("n") == 3) & (_kind(F.col("k")) == "STRING") & F.col("t").isNotNull() & F.forall(ids, lambda x: x.isNotNull()))
+    items = shaped.select(F.try_variant_get("k", "$", "string").alias("key"), _truthy_text(F.col("x")).alias("ext"), F.transform(ids, lambda x: x.cast("int")).alias("tags"))
+    return entries, valid_items(items, entries, prefix)
+
+
 def valid_catalog(entries: DataFrame) -> DataFrame:
     """Catalog entries (id, name, count) with a name and a positive count; an id is the original position, gaps stay."""
-    return entries.filter("name <> '' and count > 0 and count <= 9007199254740991")
+    return entries.filter(f"name <> '' and count > 0 and count <= {MOST_COUNT}")
 
 
 def readable(items: DataFrame, entries: DataFrame, version: int) -> DataFrame:
