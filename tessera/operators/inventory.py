@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import names
+from tessera.operators import order
+
 #: Columns that are derived from an object's bytes; a changed object loses them.
 DERIVED = ["sha256", "phash", "crop_hashes", "pdq_hash", "pdq_quality", "vpdq_hashes", "width", "height", "duration", "scan_error"]
 LISTED = ["size", "etag", "last_modified"]
@@ -147,6 +150,14 @@ def dedupe_sources(rows: DataFrame) -> DataFrame:
     return rows.filter("value <> ''").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n").orderBy("ordinal")
 
 
+def united_sources(settings: DataFrame, managed: DataFrame, site: str) -> DataFrame:
+    """(ordinal, value): the addresses of both lists (ordinal, value), settings first, each once whatever its case; values that give no address go."""
+    both = settings.select(F.lit(0).alias("list"), "ordinal", "value").unionByName(managed.select(F.lit(1).alias("list"), "ordinal", "value"))
+    named = both.withColumn("value", names.normalize_source(F.col("value"), site)).filter("value <> ''")
+    first = named.groupBy(F.lower("value").alias("low")).agg(F.min(F.struct("list", "ordinal", "value")).alias("s"))
+    return order.numbered(first.select("s.*"), "place", F.asc("list"), F.asc("ordinal"), F.asc("value")).select(F.col("place").alias("ordinal"), "value")
+
+
 def add_source(rows: DataFrame, value: str, most: int = 500) -> DataFrame:
     """The sources with one more name, if it is new and there is room."""
     state = rows.agg(F.coalesce(F.max("ordinal") + 1, F.lit(0)).alias("ordinal"), F.count(F.lit(1)).alias("n"), F.count_if(F.lower("value") == value.lower()).alias("known"))

@@ -66,11 +66,17 @@ def sha_queue(deletions: DataFrame) -> DataFrame:
     return last.filter("key <> survivor_key")
 
 
+def live_digests(digests: DataFrame, assets: DataFrame) -> DataFrame:
+    """(key, pair_id, size) of the digest queue's rows whose key is live; no pair is behind them."""
+    live = assets.filter("not deleted").select("key", "size")
+    return digests.join(live, "key").select("key", F.lit(None).cast("bigint").alias("pair_id"), "size")
+
+
 def queue_union(queue: DataFrame, digests: DataFrame, assets: DataFrame) -> DataFrame:
     """(key, pair_id, size) to delete: visual rows that the digest queue lacks, and the digest queue; live keys only."""
     live = assets.filter("not deleted").select("key", "size")
     visual = queue.join(digests.select("key"), "key", "left_anti").join(live, "key").select("key", "pair_id", "size")
-    return visual.unionByName(digests.join(live, "key").select("key", F.lit(None).cast("bigint").alias("pair_id"), "size"))
+    return visual.unionByName(live_digests(digests, assets))
 
 
 def results(queued: DataFrame, response: DataFrame) -> DataFrame:

@@ -269,7 +269,7 @@ def _live(spark, d) -> DataFrame:
 fx.SQL["found"] = """found AS (SELECT * FROM (SELECT (l_orderkey * 8 + l_linenumber)::BIGINT * 1000000 + l_partkey AS ordinal, 'o/' || l_orderkey || '.jpg' AS left_key, 'o/' || (l_partkey % 997 * 4 + 1) || '.jpg' AS right_key, round_even(50 + CAST(l_quantity AS DOUBLE), 2) AS similarity, l_returnflag AS reason FROM lineitem) WHERE left_key <> right_key)"""
 fx.SQL["pairs"] = """pairs AS (SELECT min(f.ordinal)::BIGINT AS id, f.left_key, f.right_key, max(f.similarity) AS similarity, arg_max(f.reason, {'s': f.similarity, 'o': -f.ordinal}) AS reason, CASE WHEN bool_or(f.ordinal % 9 = 0) THEN 'excluded' ELSE 'included' END AS status FROM found f GROUP BY 2, 3)"""
 fx.SQL["queue"] = """queue AS (SELECT p.right_key AS key, min(p.id) AS pair_id FROM pairs p JOIN stored l ON l.key = p.left_key AND NOT l.deleted JOIN stored r ON r.key = p.right_key AND NOT r.deleted WHERE p.status = 'included' GROUP BY 1)"""
-fx.SQL["digests"] = """digests AS (SELECT * FROM (SELECT 'o/' || (l_partkey % 997 * 4 + 1) || '.jpg' AS key, arg_max('o/' || l_orderkey || '.jpg', l_orderkey * 8 + l_linenumber) AS survivor_key FROM lineitem WHERE l_suppkey % 3 = 0 AND l_partkey % 5 = 0 GROUP BY 1) WHERE key <> survivor_key)"""
+fx.SQL["digests"] = """digests AS (SELECT * FROM (SELECT 'o/' || (l_suppkey % 499 * 8 + 5) || '.jpg' AS key, arg_max('o/' || l_orderkey || '.jpg', l_orderkey * 8 + l_linenumber) AS survivor_key FROM lineitem GROUP BY 1) WHERE key <> survivor_key)"""
 fx.SQL["united"] = """united AS (SELECT q.key, q.pair_id, s.size FROM queue q JOIN stored s ON s.key = q.key AND NOT s.deleted WHERE q.key NOT IN (SELECT key FROM digests) UNION ALL SELECT g.key, NULL, s.size FROM digests g JOIN stored s ON s.key = g.key AND NOT s.deleted)"""
 fx.SQL["results"] = """results AS (SELECT key, pair_id, size, CASE size % 10 WHEN 0 THEN 'access denied' WHEN 1 THEN 'store did not confirm deletion' ELSE 'deleted' END AS result FROM united)"""
 _QUEUES = ("stored", "found", "pairs", "queue", "digests", "united", "results")
@@ -280,8 +280,8 @@ def _pairs(spark, d) -> DataFrame:
 
 
 def _digests(spark, d) -> DataFrame:
-    li = fx.table(spark, d, "lineitem").filter("l_suppkey % 3 = 0 and l_partkey % 5 = 0")
-    return review.sha_queue(li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ordinal"), F.concat(F.lit("o/"), F.col("l_orderkey").cast("string"), F.lit(".jpg")).alias("survivor_key"), F.concat(F.lit("o/"), (F.col("l_partkey") % 997 * 4 + 1).cast("string"), F.lit(".jpg")).alias("deletion_key")))
+    li = fx.table(spark, d, "lineitem")
+    return review.sha_queue(li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ordinal"), F.concat(F.lit("o/"), F.col("l_orderkey").cast("string"), F.lit(".jpg")).alias("survivor_key"), F.concat(F.lit("o/"), (F.col("l_suppkey") % 499 * 8 + 5).cast("string"), F.lit(".jpg")).alias("deletion_key")))
 
 
 def _united(spark, d) -> DataFrame:
@@ -431,9 +431,9 @@ def sources_normalized(spark, d):
     return _sources(spark, d).select("ordinal", names.normalize_source(F.col("value"), SITE).alias("address"), names.source_name(F.col("value"), HOSTS).alias("name"))
 
 
-@query(sql("sources", then="SELECT ordinal, value FROM (SELECT ordinal, lower(value) AS l, value, row_number() OVER (PARTITION BY lower(value) ORDER BY ordinal) AS n FROM (SELECT ordinal, substr(value, 1, 16) AS value FROM sources)) WHERE n = 1"))
+@query(sql("sources", then="SELECT ordinal, value FROM (SELECT ordinal, lower(value) AS l, value, row_number() OVER (PARTITION BY lower(value) ORDER BY ordinal) AS n FROM sources) WHERE n = 1"))
 def sources_deduped(spark, d):
-    return inventory.dedupe_sources(_sources(spark, d).select("ordinal", F.substring("value", 1, 16).alias("value")))
+    return inventory.dedupe_sources(_sources(spark, d))
 
 
 @query()
