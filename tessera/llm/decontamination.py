@@ -13,7 +13,7 @@ windows are broadcast only up to a counted bound (``BROADCAST_WINDOWS``): blocks
 template is known are looked at word by word; beyond the bound, all windows of the documents are joined by a shuffle. An item shorter than a
 window is one window.
 
-Defined cases: null or empty texts and items, and rows without an id, match nothing; repeated documents (equal id) count once, repeated
+Defined cases: null or empty texts and items, and rows without an id, match nothing; texts of one id are judged each by itself, equal ones once; repeated
 items each by their id; ties among copies go to the earliest; texts of any length are handled whole; an empty benchmark or table gives no
 rows; other columns are ignored, whatever their names.
 """
@@ -42,6 +42,10 @@ UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg lb lbs pound pounds oz ounce ounces ton tons ml l litre litres liter liters "
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh dollar dollars euro euros cent cents usd eur percent degrees celsius".split()
 )
+# Numbers in words.
+NUMBER_WORDS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
+)
 _NUMBER = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?$")
 _NUMBER_UNIT = re.compile(r"([-+]?[$€£]?\d[\d.,]*)([A-Za-z]+)$")
 _STRIP = ".,;:!?\"'()[]{}<>*#$%&|-_`~…«»„“”"
@@ -63,6 +67,8 @@ def _kind(raw: str) -> tuple[int, str, str]:
             return NUMERAL, word, ""
         if (both := _NUMBER_UNIT.match(word)) and both[2].lower() in UNITS:
             return MEASURE, both[1], both[2].lower()
+    elif low in NUMBER_WORDS or "-" in low and NUMBER_WORDS.issuperset(low.split("-")):
+        return NUMERAL, low, ""
     return (CAPITAL if word[0].isupper() and not word.isupper() else PLAIN) | (MAYBE_UNIT if low in UNITS else 0), low, ""
 
 
@@ -185,13 +191,13 @@ def _mixed(h: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
-_WINDOWS = "id long, window long, place int, length int, slots array<string>"
+_WINDOWS = "id long, copy long, window long, place int, length int, slots array<string>"
 
 
-def _rows_of(ids: list[int], texts: list[str], sizes: list[int], known: np.ndarray | None = None) -> pa.RecordBatch:
-    """The windows of the texts; with ``known`` (sorted hashes) only those among them."""
+def _rows_of(rows: pa.RecordBatch, texts: list[str], sizes: list[int], known: np.ndarray | None = None) -> pa.RecordBatch:
+    """The windows of the texts, with their rows' id and copy; with ``known`` (sorted hashes) only those among them."""
     out: list[tuple] = []
-    for i, t in zip(ids, texts):
+    for i, t in enumerate(texts):
         words, held = template(t)
         for size in sizes:
             if size > len(words) and size != WINDOW:
@@ -202,13 +208,14 @@ def _rows_of(ids: list[int], texts: list[str], sizes: list[int], known: np.ndarr
                 found, at = found[keep], at[keep]
             out += [(i, h, k, len(words), held[k : k + min(size, len(words))]) for h, k in zip(found.view(np.int64).tolist(), at.tolist())]
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()))
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["id", "window", "place", "length", "slots"])
+    row, *found = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays([rows.column(0).take(row), rows.column(1).take(row), *found], names=["id", "copy", "window", "place", "length", "slots"])
 
 
 def _every_window(sizes: list[int]):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches):
-            yield _rows_of(part.column(0).to_pylist(), [t.decode("utf-8", "replace") for t in texts], sizes)
+            yield _rows_of(part, [t.decode("utf-8", "replace") for t in texts], sizes)
 
     return each
 
@@ -225,7 +232,7 @@ def _known_windows(sizes: list[int], known: np.ndarray, shapes: np.ndarray):
                 wanted[owner[shapes[np.minimum(np.searchsorted(shapes, hashes), len(shapes) - 1)] == hashes]] = True
             some = np.flatnonzero(wanted).tolist()
             if some:
-                yield _rows_of(part.column(0).take(pa.array(some)).to_pylist(), [texts[i] for i in some], sizes, known)
+                yield _rows_of(part.take(pa.array(some)), [texts[i] for i in some], sizes, known)
 
     return each
 
@@ -246,10 +253,12 @@ def judge(rows: list[tuple[int, int, list[str], list[str]]]) -> tuple[int, int]:
     def extend(copy: list[tuple], forward: dict[str, str], back: dict[str, str], covered: set[int]) -> int:
         agreed = 0
         for _, item_place, slots, item_slots in copy:
-            pairs = [(a, b) for a, b in zip(item_slots, slots) if a or b]
-            if all(forward.get(a, b) == b and back.get(b, a) == a for a, b in pairs):
-                forward.update(pairs)
-                back.update((b, a) for a, b in pairs)
+            pairs = {(a, b) for a, b in zip(item_slots, slots) if a or b}
+            there, here = dict(pairs), {b: a for a, b in pairs}
+            # the window's own slots must agree with each other, and with the map so far
+            if len(there) == len(here) == len(pairs) and all(forward.get(a, b) == b and back.get(b, a) == a for a, b in pairs):
+                forward.update(there)
+                back.update(here)
                 covered.update(range(item_place, item_place + len(slots)))
                 agreed += 1
         return agreed
@@ -267,28 +276,30 @@ def judge(rows: list[tuple[int, int, list[str], list[str]]]) -> tuple[int, int]:
 
 
 def _judged(matches: DataFrame) -> DataFrame:
-    """doc_id, item_id, covered, n_words, n_slots_changed of the matches' consistent windows."""
+    """doc_id, copy, item_id, covered, n_words, n_slots_changed of the matches' consistent windows."""
 
     def each(table: pa.Table) -> pa.Table:
-        doc, item, length = (table.column(k).to_numpy() for k in ("doc_id", "item_id", "length"))
-        order = np.lexsort((item, doc))
-        cuts = np.append(np.flatnonzero(np.append(True, (doc[order][1:] != doc[order][:-1]) | (item[order][1:] != item[order][:-1]))), len(order))
+        keys = np.stack([table.column(k).to_numpy() for k in ("doc_id", "copy", "item_id")])
+        length = table.column("length").to_numpy()
+        order = np.lexsort(keys[::-1])
+        cuts = np.append(np.flatnonzero(np.append(True, (keys[:, order][:, 1:] != keys[:, order][:, :-1]).any(axis=0))), len(order))
         out = []
         for a, b in zip(cuts[:-1], cuts[1:]):
             own = table.select(["place", "item_place", "slots", "item_slots"]).take(pa.array(order[a:b])).to_pydict()
-            out.append((doc[order[a]], item[order[a]], length[order[a]], *judge(list(zip(*own.values())))))
-        return pa.table({n: pa.array([int(x[j]) for x in out], pa.int64()) for n, j in (("doc_id", 0), ("item_id", 1), ("covered", 3), ("n_words", 2), ("n_slots_changed", 4))})
+            out.append((*keys[:, order[a]], *judge(list(zip(*own.values()))), length[order[a]]))
+        return pa.table({n: pa.array([int(x[j]) for x in out], pa.int64()) for n, j in (("doc_id", 0), ("copy", 1), ("item_id", 2), ("covered", 3), ("n_words", 5), ("n_slots_changed", 4))})
 
-    return matches.groupBy("bucket").applyInArrow(each, "doc_id long, item_id long, covered long, n_words long, n_slots_changed long")
+    return matches.groupBy("bucket").applyInArrow(each, "doc_id long, copy long, item_id long, covered long, n_words long, n_slots_changed long")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover: float = COVER) -> DataFrame:
-    """(doc_id, item_id, covered, n_words, n_slots_changed): each document and the items it gives away."""
+def contaminated_copies(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover: float = COVER) -> DataFrame:
+    """(doc_id, copy, item_id, covered, n_words, n_slots_changed): each text (``copy``: its hash) of an id and the items it gives away."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").alias("text")).dropna()
+    copy = lambda text: F.xxhash64(text).alias("copy")
+    items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.lit(0).cast("long").alias("copy"), F.col("text").alias("text")).dropna()
     held = staged(items.mapInArrow(_every_window([WINDOW]), _WINDOWS).distinct(), "benchmark-windows")
     n = held.count()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), copy(F.col(text_col)), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     short = [r[0] for r in held.filter(f"length < {WINDOW}").select("length").distinct().collect()]  # fewer than WINDOW values
     sizes = [WINDOW, *sorted(short)]
     mapper = _every_window(sizes)
@@ -296,16 +307,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         known = np.sort(np.array([r[0] for r in held.select("window").distinct().collect()], np.int64).view(U64))
         shapes = items.select("text").mapInArrow(_shapes_of([WINDOW]), "shape long").distinct().collect()  # no more than words of the items
         mapper = _known_windows(sizes, known, np.sort(np.array([r[0] for r in shapes], np.int64).view(U64)))
-    found = rows.mapInArrow(mapper, _WINDOWS).select(F.col("id").alias("doc_id"), "window", "place", "slots")
+    found = rows.mapInArrow(mapper, _WINDOWS).select(F.col("id").alias("doc_id"), "copy", "window", "place", "slots")
     side = held.select(F.col("id").alias("item_id"), "window", F.col("place").alias("item_place"), "length", F.col("slots").alias("item_slots"))
     matches = found.join(F.broadcast(side) if n <= BROADCAST_WINDOWS else side, "window").filter("size(slots) = size(item_slots)")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
-    judged = _judged(matches.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "item_id"), F.lit(buckets)).cast("int")))
+    judged = _judged(matches.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "copy", "item_id"), F.lit(buckets)).cast("int")))
     return judged.filter(F.col("covered") >= F.lit(cover) * F.col("n_words"))
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover: float = COVER) -> DataFrame:
+    """(doc_id, item_id, covered, n_words, n_slots_changed): each document and the items it gives away, by its text that covers most."""
+    found = contaminated_copies(docs, benchmark, id_col, text_col, cover)
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("covered", (-F.col("n_slots_changed")).alias("kept"), "n_words")).alias("b"))
+    return best.select("doc_id", "item_id", "b.covered", "b.n_words", (-F.col("b.kept")).alias("n_slots_changed"))
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that no item contaminates, with all their columns."""
-    bad = staged(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
-    kept = sized_semi_join(docs.withColumn("__id", F.col(id_col).cast("long")), bad, "left_anti", on="__id")
+    """The documents that no item contaminates, with all their columns; texts of one id are told apart."""
+    bad = staged(contaminated_copies(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy")).distinct(), "contaminated")
+    kept = sized_semi_join(docs.withColumns({"__id": F.col(id_col).cast("long"), "__copy": F.xxhash64(text_col)}), bad, "left_anti", on=["__id", "__copy"])
     return kept.select(*docs.columns)
