@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blocks, map_texts
+from tessera.llm.common import blocks, kept, map_texts
 
 #: Slices whose ids one worker remembers, and bytes of the longest.
 REMEMBERED, LONGEST_REMEMBERED = 150_000, 64
@@ -274,7 +274,7 @@ class ByteBpe:
             yield [*(starts[a:b] - first).tolist(), len(t)], ids[a:b]
 
 
-@lru_cache(maxsize=2)
+@kept
 def byte_bpe(rank_path: str) -> ByteBpe:
     with open(rank_path, "rb") as lines:
         return ByteBpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, map(bytes.strip, lines)))})

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +34,36 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[tuple, object] = {}
+_kept_task: list[int | None] = [None]
+
+
+def _task() -> int | None:
+    context = TaskContext.get()
+    return context.taskAttemptId() if context else None
+
+
+def kept(make: Callable) -> Callable:
+    """``make`` with its last result kept for the tasks that follow in the worker; all functions of this kind share one place.
+
+    A worker serves the stages of many operators one after the other: ``blocks`` in a task that asks for nothing kept lets go of what another operator left.
+    """
+
+    @wraps(make)
+    def get(*key):
+        _kept_task[0] = _task()
+        if (make, key) not in _kept:
+            _kept.clear()
+            _kept[make, key] = make(*key)
+        return _kept[make, key]
+
+    return get
+
+
 def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with at most ``most`` bytes of text (or one row), and their texts as UTF-8; null is empty."""
+    if _kept and _kept_task[0] != _task():
+        _kept.clear()
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
         sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
@@ -43,6 +73,7 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = BL
                 yield batch.slice(start, i - start), [b"" if x is None else x for x in column.slice(start, i - start).to_pylist()]
                 start, size = i, 0
             size += n
+    pa.default_memory_pool().release_unused()
 
 
 def map_texts(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, *keep: str) -> DataFrame:

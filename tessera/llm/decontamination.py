@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Remembered, blocks, sized_semi_join, staged
+from tessera.llm.common import Remembered, blocks, kept, sized_semi_join, staged
 from tessera.llm.kernels import PLACE, U64, mix
 
 WINDOW, LITERAL, COVER = 8, 4, 0.5
@@ -53,7 +53,6 @@ _STRIP = ".,;:!?\"'()[]{}<>*#$%&|-_`~…«»„“”"
 
 PLAIN, CAPITAL, NUMERAL, MEASURE, EMPTY, MAYBE_UNIT = 0, 1, 2, 3, 4, 8
 _REMEMBERED = 200_000
-_hashes: dict[str, int] = {}
 
 
 def _kind(raw: str) -> tuple[int, str, str]:
@@ -151,10 +150,15 @@ class Shapes:
         return out
 
 
-def _hash(word: str) -> int:
-    if len(_hashes) >= _REMEMBERED:
-        _hashes.clear()
-    _hashes[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+@kept
+def _word_hashes() -> dict[str, int]:
+    return {}
+
+
+def _hash(word: str, known: dict[str, int]) -> int:
+    if len(known) >= _REMEMBERED:
+        known.clear()
+    known[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
     return h
 
 
@@ -164,8 +168,8 @@ def windows(words: list[str], size: int = WINDOW, literal: int = LITERAL, slots:
     size = min(size, n)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    known = _hashes
-    h = np.array([known.get(w) or _hash(w) for w in words], np.uint64)
+    known = _word_hashes()
+    h = np.array([known.get(w) or _hash(w, known) for w in words], np.uint64)
     plain = np.fromiter((w not in (NUMBER, UNIT, NAME) for w in words), np.int64, n)
     totals = np.concatenate([[0], np.cumsum(plain)])
     enough = totals[size:] - totals[: n - size + 1] >= min(literal, size)
@@ -177,7 +181,7 @@ def windows(words: list[str], size: int = WINDOW, literal: int = LITERAL, slots:
     held = h.copy()
     for i in np.flatnonzero(plain == 0).tolist():
         word = f"{words[i]} {slots[i]}"
-        held[i] = known.get(word) or _hash(word)
+        held[i] = known.get(word) or _hash(word, known)
     return np.append(found, mix(_mixed(held, dense, size) ^ _VERBATIM)), np.append(places, dense)
 
 
@@ -214,6 +218,7 @@ def _rows_of(rows: pa.RecordBatch, texts: list[str], sizes: list[int], known: np
 
 def _every_window(sizes: list[int]):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _word_hashes()  # kept from task to task
         for part, texts in blocks(batches):
             yield _rows_of(part, [t.decode("utf-8", "replace") for t in texts], sizes)
 
@@ -225,6 +230,7 @@ def _known_windows(sizes: list[int], known: np.ndarray, shapes: np.ndarray):
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shapes()
+        _word_hashes()  # kept from task to task
         for part, whole in blocks(batches):
             texts = [t.decode("utf-8", "replace") for t in whole]
             wanted = np.zeros(len(texts), bool)

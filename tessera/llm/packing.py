@@ -24,14 +24,13 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Remembered, blocks, map_texts, staged
+from tessera.llm.common import Remembered, blocks, kept, map_texts, staged
 
 LIMIT, END = 2048, 0
 #: Pieces that one task packs, and those below which one shard does the rest.
@@ -84,7 +83,7 @@ class IdEncoder:
         return b"".join(map(self.known.__getitem__, self.pattern.findall(text)))
 
 
-@lru_cache(1)
+@kept
 def id_encoder(path: str) -> IdEncoder:
     return IdEncoder(path)
 
