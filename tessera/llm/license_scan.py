@@ -5,7 +5,8 @@ templates below, on remarks that only mention or deny licences, and on a bounded
 (``NEGATIVES``); the last two are the unknown class. N-grams that ordinary paragraphs hold are left out, so the
 weights are a sparse table. Its confidence is calibrated on held-out variants and paragraphs: the threshold
 is the least at which no held-out paragraph of the unknown class is named. A named paragraph is confirmed if it
-holds enough of the n-grams of one of the family's templates, or all of one of its short forms; if not, it is reported as unknown.
+holds enough of the n-grams of one of the family's templates, or all of one of its short forms; if not, it is reported as unknown. A paragraph with a word that denies or excepts is not confirmed by a
+notice without such a word, and a short form needs a word that gives a licence beside it, or to stand nearly alone.
 
 Rows are handled by DataFrame functions alone: paragraphs (lines with words) explode to n-grams, which meet
 the weights in a broadcast join - their number is bounded by the templates - and sums per
@@ -71,6 +72,10 @@ DENIALS = [
     "Nothing here is released under the Mozilla Public License.", "Read why the GNU Lesser General Public License was replaced.", "This file is not licensed under CC BY 4.0.", "The package was never released under the BSD 3-Clause License.",
 ]
 
+# Words that deny or except, and words that give a licence or claim a right.
+DENYING = sorted("not no never nor neither without cannot isn aren wasn weren doesn don didn won hasn haven excluded excludes exclude excluding except exempt unlike instead".split())
+GIVING = sorted("licensed released distributed copyright copyrighted c spdx-license-identifier subject terms granted permitted available provided governed dedicated".split())
+
 _WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -141,7 +146,9 @@ def train(paragraphs: list[str], seed: int = 7) -> tuple[list[str], dict[str, li
 def _paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row, doc_id, line, words of each line with words."""
     lines = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line", "paragraph"))
-    return lines.select("row", "doc_id", "line", F.regexp_extract_all(F.lower("paragraph"), F.lit(_WORD), F.lit(0)).alias("words")).filter("size(words) > 0")
+    found = lines.select("row", "doc_id", "line", F.regexp_extract_all(F.lower("paragraph"), F.lit(_WORD), F.lit(0)).alias("words")).filter("size(words) > 0")
+    has = lambda listed: F.arrays_overlap("words", F.array(*map(F.lit, listed)))
+    return found.withColumn("said", F.struct(F.size("words").alias("n"), has(DENYING).alias("denies"), has(GIVING).alias("gives")))
 
 
 def _sample(docs: DataFrame, id_col: str, text_col: str) -> list[str]:
@@ -160,17 +167,20 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     families, weights, bias, threshold = train(_sample(docs, id_col, text_col))
     table = spark.createDataFrame([(g, w) for g, w in weights.items()], "gram string, w array<double>")  # the templates' n-grams
-    notices = spark.createDataFrame([(f, sorted(grams(t)), forms is SHORT_FORMS) for forms in (TEMPLATES, SHORT_FORMS) for f, ts in forms.items() for t in ts], "family string, template array<string>, short boolean")
-    hits = _paragraphs(docs, id_col, text_col).select("row", "doc_id", "line", F.explode(F.array_distinct(F.expr(_GRAMS))).alias("gram")).join(F.broadcast(table), "gram")
-    sums = hits.groupBy("row", "doc_id", "line").agg(F.collect_set("gram").alias("held"), *[F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(len(families))])
+    notices = [(f, sorted(grams(t)), forms is SHORT_FORMS, len(words(t)), set(DENYING).isdisjoint(words(t))) for forms in (TEMPLATES, SHORT_FORMS) for f, ts in forms.items() for t in ts]
+    notices = spark.createDataFrame(notices, "family string, template array<string>, short boolean, n int, plain boolean")
+    hits = _paragraphs(docs, id_col, text_col).select("row", "doc_id", "line", "said", F.explode(F.array_distinct(F.expr(_GRAMS))).alias("gram")).join(F.broadcast(table), "gram")
+    sums = hits.groupBy("row", "doc_id", "line").agg(F.first("said").alias("said"), F.collect_set("gram").alias("held"), *[F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(len(families))])
     z = [F.col(f"z{k}") + F.lit(bias[k]) for k in range(len(families))]
     top = F.greatest(*z)
     total = sum((F.exp(x - top) for x in z[1:]), F.exp(z[0] - top))
     best = F.coalesce(*[F.when(x == top, F.lit(f)) for x, f in zip(z, families)])
-    judged = sums.select("row", "doc_id", "line", "held", best.alias("family"), (1 / total).alias("confidence")).filter(F.col("family") != UNKNOWN)
+    judged = sums.select("row", "doc_id", "line", "held", "said", best.alias("family"), (1 / total).alias("confidence")).filter(F.col("family") != UNKNOWN)
     share = F.size(F.array_intersect("held", "known")) / F.size("known")
-    share = F.when(~F.col("short") | (share == 1), share)
-    known = notices.join(F.broadcast(table.agg(F.collect_set("gram").alias("vocabulary")))).select("family", "short", F.array_intersect("template", "vocabulary").alias("known")).filter("size(known) > 0")
+    # a notice that denies nothing itself is not confirmed by a paragraph that does; a short form needs a word that gives, or next to nothing beside it
+    stands = ~(F.col("plain") & F.col("said.denies")) & (~F.col("short") | F.col("said.gives") | (3 * F.col("said.n") <= 4 * F.col("n")))
+    share = F.when((~F.col("short") | (share == 1)) & stands, share)
+    known = notices.join(F.broadcast(table.agg(F.collect_set("gram").alias("vocabulary")))).select("family", "short", "n", "plain", F.array_intersect("template", "vocabulary").alias("known")).filter("size(known) > 0")
     compared = judged.join(F.broadcast(known), "family", "left").withColumn("similarity", F.coalesce(share, F.lit(0.0)))
     first = compared.groupBy("row", "doc_id", "line").agg(F.first("family").alias("family"), F.first("confidence").alias("confidence"), F.max("similarity").alias("similarity"))
     confirmed = (F.col("confidence") >= threshold) & (F.col("similarity") >= CONFIRM)

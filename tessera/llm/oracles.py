@@ -27,4 +27,26 @@ HARD_NEGATIVES = """WITH rows_ AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN
     SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS INT) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
     FROM positive p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score QUALIFY rank <= 10"""
 
-ORACLES = {"op11_spelling_variants": SPELLING, "op13_hard_negatives": HARD_NEGATIVES}
+JACCARD = """WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    cut AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM texts),
+    sized AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM cut),
+    each AS (SELECT doc_id, unnest(s) AS g FROM cut),
+    met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM each a JOIN each b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM met JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * m >= 75 * (x.n + y.n - m)),
+    both_ AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reached AS (SELECT doc_id AS a, doc_id AS b FROM sized UNION SELECT r.a, l.b FROM reached r JOIN both_ l ON l.a = r.b)
+    SELECT s.doc_id, s.n AS n_shingles, (SELECT min(b) FROM reached r WHERE r.a = s.doc_id) AS component_id FROM sized s"""
+SUFFIX = """WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    starts AS (SELECT doc_id, unnest(range(0, CAST(length(h) / 2 AS BIGINT) - 49)) AS i, h FROM texts),
+    windows AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS w FROM starts),
+    first_ AS (SELECT w, min(doc_id) AS d FROM windows GROUP BY w HAVING min(doc_id) <> max(doc_id)),
+    hit AS (SELECT v.doc_id, v.i, v.i - coalesce(lag(v.i) OVER (PARTITION BY v.doc_id ORDER BY v.i), -1000) > 50 AS new FROM windows v JOIN first_ f ON f.w = v.w AND f.d < v.doc_id),
+    grouped AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hit),
+    spans AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM grouped GROUP BY ALL),
+    gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans UNION ALL SELECT t.doc_id, coalesce(s.b, 0), CAST(length(h) / 2 AS BIGINT) FROM texts t LEFT JOIN (SELECT doc_id, max(b) AS b FROM spans GROUP BY 1) s ON s.doc_id = t.doc_id),
+    kept AS (SELECT g.doc_id, string_agg(substr(t.h, 2 * g.a + 1, 2 * (g.b - g.a)), '' ORDER BY g.a) AS h FROM gaps g JOIN texts t ON t.doc_id = g.doc_id GROUP BY 1),
+    counted AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS n FROM spans GROUP BY 1)
+    SELECT t.doc_id, CAST(length(t.h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(c.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(c.n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.h, ''))) AS kept_sha256
+    FROM texts t LEFT JOIN counted c ON c.doc_id = t.doc_id LEFT JOIN kept k ON k.doc_id = t.doc_id"""
+
+ORACLES = {"op2_ngram_jaccard_join": JACCARD, "op4_suffix_dedup": SUFFIX, "op11_spelling_variants": SPELLING, "op13_hard_negatives": HARD_NEGATIVES}
