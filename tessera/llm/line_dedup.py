@@ -17,8 +17,8 @@ k classes lines that (k - 1) / 2 edits part meet surely, and others by chance; l
 
 Defined cases: null and empty texts and an empty table have no lines to remove; a row is known by its id and its text, so rows of one id and
 other texts are documents of their own, and repeated rows are one document, which keeps its lines in each; rows without an id
-stay whole; ties go to the smaller line number. Lines of any length take part; beyond ``LONG`` characters they link
-if an alignment by words shows the similarity (the exact distance takes the square of the length). Other columns pass through
+stay whole; ties go to the smaller line number. Lines of any length take part, and what meets is judged by the exact distance (its time is the
+square of the length; beyond ``LONG`` characters only the band of the table that a near pair can reach is computed). Other columns pass through
 ``dedup_documents``; columns that are named like its two counts are replaced.
 """
 
@@ -51,8 +51,8 @@ CLASSES = [(12, 30, 4), (24, 160, 6), (128, 1 << 60, 12)]
 HALVES = 15
 #: Tokens that a block needs.
 BLOCK_TOKENS = 2
-#: Characters from which the exact edit distance is not computed, and members of a group that one task compares.
-LONG, PART = 20_000, 4096
+#: Characters from which the edit distance is computed in a band, and members of a group that one task compares.
+LONG, PART = 2_000, 4096
 
 _TOKEN = kernels.IS_WORD.copy()
 _TOKEN[list(string.punctuation.encode())] = False
@@ -231,9 +231,11 @@ def alike(a: str, b: str) -> bool:
         return True
     if _aligned(a, b, most):
         return True
-    if len(a) > LONG or (Counter(a) - Counter(b)).total() > most:
+    if (Counter(a) - Counter(b)).total() > most:
         return False
-    return _distance(a, b, most) <= most
+    if len(b) <= LONG:
+        return _distance(a, b, most) <= most
+    return any(_within(a, b, k) for k in (most // 16, most // 4, most))
 
 
 def _distance(a: str, b: str, most: int) -> int:
@@ -261,6 +263,56 @@ def _distance(a: str, b: str, most: int) -> int:
     return distance
 
 
+#: Bits of the masks that ``_within`` keeps.
+MASKS = 1 << 28
+
+
+def _within(a: str, b: str, most: int) -> bool:
+    """Whether the Levenshtein distance (a no shorter than b) is at most ``most``; bit-parallel columns, of each only the rows that a path of so few edits can reach.
+
+    Columns go in runs that share a window of rows. Outside the window each step counts as an edit, which no path of
+    ``most`` edits needs, so distances up to ``most`` are exact. The run ends early if no row of the window can end in ``most``.
+    """
+    longer, n = len(a), len(b)
+    spare = most - (longer - n)
+    if spare < 0:
+        return False
+    above = spare // 2
+    below = above + longer - n
+    run = max(256, (above + below) // 4)
+    codes = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = high = up = down = distance = 0
+    for j in range(0, longer, run):
+        piece = a[j : j + run]
+        done = j + len(piece)
+        up, down, low = up >> max(0, j - below) - low, down >> max(0, j - below) - low, max(0, j - below)
+        new = min(n, done + above) - high
+        up |= ((1 << new) - 1) << high - low
+        high, distance = high + new, distance + new
+        size = high - low
+        window, full, top = codes[low:high], (1 << size) - 1, (1 << size) >> 1
+        masks: dict[str, int] = {}
+        for c in piece:
+            eq = masks.get(c)
+            if eq is None:
+                if len(masks) * size > MASKS:
+                    masks.clear()
+                eq = masks[c] = int.from_bytes(np.packbits(window == ord(c), bitorder="little").tobytes(), "little")
+            x = (((eq & up) + up) ^ up) | eq | down
+            plus, minus = down | ~(x | up) & full, up & x
+            if plus & top:
+                distance += 1
+            elif minus & top:
+                distance -= 1
+            plus = (plus << 1 | 1) & full
+            up, down = (minus << 1 & full) | ~((eq | down) | plus) & full, plus & (eq | down)
+        steps = [np.unpackbits(np.frombuffer(v.to_bytes(size // 8 + 1, "little"), np.uint8), bitorder="little")[:size].astype(np.int64) for v in (up, down)]
+        rows = distance - np.append(np.cumsum((steps[0] - steps[1])[::-1])[::-1], 0)
+        if (rows + np.abs((longer - done) - (n - low - np.arange(size + 1)))).min() > most:
+            return False
+    return distance <= most
+
+
 def edit_similarity(a: str, b: str) -> float:
     """1 - Levenshtein distance / longer length."""
     longer = max(len(a), len(b))

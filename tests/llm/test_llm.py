@@ -172,6 +172,41 @@ def test_very_long_lines(spark):
     assert out[1].n_removed == 0 and out[2].n_removed == 1 and out[3].n_removed == 0 and out[4].n_removed == 20_000 and out[4].text == ""
 
 
+def long_lines():
+    """A line of more than 20,000 characters, and it with two neighbouring runs of 20 words exchanged at two places."""
+    rng = random.Random(6)
+    words = list(dict.fromkeys("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 9))) for _ in range(4_500)))
+    other = list(words)
+    for i in (300, 4_000):
+        other[i : i + 40] = words[i + 20 : i + 40] + words[i : i + 20]
+    return " ".join(words), " ".join(other)
+
+
+def test_long_lines_are_judged_by_the_exact_distance(spark):
+    a, b = long_lines()
+    assert len(b) > 20_000 and line_dedup.alike(a, b) and line_dedup.alike(b, a)
+    assert not line_dedup.alike(a, a[len(a) // 2 :] + a[: len(a) // 2])
+    rng = random.Random(7)
+    inner = "".join(rng.choice("kl") if i % 8 == 3 else c for i, c in enumerate(a))
+    far = "".join(rng.choice("kl") if i % 4 == 3 else c for i, c in enumerate(a))
+    assert line_dedup.alike(a, inner) and not line_dedup.alike(a, far)
+    assert dropped(frame(spark, [(1, a), (2, b), (3, far)])) == {(2, 0)}
+
+
+def test_band_of_the_distance_is_exact():
+    rng = random.Random(9)
+    for _ in range(300):
+        letters = rng.choice(["ab", "abcdefgh", "ab \u4e00\u4e01"])
+        a = [rng.choice(letters) for _ in range(rng.choice([1, 5, 40, 400, 900]))]
+        b = list(a)
+        for _ in range(rng.randrange(max(2, len(a) // 3))):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(2)] = rng.choice(["", *letters])
+        a, b = sorted(("".join(a), "".join(b)), key=len, reverse=True)
+        d = line_dedup._distance(a, b, len(a))
+        assert all(line_dedup._within(a, b, k) == (d <= k) for k in (0, d - 1, d, d + 1, len(a) // 5, len(a)) if b and k >= 0)
+
+
 def test_near_lines_are_found_by_edit_similarity_alone(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
