@@ -67,8 +67,8 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(change == 1), np.append(np.flatnonzero(change == -1), []).astype(np.int64)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    out = span_hashes(prefix_sums(data), starts, ends)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    out = span_hashes(prefix_sums(data) if sums is None else sums, starts, ends)
     for i in np.flatnonzero(ends - starts > LONG_WORD):
         out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
     return out

@@ -10,7 +10,7 @@ k classes lines that (k - 1) / 2 edits part meet surely, and others by chance; l
 
 1. Equal lines: each block of texts sends a line once, for its first occurrence; others of the block are dropped at
    once. A window over the few that remain finds the first occurrence of each distinct line.
-2. Distinct lines meet by block; in a group each is held against the group's least line and the two before it, if their
+2. Distinct lines meet by block; in a group each is held against the group's first line and the two before it, if their
    SimHashes differ in ``BITS`` bits at most. Edit similarity verifies them, links make components; groups that still
    span several compare the rest of their pairs, those of different components within ``BITS`` bits; a large group in parts.
 3. Of each component the first occurrence stays, in the order of (doc_id, hash of the text, line number).
@@ -30,7 +30,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,7 +117,8 @@ class Lines:
         begin, end = _tokens(data)
         line_of = np.cumsum(data == 10, dtype=np.int32)
         self.token_line = line_of[begin]
-        self.token_hash = kernels.word_hashes(data, begin, end)
+        sums = kernels.prefix_sums(data)
+        self.token_hash = kernels.word_hashes(data, begin, end, sums)
         self.tokens = np.bincount(self.token_line, minlength=len(starts))
         begin, end = kernels.words(data)
         end = end[: len(begin)]
@@ -126,7 +126,8 @@ class Lines:
         first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else line
         place = np.arange(len(line)) - np.repeat(first, np.diff(np.append(first, len(line))))
         factor = kernels.mix((place + 1).astype(U64) * _FIRST) | U64(1)
-        h = kernels.word_hashes(data, begin, end)
+        h = kernels.word_hashes(data, begin, end, sums)
+        del sums
         points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         self.key = np.zeros((len(starts), 2), U64)
         self.length = np.zeros(len(starts), np.int64)
@@ -198,8 +199,10 @@ def _unlike(a: str, b: str) -> tuple[str, str]:
 
 
 def _aligned(a: str, b: str, most: int) -> bool:
-    """Whether an alignment by equal words, greedy from the left, needs ``most`` edits or fewer."""
+    """Whether an alignment by equal words, by their numbers or greedy from the left, needs ``most`` edits or fewer."""
     wa, wb = a.split(" "), b.split(" ")
+    if len(wa) == len(wb) and sum(max(len(x), len(y)) for x, y in zip(wa, wb) if x != y) <= most:
+        return True
     places: dict[str, list[int]] = {}
     for j, w in enumerate(wb):
         places.setdefault(w, []).append(j)
@@ -219,18 +222,18 @@ def _aligned(a: str, b: str, most: int) -> bool:
     return cost + max(here - last_a, at_b[-1] - at_b[next_b]) <= most
 
 
-def alike(a: str, b: str) -> bool:
-    """Whether the Levenshtein distance is at most a fifth of the longer length."""
+def _begun(a: str, b: str) -> bool | tuple[str, str, int]:
+    """Whether a and b are alike, if that is soon known; else what is left of them (the longer first), and the most edits."""
     if len(a) < len(b):
         a, b = b, a
     most = len(a) * (5 - ALIKE) // 5
     if len(a) - len(b) > most:
         return False
     a, b = _unlike(a, b)
-    if len(a) <= most:
-        return True
-    if _aligned(a, b, most):
-        return True
+    return len(a) <= most or _aligned(a, b, most) or (a, b, most)
+
+
+def _ended(a: str, b: str, most: int) -> bool:
     if (Counter(a) - Counter(b)).total() > most:
         return False
     if len(b) <= LONG:
@@ -238,6 +241,44 @@ def alike(a: str, b: str) -> bool:
     return any(_within(a, b, k) for k in (most // 16, most // 4, most))
 
 
+def alike(a: str, b: str) -> bool:
+    """Whether the Levenshtein distance is at most a fifth of the longer length."""
+    found = _begun(a, b)
+    return found if isinstance(found, bool) else _ended(*found)
+
+
+def all_alike(pairs: list[tuple[str, str]]) -> list[bool]:
+    """``alike`` of each pair."""
+    found = [_begun(a, b) for a, b in pairs]
+    left = [x for x in found if not isinstance(x, bool)]
+    far = iter(_far(left))
+    return [x if isinstance(x, bool) else not next(far) and _ended(*x) for x in found]
+
+
+#: Bags that strings of three characters are counted in, and pairs that are counted at once.
+BAGS, PAIRS = 2048, 16
+
+
+def _far(pairs: list[tuple[str, str, int]]) -> np.ndarray:
+    """Pairs (the longer first) that surely need more edits than their most: an edit takes away three strings of three characters, no more."""
+    out = np.zeros(len(pairs), bool)
+    for at in range(0, len(pairs), PAIRS):
+        longer, shorter, most = zip(*pairs[at : at + PAIRS])
+        more = _bags(longer)
+        more -= _bags(shorter)
+        out[at : at + PAIRS] = np.maximum(more, 0, out=more).sum(axis=1) > 3 * np.array(most)
+    return out
+
+
+def _bags(texts: tuple[str, ...]) -> np.ndarray:
+    """How many of each text's strings of three characters fall into each bag."""
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    own = np.repeat(np.arange(len(texts)) * BAGS, [len(t) for t in texts])
+    bag = ((code[:-2] * np.uint32(31) + code[1:-1]) * np.uint32(31) + code[2:]) * np.uint32(2654435769) >> np.uint32(21)
+    whole = own[:-2] == own[2:]
+    return np.bincount((own[:-2] + bag)[whole], minlength=len(texts) * BAGS).reshape(-1, BAGS)
+
+
 def _distance(a: str, b: str, most: int) -> int:
     """Levenshtein distance by bit-parallel columns; beyond ``most`` any number beyond it."""
     n, full = len(b), (1 << len(b)) - 1
@@ -363,44 +404,85 @@ def _close(sim: np.ndarray, n: np.ndarray, other_sim: np.ndarray, other_n: np.nd
 
 
 _MEETINGS = "block long, id long, sim long, length long, mates array<long>"
+#: Buckets of blocks for each task; rows that go to a bucket as one piece; rows that are dealt, and compared, at once.
+BUCKETS, PIECE, DEALT = 16, 256, 1 << 18
+
 
+def _dealt(lines: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, rows) of lines (blocks, id, sim, length): a block's rows (block, id, sim, length) in pieces of 64-bit numbers, as single rows cost many times as much to shuffle."""
 
-def _meetings(met: DataFrame) -> DataFrame:
-    """Lines of blocks with several, with their near ones among the block's first line and the two before; met: block, id, sim, length in this order."""
+    def pieces(rows: np.ndarray) -> pa.RecordBatch:
+        bucket = rows[:, 0].view(U64) % U64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows[order], bucket[order].astype(np.int32)
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        starts = np.concatenate([np.arange(a, b, PIECE) for a, b in zip(starts, np.append(starts[1:], len(rows)))])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array([x.tobytes() for x in np.split(rows, starts[1:])], pa.binary())], names=["bucket", "rows"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.zeros((0, 4), np.int64)  # the first and the last three lines of the block that a batch ends in
+        held, n = [], 0
         for batch in batches:
-            new = np.stack([batch.column(k).to_numpy() for k in range(4)], axis=1)
-            rows = np.concatenate([kept, new])
-            if not len(rows):
-                continue
-            block, ids, sim, n = rows.T
-            at = np.arange(len(rows))
-            head = np.append(True, block[1:] != block[:-1])
-            first = np.maximum.accumulate(np.where(head, at, 0))
-            fresh = at >= len(kept)
-            # a block's first line goes out with its second
-            second = fresh & (at == first + 1)
-            out = fresh & (at > first)
-            mates = np.full((len(rows), 3), -1, np.int64)
-            for k, back in enumerate((at - first, np.ones_like(at), np.full_like(at, 2))):
-                other = at - back
-                ok = out & (other >= first) & ((k == 0) | (other > first))
-                i, j = at[ok], other[ok]
-                near = _close(sim[i], n[i], sim[j], n[j])
-                mates[i[near], k] = ids[j[near]]
-            last = int(first[-1])
-            whole = at[second] - 1
-            pick = np.concatenate([whole, at[out]])
-            found = mates[pick]
-            there = found >= 0
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(rows[pick, k]) for k in range(4)), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(there.sum(axis=1))), pa.int32()), pa.array(found[there]))], names=["block", "id", "sim", "length", "mates"]
-            )
-            kept = rows[[last, *range(max(last + 1, len(rows) - 2), len(rows))]]
+            found = batch.column(0)
+            size = found.value_lengths().to_numpy()
+            own = (np.repeat(batch.column(k).to_numpy(), size) for k in range(1, 4))
+            held.append(np.stack([found.flatten().to_numpy(), *own], axis=1))
+            n += len(held[-1])
+            if n >= DEALT:
+                yield pieces(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            yield pieces(np.concatenate(held))
+
+    return lines.select("blocks", "id", "sim", F.col("length").cast("long")).mapInArrow(each, "bucket int, rows binary")
+
+
+def _meetings(lines: DataFrame) -> DataFrame:
+    """Lines (blocks, id, sim, length) of blocks with several, with their near ones among the block's first line and the two before, in any order."""
+
+    def compared(rows: np.ndarray, n_kept: int) -> tuple[pa.RecordBatch, np.ndarray]:
+        """What ``rows`` give, the first ``n_kept`` of which are the first and the last two of the blocks so far, and the rows to keep for the next."""
+        order = np.argsort(rows[:, 0], kind="stable")
+        rows, fresh = rows[order], order >= n_kept
+        block, ids, sim, n = rows.T
+        at = np.arange(len(rows))
+        head = np.append(True, block[1:] != block[:-1])
+        first = np.maximum.accumulate(np.where(head, at, 0))
+        # a block's first line goes out with its second
+        second = fresh & (at == first + 1)
+        out = fresh & (at > first)
+        mates = np.full((len(rows), 3), -1, np.int64)
+        for k, back in enumerate((at - first, np.ones_like(at), np.full_like(at, 2))):
+            other = at - back
+            ok = out & (other >= first) & ((k == 0) | (other > first))
+            i, j = at[ok], other[ok]
+            near = _close(sim[i], n[i], sim[j], n[j])
+            mates[i[near], k] = ids[j[near]]
+        pick = np.concatenate([at[second] - 1, at[out]])
+        found = mates[pick]
+        there = found >= 0
+        last = np.append(head[1:], True)
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(rows[pick, k]) for k in range(4)), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(there.sum(axis=1))), pa.int32()), pa.array(found[there]))], names=["block", "id", "sim", "length", "mates"]
+        ), rows[head | last | np.append(last[1:], False)]
 
-    return met.repartition("block").sortWithinPartitions("block", "id").mapInArrow(each, _MEETINGS)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros((0, 4), np.int64)
+        kept, held, n, now = none, [], 0, None
+        for batch in batches:
+            for bucket, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if n and (bucket != now or n >= DEALT):
+                    out, kept = compared(np.concatenate([kept, *held]), len(kept))
+                    yield out
+                    held, n = [], 0
+                if bucket != now:
+                    kept, now = none, bucket
+                held.append(np.frombuffer(rows.as_buffer(), np.int64).reshape(-1, 4))
+                n += len(held[-1])
+        if n:
+            yield compared(np.concatenate([kept, *held]), len(kept))[0]
+
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _dealt(lines, BUCKETS * tasks).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(each, _MEETINGS)
 
 
 def _rest(groups: DataFrame) -> DataFrame:
@@ -447,8 +529,8 @@ def _links(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ta, tb = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
-            yield batch.select(["a", "b"]).filter(pa.array([alike(x, y) for x, y in zip(ta, tb)], pa.bool_()))
+            both = list(zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()))
+            yield batch.select(["a", "b"]).filter(pa.array(all_alike(both), pa.bool_()))
 
     wanted = lines.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
     wanted = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("id", "line")).alias("wanted"))
@@ -467,15 +549,14 @@ def dropped_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     seen = seen.withColumn("later", F.col("later") | (place > F.col("first"))).drop("first", "k1", "k2").withColumn("id", F.monotonically_increasing_id())
     seen = staged(seen, "line-occurrences")
     lines = seen.filter("not later and size(blocks) > 0")
-    met = lines.select(F.explode("blocks").alias("block"), "id", "sim", F.col("length").cast("long").alias("length"))
-    met = staged(_meetings(met), "line-meetings")
-    pairs = staged(met.filter("size(mates) > 0").select(F.explode("mates").alias("a"), F.col("id").alias("b")).distinct(), "line-pairs")
+    met = staged(_meetings(lines), "line-meetings")
+    pairs = staged(met.filter("size(mates) > 0").select(F.explode("mates").alias("mate"), "id").select(F.least("mate", "id").alias("a"), F.greatest("mate", "id").alias("b")).distinct(), "line-pairs")
     of = lines.select("id", "doc_id", "h", "line")
     if not docs.groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
         docs = docs.dropDuplicates(["doc_id", "h"])
     links = _links(pairs, of, docs)
     found = connected_components(links)
-    # the least line and two before each are all pairs of up to four members
+    # the first line and two before each are all pairs of up to four members
     members = F.count(F.lit(1)).over(Window.partitionBy("block"))
     several = met.withColumn("members", members).filter("members > 4").select("block", "members", "id", "sim", "length").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = several.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("block")
@@ -488,13 +569,13 @@ def dropped_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     return seen.filter("later").select("doc_id", "h", "line").union(fuzzy)
 
 
-@F.pandas_udf(StringType())
-def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
-    def rest(text: str, lines) -> str:
-        out = set(lines.tolist())
+@F.arrow_udf(StringType())
+def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    def rest(text: str, lines: list[int]) -> str:
+        out = set(lines)
         return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in out)
 
-    return pd.Series([rest(t, g) for t, g in zip(texts, gone)], dtype="object")
+    return pa.array((rest(t.as_py(), g.as_py()) for t, g in zip(texts, gone)), pa.string(), size=len(texts))
 
 
 def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:

@@ -207,6 +207,32 @@ def test_band_of_the_distance_is_exact():
         assert all(line_dedup._within(a, b, k) == (d <= k) for k in (0, d - 1, d, d + 1, len(a) // 5, len(a)) if b and k >= 0)
 
 
+def test_pairs_judged_together_are_judged_alike():
+    rng = random.Random(10)
+    lines = ["".join(rng.choice("abcdef  ") for _ in range(rng.choice([0, 1, 2, 3, 30, 90]))) for _ in range(40)]
+    lines += ["".join(rng.choice("xyz") if rng.random() < share else c for c in x) for x in lines for share in (0.05, 0.15, 0.25)]
+    pairs = [(a, b) for a in lines for b in rng.sample(lines, 12)] + list(zip(lines[:40] * 3, lines[40::3] + lines[41::3] + lines[42::3]))
+    expected = [levenshtein(a, b) <= 0.2 * max(len(a), len(b)) for a, b in pairs]
+    assert line_dedup.all_alike(pairs) == expected == [line_dedup.alike(a, b) for a, b in pairs] and any(expected) and not all(expected)
+
+
+def test_meetings_of_blocks_in_pieces(spark, monkeypatch):
+    for name, value in (("DEALT", 40), ("PIECE", 7), ("BUCKETS", 1)):
+        monkeypatch.setattr(line_dedup, name, value)
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(4), rng.randrange(90, 130), sorted({rng.choice([rng.randrange(6), rng.randrange(-900, 900)]) for _ in range(3)})) for i in range(900)]
+    got = line_dedup._meetings(spark.createDataFrame(rows, "id long, sim long, length int, blocks array<long>").repartition(3)).collect()
+    members = {b: sorted(i for i, _, _, blocks in rows if b in blocks) for b in {b for r in rows for b in r[3]}}
+    own = {r[0]: r for r in rows}
+    close = lambda i, j: 5 * min(own[i][2], own[j][2]) >= 4 * max(own[i][2], own[j][2])
+    for block, ids in members.items():
+        here = [r for r in got if r.block == block]
+        assert sorted(r.id for r in here) == (ids if len(ids) > 1 else [])
+        pairs = {(min(m, r.id), max(m, r.id)) for r in here for m in r.mates}
+        every = {(i, j) for i in ids for j in ids if i < j and close(i, j)}
+        assert pairs <= every and (len(ids) > 4 or pairs == every)
+
+
 def test_near_lines_are_found_by_edit_similarity_alone(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
