@@ -233,6 +233,13 @@ def test_meetings_of_blocks_in_pieces(spark, monkeypatch):
         assert pairs <= every and (len(ids) > 4 or pairs == every)
 
 
+def test_pipeline_drops_long_near_lines(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    a, b = long_lines()
+    docs = spark.createDataFrame([(1, a, 0), (2, b, 0), (3, a[len(a) // 2 :], 0)], "doc_id long, text string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.fresh_lines(spark, docs, DATA).collect()} == {1, 3}
+
+
 def test_near_lines_are_found_by_edit_similarity_alone(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
