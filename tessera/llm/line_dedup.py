@@ -25,12 +25,12 @@ square of the length; beyond ``LONG`` characters only the band of the table that
 from __future__ import annotations
 
 import string
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -203,17 +203,19 @@ def _aligned(a: str, b: str, most: int) -> bool:
     wa, wb = a.split(" "), b.split(" ")
     if len(wa) == len(wb) and sum(max(len(x), len(y)) for x, y in zip(wa, wb) if x != y) <= most:
         return True
-    places: dict[str, list[int]] = {}
-    for j, w in enumerate(wb):
-        places.setdefault(w, []).append(j)
     at_b = [0]
     for w in wb:
         at_b.append(at_b[-1] + len(w) + 1)
     cost = here = last_a = next_b = 0
     for w in wa:
-        found = places.get(w)
-        if found is not None and (k := bisect_left(found, next_b)) < len(found) and found[k] <= next_b + 8:
-            j = found[k]
+        if next_b < len(wb) and wb[next_b] == w:
+            j = next_b
+        else:
+            try:
+                j = wb.index(w, next_b, next_b + 9)
+            except ValueError:
+                j = -1
+        if j >= 0:
             cost += max(here - last_a, at_b[j] - at_b[next_b])
             if cost > most:
                 return False
@@ -360,7 +362,8 @@ def edit_similarity(a: str, b: str) -> float:
     return 1 - _distance(a, b, longer) / longer if longer else 1.0
 
 
-_LINES = "k1 long, k2 long, sim long, length int, blocks array<long>, doc_id long, h long, line int, later boolean"
+#: Blocks are the bytes of 64-bit numbers: arrays cost several times as much in a shuffle and in Parquet.
+_LINES = "k1 long, k2 long, sim long, length int, blocks binary, doc_id long, h long, line int, later boolean"
 
 
 def _occurrences(docs: DataFrame, min_tokens: int) -> DataFrame:
@@ -384,12 +387,14 @@ def _occurrences(docs: DataFrame, min_tokens: int) -> DataFrame:
                 found = pa.array([x if n >= min_tokens else [] for x, n in zip(found.to_pylist(), lines.tokens[ones])], pa.list_(pa.int64()))
             places, m = np.append(ones, others), len(others)
             text, none = lines.text[places], np.zeros(m, np.int64)
+            bytes_at = np.append(8 * found.offsets.to_numpy(), np.full(m, 8 * len(found.values), np.int32)).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(bytes_at), pa.py_buffer(found.values.to_numpy().tobytes())])
             keys = lines.key[ones].view(np.int64)
             # keys of the others only spread them over the tasks
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.append(keys[:, 0], (lines.key[others, 0] + kernels.mix(others.astype(U64))).view(np.int64))), pa.array(np.append(keys[:, 1], none)), pa.array(np.append(sim.view(np.int64), none)),
-                    pa.array(np.append(np.minimum(lines.length[ones], 2**31 - 1), none), pa.int32()), pa.concat_arrays([found, pa.ListArray.from_arrays(pa.array(np.zeros(m + 1, np.int32)), pa.array([], pa.int64()))]),
+                    pa.array(np.append(np.minimum(lines.length[ones], 2**31 - 1), none), pa.int32()), packed,
                     pa.array(ids[text]), pa.array(h[text]), pa.array(lines.number[places], pa.int32()), pa.array(np.arange(len(places)) >= len(ones)),
                 ],
                 names=["k1", "k2", "sim", "length", "blocks", "doc_id", "h", "line", "later"],
@@ -409,7 +414,7 @@ BUCKETS, PIECE, DEALT = 16, 256, 1 << 18
 
 
 def _dealt(lines: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, rows) of lines (blocks, id, sim, length): a block's rows (block, id, sim, length) in pieces of 64-bit numbers, as single rows cost many times as much to shuffle."""
+    """(bucket, rows) of lines (blocks: array or bytes of 64-bit numbers, id, sim, length): a block's rows (block, id, sim, length) in pieces of 64-bit numbers, as single rows cost many times as much to shuffle."""
 
     def pieces(rows: np.ndarray) -> pa.RecordBatch:
         bucket = rows[:, 0].view(U64) % U64(buckets)
@@ -423,9 +428,13 @@ def _dealt(lines: DataFrame, buckets: int) -> DataFrame:
         held, n = [], 0
         for batch in batches:
             found = batch.column(0)
-            size = found.value_lengths().to_numpy()
+            if pa.types.is_binary(found.type):
+                size = pc.binary_length(found).to_numpy() // 8
+                found = np.frombuffer(b"".join(found.to_pylist()), np.int64)
+            else:
+                size, found = found.value_lengths().to_numpy(), found.flatten().to_numpy()
             own = (np.repeat(batch.column(k).to_numpy(), size) for k in range(1, 4))
-            held.append(np.stack([found.flatten().to_numpy(), *own], axis=1))
+            held.append(np.stack([found, *own], axis=1))
             n += len(held[-1])
             if n >= DEALT:
                 yield pieces(np.concatenate(held))
@@ -516,7 +525,7 @@ def _rest(groups: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those of sufficient edit similarity; docs: doc_id, h, text."""
+    """Of the pairs (a, b) of lines (id, doc_id, h, line) those of sufficient edit similarity; docs: doc_id, h, text."""
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, whole in blocks(batches):
@@ -533,7 +542,7 @@ def _links(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(all_alike(both), pa.bool_()))
 
     wanted = lines.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
-    wanted = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("id", "line")).alias("wanted"))
+    wanted = staged(wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("id", "line")).alias("wanted")), "line-wanted")
     found = sized_semi_join(docs, wanted.select("doc_id", "h"), on=["doc_id", "h"]).hint("merge").join(wanted, ["doc_id", "h"]).select("text", "wanted")
     found = staged(found.mapInArrow(texts, "id long, text string"), "line-texts")
     both = pairs.join(found.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(found.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
@@ -548,10 +557,11 @@ def dropped_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     seen = _occurrences(docs, min_tokens).withColumn("first", F.min(F.when(~F.col("later"), place)).over(same))
     seen = seen.withColumn("later", F.col("later") | (place > F.col("first"))).drop("first", "k1", "k2").withColumn("id", F.monotonically_increasing_id())
     seen = staged(seen, "line-occurrences")
-    lines = seen.filter("not later and size(blocks) > 0")
+    lines = seen.filter("not later and octet_length(blocks) > 0")
     met = staged(_meetings(lines), "line-meetings")
     pairs = staged(met.filter("size(mates) > 0").select(F.explode("mates").alias("mate"), "id").select(F.least("mate", "id").alias("a"), F.greatest("mate", "id").alias("b")).distinct(), "line-pairs")
-    of = lines.select("id", "doc_id", "h", "line")
+    # all that follows is about lines that met others: a small part of all
+    of = staged(sized_semi_join(lines.select("id", "doc_id", "h", "line"), staged(met.select("id").distinct(), "line-met"), on="id"), "line-places")
     if not docs.groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
         docs = docs.dropDuplicates(["doc_id", "h"])
     links = _links(pairs, of, docs)
@@ -585,7 +595,7 @@ def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__h", F.xxhash64(text_col))
     gone = dropped_lines(keyed.select(F.col("__id").alias("doc_id"), F.col("__h").alias("h"), F.col(text_col).alias("text")), min_tokens)
     gone = staged(gone.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_set("line").alias("__gone")), "line-removed")
-    keyed = keyed.withColumn(n_lines, F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")))
+    keyed = keyed.withColumn(n_lines, F.coalesce(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))), F.lit(0)) + 1)
     key = ["__id", "__h"]
     # merge joins at every size: texts' plan is the same on a small table as on a large one
     cut = sized_semi_join(keyed, gone.select(*key), on=key).join(gone.hint("merge"), key)

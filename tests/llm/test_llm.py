@@ -6,6 +6,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,6 +234,14 @@ def test_meetings_of_blocks_in_pieces(spark, monkeypatch):
         assert pairs <= every and (len(ids) > 4 or pairs == every)
 
 
+def test_blocks_of_lines_as_bytes(spark):
+    rows = [(i, i * 3, 20, [i % 2, 7, i % 3]) for i in range(8)] + [(9, 1, 20, [])]
+    arrays = spark.createDataFrame(rows, "id long, sim long, length int, blocks array<long>")
+    packed = spark.createDataFrame([(i, s, n, bytearray(np.array(b, np.int64).tobytes())) for i, s, n, b in rows], "id long, sim long, length int, blocks binary")
+    read = lambda df: sorted(x for r in line_dedup._dealt(df, 4).collect() for x in map(tuple, np.frombuffer(r.rows, np.int64).reshape(-1, 4).tolist()))
+    assert read(packed) == read(arrays) == sorted((b, i, s, n) for i, s, n, blocks in rows for b in blocks)
+
+
 def test_pipeline_drops_long_near_lines(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     a, b = long_lines()
