@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Most UTF-8 bytes of text that a task's Python code holds as arrays at once (a longer text is a block alone).
 BLOCK_BYTES = 1 << 19
+#: Most bytes of the Arrow batches that go to a task's Python code; without, 10,000 texts make one, which both sides hold several times over.
+BATCH_BYTES = 1 << 22
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,9 +28,25 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < _bytes(spark.conf.get(key)) <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def _bytes(setting: str) -> int:
+    """A size as Spark writes it: digits, or with b, k, m, g."""
+    n = setting.lower().removesuffix("b")
+    return int(n[:-1]) << " kmgtp".index(n[-1]) * 10 if n[-1:] in "kmgtp" and n else int(n)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, and lost executors cost nothing."""
+    """Write ``df`` to the shared folder and read it back: computed once, and lost executors cost nothing.
+
+    From here on the session's Arrow batches are bounded by ``BATCH_BYTES`` (a setting that is smaller already stays).
+    """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -74,6 +92,7 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = BL
                 start, size = i, 0
             size += n
     pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()  # what the C library kept of freed arrays
 
 
 def map_texts(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, *keep: str) -> DataFrame:

@@ -7,11 +7,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("tessera.llm")
 from tessera.llm import byte_bpe, decontamination, jaccard_join, kernels, license_scan, line_dedup, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_counts  # noqa: E402
+from tessera.llm.common import BATCH_BYTES, staged  # noqa: E402
 from tessera.llm.components import connected_components, extended  # noqa: E402
 
 DATA = os.environ.get("TESSERA_TESTDATA", "/root/testdata/sf0.001")
@@ -242,6 +244,14 @@ def test_blocks_of_lines_as_bytes(spark):
     assert read(packed) == read(arrays) == sorted((b, i, s, n) for i, s, n, blocks in rows for b in blocks)
 
 
+def test_batches_of_texts_are_bounded(spark):
+    """A batch held 10,000 rows whatever their size: texts of 2,000 characters made 20 MB, with their pivots' texts 40."""
+    docs = staged(spark.range(9000, numPartitions=1).selectExpr("id", "repeat('abcd ', 400) as text"), "texts")
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"]) for b in batches)
+    got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) >= 18_000_000 and max(got) < 2 * BATCH_BYTES
+
+
 def test_pipeline_drops_long_near_lines(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     a, b = long_lines()
