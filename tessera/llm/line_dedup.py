@@ -579,7 +579,6 @@ def dropped_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     return seen.filter("later").select("doc_id", "h", "line").union(fuzzy)
 
 
-@F.arrow_udf(StringType())
 def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
     def rest(text: str, lines: list[int]) -> str:
         out = set(lines)
@@ -599,6 +598,8 @@ def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = ["__id", "__h"]
     # merge joins at every size: texts' plan is the same on a small table as on a large one
     cut = sized_semi_join(keyed, gone.select(*key), on=key).join(gone.hint("merge"), key)
-    cut = cut.withColumn(text_col, _without(F.col(text_col), F.col("__gone"))).withColumn(n_removed, F.size("__gone"))
+    # a filter on what is left of a text would otherwise have Spark cut it a second time below the filter, with two Python workers for each task
+    without = F.arrow_udf(_without, StringType()).asNondeterministic()
+    cut = cut.withColumn(text_col, without(F.col(text_col), F.col("__gone"))).withColumn(n_removed, F.size("__gone"))
     whole = sized_semi_join(keyed, gone.select(*key), "left_anti", on=key).withColumn(n_removed, F.lit(0))
     return cut.select(*columns).union(whole.select(*columns))

@@ -22,6 +22,17 @@ def test_pipeline_stages_of_an_empty_table(spark):
         assert out.count() == 0 and (k == len(corpus_pipeline.STAGES) - 1 or out.columns == docs.columns)
 
 
+@given
+def test_pipeline_cuts_a_text_once(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    line = "the miller and his three sons went down to the river to look for the old wheel"
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    rows = spark.createDataFrame([(1, f"{line}\na first text"), (2, f"{line}\na second one"), (3, line)], "doc_id long, text string")
+    out = corpus_pipeline.fresh_lines(spark, docs.drop("doc_id", "text").join(rows, F.lit(True), "right").select(*docs.columns), DATA)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {tuple(r) for r in out.select("doc_id", "text", "n_chars").collect()} == {(1, f"{line}\na first text", len(line) + 13), (2, "a second one", 12)}
+
+
 @given
 def test_very_long_texts_of_joins_and_scans(spark):
     text = "\n".join(r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").filter("text is not null").orderBy("doc_id").limit(100).collect())
