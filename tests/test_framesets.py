@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 
 from tessera.functions import hashes
-from tessera.operators import framesets, matching
+from tessera.operators import framesets, hamming, matching
 
 SCHEMA = "key string, sha256 string, vpdq array<struct<h: string, q: int, t: bigint>>"
 
@@ -70,3 +70,24 @@ def test_pairs_are_neither_shuffled_nor_broadcast(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and plan.count("Exchange") == 1
     assert matching.vpdq_candidates(a.filter("vpdq is null")).isEmpty()
+
+
+@pytest.mark.parametrize("count,radius", [(2, 6), (2, 18), (8, 23), (8, 48), (8, 140), (3, 40)])
+def test_hashes_in_blocks_give_all_pairs(spark, monkeypatch, count, radius):
+    monkeypatch.setattr(hamming, "SMALL_BLOCK", 20)
+    rng = random.Random(radius)
+    values = [rng.getrandbits(32 * count) for _ in range(60)]
+    values += [v ^ sum(1 << b for b in rng.sample(range(32 * count), rng.randrange(1, min(2 * radius, 60)))) for v in values]
+    values = list(dict.fromkeys(values))
+    lanes = lambda v: [v >> 32 * (count - 1 - k) & 0xFFFFFFFF for k in range(count)]
+    held = spark.createDataFrame([(i, lanes(v)) for i, v in enumerate(values)], "id long, h array<long>")
+    df = hamming.block_pairs(held, len(values), count, radius)
+    got = sorted((min(r.x, r.y), max(r.x, r.y), r.distance) for r in df.collect())
+    assert got == [(i, j, d) for i, j in combinations(range(len(values)), 2) if (d := (values[i] ^ values[j]).bit_count()) <= radius] and got
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_million_hashes_are_compared_in_blocks():
+    assert not hamming.plan(1_200_000, [600_000] * 64, 18, matching.NESTED_LOOP_ROWS).bands
+    assert not hamming.plan(1_200_000, [600_000] * 256, 23, matching.NESTED_LOOP_ROWS).bands
+    assert hamming.plan(1_000_000_000, [500_000_000] * 64, 3, matching.NESTED_LOOP_ROWS).bands
