@@ -95,12 +95,12 @@ def component_url(key: Column) -> Column:
     return F.concat(F.lit("/media/"), out)
 
 
-def human_bytes(size: Column) -> Column:
-    """B as an integer, else one decimal (half to even) in KB, MB, GB or TB."""
+def human_bytes(size: Column, units: tuple[str, ...] = ("KB", "MB", "GB", "TB")) -> Column:
+    """B as an integer, else one decimal (half to even) in the units, the last of which has no end."""
     out = F.when(size < 1024, F.concat(size.cast("long").cast("string"), F.lit(" B")))
-    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+    for k, unit in enumerate(units, 1):
         text = F.concat(F.bround(size / F.lit(float(1024**k)), 1).cast("decimal(20,1)").cast("string"), F.lit(f" {unit}"))
-        out = out.otherwise(text) if unit == "TB" else out.when(size < 1024 ** (k + 1), text)
+        out = out.otherwise(text) if unit == units[-1] else out.when(size < 1024 ** (k + 1), text)
     return out
 
 
