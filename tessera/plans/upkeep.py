@@ -243,8 +243,8 @@ def index_removed_count(spark, d):
 
 @query(sql("tagged", then="SELECT 1 AS version, count(*) AS items FROM tagged UNION ALL SELECT 2, 0"))
 def tag_index_read(spark, d):
-    """Items that a reader takes from an index of version 1 and of another."""
-    rows = fx.tagged(spark, d)
+    """Items that a reader takes from an index of version 1 and of another, in documents of as many items as it allows."""
+    rows = tags.dealt(fx.tagged(spark, d))
     entries = tags.catalog(rows)
     read = lambda v: tags.readable(rows, entries, v).agg(F.lit(v).alias("version"), F.count(F.lit(1)).alias("items"))
     return read(1).union(read(2))
