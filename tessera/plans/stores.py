@@ -66,10 +66,9 @@ def index_published(spark, d):
 
 @query(sql("tagged", "catalog", then="SELECT t.key, t.ext, string_agg(CAST(c.id AS VARCHAR), ',' ORDER BY u.pos) AS ids FROM tagged t, LATERAL (SELECT unnest(t.tags) AS name, generate_subscripts(t.tags, 1) AS pos) u JOIN catalog c ON c.name = u.name GROUP BY 1, 2"))
 def tag_document_items(spark, d):
-    """Items of the tag index after it was published and read by its rules."""
-    path = scratch(spark, "tags") + ".json"
-    tags.write_tag_document(fx.tagged(spark, d), path, tags.THRESHOLD, "m", "2024", "")
-    _, items = tags.read_tag_document(spark.read.text(path, wholetext=True).select(F.col("value").alias("body")))
+    """Items of the tag index after it was published, in as many documents as it takes, and read by its rules."""
+    paths = tags.write_tag_documents(fx.tagged(spark, d), scratch(spark, "tags"), tags.THRESHOLD, "m", "2024")
+    _, items = tags.read_tag_document(spark.read.text(paths, wholetext=True).select(F.col("value").alias("body")))
     return items.select("key", "ext", F.array_join(F.col("tags").cast("array<string>"), ",").alias("ids"))
 
 
